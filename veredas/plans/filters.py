@@ -165,7 +165,7 @@ def flt_scope_membership(spark, d):
 
 
 @query("flt_eligibility", """SELECT question_id, list_filter([CASE WHEN school_id IS NULL THEN 'NO_SCHOOL' END, CASE WHEN visibility IS NULL THEN 'NO_VISIBILITY' END,
-CASE WHEN number > 40 THEN 'LATE' END, CASE WHEN owner IS NULL THEN 'NO_OWNER' END, CASE WHEN price < 950 THEN 'CHEAP' END], lambda x: x IS NOT NULL) AS reasons FROM bank""")
+CASE WHEN number > 40 THEN 'LATE' END, CASE WHEN owner IS NULL THEN 'NO_OWNER' END, CASE WHEN price < 950 THEN 'CHEAP' END], lambda x: x IS NOT NULL) AS reasons FROM bank""", lists=("reasons",))
 def flt_eligibility(spark, d):
     broken = P.reasons(NO_SCHOOL=F.col("school_id").isNull(), NO_VISIBILITY=F.col("visibility").isNull(), LATE=F.col("number") > 40, NO_OWNER=F.col("owner").isNull(), CHEAP=F.col("price") < 950)
     return T.bank(spark, d).select("question_id", broken.alias("reasons"))
