@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veredas.plans import aggregates, filters, joins  # noqa: F401
+from veredas.plans import aggregates, filters, joins, windows  # noqa: F401
 from veredas.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-FLAGSHIP = "agg_group_avg_pct"
+FLAGSHIP = "flagship_ranking"

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from veredas.functions import scoring as S
 from veredas.operators import aggregates as A
 from veredas.operators.joins import band
-from veredas.operators.keys import first_per_key, with_total
+from veredas.operators.keys import first_per_key, n_rows, with_total
 from veredas.plans import tables as T
 from veredas.plans.joins import BAND_SQL
 from veredas.plans.registry import query
 
-N = F.count(F.lit(1))
 
 
 def _graded(spark, d):
@@ -42,7 +41,7 @@ round(100.0::DOUBLE * count(*) FILTER (score >= 800) / count(*), 1) AS pct_800 F
 @query("agg_group_avg_pct", RANKED)
 def agg_group_avg_pct(spark, d):
     means = A.means_of({"media": "score"} | {f"c{k}": f"c{k}" for k in range(1, 6)})
-    return T.scores(spark, d).groupBy("gre", "school").agg(N.alias("n"), *means, A.share_at_least("score", 800).alias("pct_800")).orderBy(F.desc("media"), "school")
+    return T.scores(spark, d).groupBy("gre", "school").agg(n_rows().alias("n"), *means, A.share_at_least("score", 800).alias("pct_800")).orderBy(F.desc("media"), "school")
 
 
 @query("agg_global_avg", "SELECT round(coalesce(avg(c1), 0), 1) AS c1, round(coalesce(avg(c2), 0), 1) AS c2, round(coalesce(avg(c3), 0), 1) AS c3, round(coalesce(avg(c4), 0), 1) AS c4, round(coalesce(avg(c5), 0), 1) AS c5 FROM scores WHERE school = 'NOWHERE'")
@@ -52,7 +51,7 @@ def agg_global_avg(spark, d):
 
 @query("agg_group_class", "SELECT school, class, count(*) AS n, round(avg(score), 1) AS media FROM scores WHERE class IS NOT NULL GROUP BY ALL")
 def agg_group_class(spark, d):
-    return T.scores(spark, d).filter("class is not null").groupBy("school", "class").agg(N.alias("n"), F.round(F.avg("score"), 1).alias("media"))
+    return T.scores(spark, d).filter("class is not null").groupBy("school", "class").agg(n_rows().alias("n"), F.round(F.avg("score"), 1).alias("media"))
 
 
 @query("agg_count_distinct", "SELECT count(DISTINCT student_id) AS active FROM history WHERE at_ >= TIMESTAMP '2024-01-31' - INTERVAL 2 DAYS")
@@ -67,14 +66,14 @@ def agg_count_distinct_page(spark, d):
 
 @query("agg_count_subquery", "SELECT count(*) AS total FROM (SELECT DISTINCT student_id, content FROM items)")
 def agg_count_subquery(spark, d):
-    return T.items(spark, d).select("student_id", "content").distinct().agg(N.alias("total"))
+    return T.items(spark, d).select("student_id", "content").distinct().agg(n_rows().alias("total"))
 
 
 @query("agg_group_count", """SELECT question_id, coalesce(a.n, 0)::BIGINT AS seen, coalesce(b.n, 0)::BIGINT AS answered, coalesce(c.n, 0)::BIGINT AS correct FROM bank
 LEFT JOIN (SELECT question_id, count(*) n FROM items GROUP BY 1) a USING (question_id) LEFT JOIN (SELECT question_id, count(*) n FROM items WHERE answered GROUP BY 1) b USING (question_id)
 LEFT JOIN (SELECT question_id, count(*) n FROM items WHERE is_correct GROUP BY 1) c USING (question_id)""")
 def agg_group_count(spark, d):
-    counts = T.items(spark, d).groupBy("question_id").agg(N.alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct")))
+    counts = T.items(spark, d).groupBy("question_id").agg(n_rows().alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct")))
     return T.bank(spark, d).select("question_id").join(counts, "question_id", "left").na.fill(0)
 
 
@@ -107,7 +106,7 @@ def agg_student_bucket(spark, d):
 
 @query("agg_content_avg", "SELECT content, round(avg(score), 2) AS mean, count(*) FILTER (score < 50) AS struggling, count(*) AS n FROM mastery GROUP BY 1")
 def agg_content_avg(spark, d):
-    return T.mastery(spark, d).groupBy("content").agg(F.round(F.avg("score"), 2).alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), N.alias("n")).orderBy("mean", "content")
+    return T.mastery(spark, d).groupBy("content").agg(F.round(F.avg("score"), 2).alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), n_rows().alias("n")).orderBy("mean", "content")
 
 
 @query("agg_classroom_items", """WITH r AS (SELECT DISTINCT student_id, student_id % 8 AS classroom FROM mastery), c AS (SELECT classroom, content, avg(score) AS m FROM r JOIN mastery USING (student_id) GROUP BY ALL),
@@ -140,7 +139,7 @@ def agg_compare_classrooms(spark, d):
 
 
 def _bucket():
-    return [N.alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct"), wrong=~F.col("is_correct"), unknown=F.col("response").eqNullSafe("UNKNOWN"), provisional=F.col("provisional") & F.col("answered"), easy=F.col("difficulty") == "EASY", hard=F.col("difficulty") == "HARD")]
+    return [n_rows().alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct"), wrong=~F.col("is_correct"), unknown=F.col("response").eqNullSafe("UNKNOWN"), provisional=F.col("provisional") & F.col("answered"), easy=F.col("difficulty") == "EASY", hard=F.col("difficulty") == "HARD")]
 
 
 BUCKET_SQL = """count(*) AS seen, count(*) FILTER (answered) AS answered, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct) AS wrong, count(*) FILTER (response IS NOT DISTINCT FROM 'UNKNOWN') AS unknown,
@@ -161,7 +160,7 @@ def agg_by_discipline(spark, d):
 c AS (SELECT discipline, content, count(*) AS n, count(*) FILTER (is_correct) AS correct FROM items GROUP BY ALL)
 SELECT c.discipline, c.content, c.n, c.correct, list(f.subcontent || ':' || f.n || ':' || f.correct ORDER BY f.subcontent) AS subcontents FROM c JOIN f ON f.discipline = c.discipline AND f.content = c.content GROUP BY ALL""", lists=("subcontents",))
 def agg_by_content_nested(spark, d):
-    both = lambda *by: T.items(spark, d).groupBy(*by).agg(N.alias("n"), F.count_if("is_correct").alias("correct"))
+    both = lambda *by: T.items(spark, d).groupBy(*by).agg(n_rows().alias("n"), F.count_if("is_correct").alias("correct"))
     fine = A.nested(both("discipline", "content", "subcontent").filter("subcontent is not null"), ["discipline", "content"], ["subcontent", "n", "correct"], "subcontents")
     shown = F.transform("subcontents", lambda x: F.concat_ws(":", x["subcontent"], x["n"], x["correct"]))
     return both("discipline", "content").join(fine, ["discipline", "content"]).withColumn("subcontents", shown)
@@ -183,7 +182,7 @@ GRAIN_SQL = """count(*) AS seen, count(*) FILTER (answered) AS answered, count(*
 @query("agg_multi_grain", f"""WITH c AS (SELECT student_id, content, NULL::VARCHAR AS subcontent, 'content' AS grain, {GRAIN_SQL} FROM items GROUP BY 1, 2
 UNION ALL SELECT student_id, content, subcontent, 'subcontent', {GRAIN_SQL} FROM items WHERE subcontent IS NOT NULL GROUP BY 1, 2, 3) SELECT * FROM c""")
 def agg_multi_grain(spark, d):
-    counts = [N.alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("answered") & F.col("is_correct"), definitive=F.col("answered") & ~F.col("provisional")), F.min("at").alias("first_at"), F.max("at").alias("last_at")]
+    counts = [n_rows().alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("answered") & F.col("is_correct"), definitive=F.col("answered") & ~F.col("provisional")), F.min("at").alias("first_at"), F.max("at").alias("last_at")]
     return A.two_grains(T.items(spark, d), ["student_id"], "content", "subcontent", counts)
 
 
@@ -191,7 +190,7 @@ def agg_multi_grain(spark, d):
 SELECT t.student_id, t.content, t.answered, t.provisional, map_from_entries(list((o.origin, o.k) ORDER BY o.origin)) AS origins FROM t JOIN o ON o.student_id = t.student_id AND o.content = t.content GROUP BY ALL""", maps=("origins",))
 def agg_grain_add(spark, d):
     rows = T.items(spark, d).filter("answered")
-    totals = rows.groupBy("student_id", "content").agg(N.alias("answered"), F.count_if("provisional").alias("provisional"))
+    totals = rows.groupBy("student_id", "content").agg(n_rows().alias("answered"), F.count_if("provisional").alias("provisional"))
     return totals.join(A.histogram(rows, ["student_id", "content"], "origin", "origins"), ["student_id", "content"])
 
 
@@ -206,7 +205,7 @@ def agg_domain_node(spark, d):
 
 @query("agg_evidence_contexts", "SELECT student_id, kind, content, count(*) AS n, max(at_) AS last_at FROM history GROUP BY ALL")
 def agg_evidence_contexts(spark, d):
-    return T.history(spark, d).groupBy("student_id", "kind", "content").agg(N.alias("n"), F.max("at").alias("last_at"))
+    return T.history(spark, d).groupBy("student_id", "kind", "content").agg(n_rows().alias("n"), F.max("at").alias("last_at"))
 
 
 STATE_SQL = "CASE WHEN answered = 0 OR score IS NULL THEN 'NOT_EVALUATED' WHEN confidence < 0.3 THEN 'LOW_EVIDENCE' WHEN score < 40 THEN 'GAP' WHEN score >= 85 AND confidence >= 0.6 THEN 'MASTERED' ELSE 'DEVELOPING' END"
@@ -215,7 +214,7 @@ STATE_SQL = "CASE WHEN answered = 0 OR score IS NULL THEN 'NOT_EVALUATED' WHEN c
 @query("agg_domain_summary", f"SELECT student_id, count(*) AS contents, count(*) FILTER (s = 'MASTERED') AS mastered, count(*) FILTER (s = 'GAP') AS gaps, count(*) FILTER (s = 'LOW_EVIDENCE') AS low_evidence FROM (SELECT student_id, {STATE_SQL} AS s FROM mastery) GROUP BY 1")
 def agg_domain_summary(spark, d):
     state = S.mastery_state(F.col("score"), F.col("confidence"), F.col("answered"))
-    return T.mastery(spark, d).withColumn("s", state).groupBy("student_id").agg(N.alias("contents"), *A.counters(mastered=F.col("s") == "MASTERED", gaps=F.col("s") == "GAP", low_evidence=F.col("s") == "LOW_EVIDENCE"))
+    return T.mastery(spark, d).withColumn("s", state).groupBy("student_id").agg(n_rows().alias("contents"), *A.counters(mastered=F.col("s") == "MASTERED", gaps=F.col("s") == "GAP", low_evidence=F.col("s") == "LOW_EVIDENCE"))
 
 
 WEIGHT_SQL = "CASE difficulty WHEN 'EASY' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 1.2::DOUBLE ELSE 1.4::DOUBLE END"
@@ -227,7 +226,7 @@ def _proficiency(spark, d):
     weight = S.lookup(F.col("difficulty"), S.DIFFICULTY_WEIGHT, 1.0)
     hit = F.coalesce(F.col("is_correct"), F.lit(False))
     rows = T.items(spark, d).filter("answered").groupBy("student_id", "content").agg(
-        A.weighted_share(weight, hit).alias("score"), F.round(F.least(F.lit(1.0), N / 10), 4).alias("confidence"), N.alias("n"),
+        A.weighted_share(weight, hit).alias("score"), F.round(F.least(F.lit(1.0), n_rows() / 10), 4).alias("confidence"), n_rows().alias("n"),
         F.count_distinct("difficulty").alias("levels"), F.count_distinct("is_correct").alias("outcomes"), F.min("discipline").alias("discipline"),
     )
     return rows.withColumn("band", S.steps(F.col("score"), S.PROFICIENCY_BANDS, "CONSOLIDATED_MASTERY"))
@@ -262,14 +261,14 @@ round(100.0::DOUBLE * count(*) FILTER (status IN ('SUFFICIENT_EVIDENCE', 'CONSOL
 SELECT student_id, round(avg(coverage), 2) AS coverage, round(avg(confidence), 6) AS confidence, coalesce(list(discipline ORDER BY discipline) FILTER (coverage < 50), []) AS uncertain FROM x GROUP BY 1""", lists=("uncertain",))
 def agg_global_coverage(spark, d):
     enough = F.col("status").isin("SUFFICIENT_EVIDENCE", "CONSOLIDATED", "POSSIBLE_GAP")
-    by = _coverage(spark, d).groupBy("student_id", "discipline").agg(F.round(F.avg("confidence"), 4).alias("c"), F.round(100.0 * F.count_if(enough) / N, 2).alias("v"))
+    by = _coverage(spark, d).groupBy("student_id", "discipline").agg(F.round(F.avg("confidence"), 4).alias("c"), F.round(100.0 * F.count_if(enough) / n_rows(), 2).alias("v"))
     low = F.array_sort(F.collect_list(F.when(F.col("v") < 50, F.col("discipline"))))
     return by.groupBy("student_id").agg(F.round(F.avg("v"), 2).alias("coverage"), F.round(F.avg("c"), 6).alias("confidence"), low.alias("uncertain"))
 
 
 @query("agg_diag_result", "SELECT content, count(*) AS asked, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct AND response IS NULL) AS incorrect, count(*) FILTER (response = 'UNKNOWN') AS unknown FROM history GROUP BY 1")
 def agg_diag_result(spark, d):
-    return T.history(spark, d).groupBy("content").agg(N.alias("asked"), *A.counters(correct=F.col("is_correct"), incorrect=~F.col("is_correct") & F.col("response").isNull(), unknown=F.col("response") == "UNKNOWN"))
+    return T.history(spark, d).groupBy("content").agg(n_rows().alias("asked"), *A.counters(correct=F.col("is_correct"), incorrect=~F.col("is_correct") & F.col("response").isNull(), unknown=F.col("response") == "UNKNOWN"))
 
 
 @query("agg_essay_dashboard", """WITH l AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY at_ DESC, essay_id DESC) = 1)
@@ -278,18 +277,18 @@ def agg_essay_dashboard(spark, d):
     newest = first_per_key(T.scores(spark, d), ["student_id"], [F.desc("at"), F.desc("essay_id")]).withColumnRenamed("student_id", "user_id")
     rows = T.links(spark, d).join(newest, "user_id", "left")
     done = F.count("essay_id")
-    return rows.groupBy("school_id").agg(N.alias("students"), done.alias("submitted"), F.round(100.0 * done / N, 1).alias("pct"), F.round(F.avg("score"), 1).alias("total"), F.round(F.avg(F.when(F.col("status") == "F", F.col("c1"))), 1).alias("c1"))
+    return rows.groupBy("school_id").agg(n_rows().alias("students"), done.alias("submitted"), F.round(100.0 * done / n_rows(), 1).alias("pct"), F.round(F.avg("score"), 1).alias("total"), F.round(F.avg(F.when(F.col("status") == "F", F.col("c1"))), 1).alias("c1"))
 
 
 @query("agg_correction_score", "SELECT result_id, count(*) AS items, count(*) FILTER (answered) AS answered, count(*) FILTER (is_correct) AS correct, count(*) FILTER (answered AND NOT is_correct) AS incorrect, count(*) FILTER (NOT answered) AS unanswered FROM items GROUP BY 1")
 def agg_correction_score(spark, d):
-    return T.items(spark, d).groupBy("result_id").agg(N.alias("items"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct"), incorrect=F.col("answered") & ~F.col("is_correct"), unanswered=~F.col("answered")))
+    return T.items(spark, d).groupBy("result_id").agg(n_rows().alias("items"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct"), incorrect=F.col("answered") & ~F.col("is_correct"), unanswered=~F.col("answered")))
 
 
 @query("agg_distribution_summary", "SELECT count(*) AS n, count(*) FILTER (status = 'O') AS active, count(*) FILTER (status = 'P') AS cancelled, count(*) FILTER (status = 'F') AS closed, max(at_) AS newest FROM scores")
 def agg_distribution_summary(spark, d):
     s = F.col("status")
-    return T.scores(spark, d).agg(N.alias("n"), *A.counters(active=s == "O", cancelled=s == "P", closed=s == "F"), F.max("at").alias("newest"))
+    return T.scores(spark, d).agg(n_rows().alias("n"), *A.counters(active=s == "O", cancelled=s == "P", closed=s == "F"), F.max("at").alias("newest"))
 
 
 @query("agg_student_dashboard", """SELECT student_id, count(*) FILTER (is_correct IS NOT NULL) AS answered, count(*) FILTER (is_correct) AS correct, round(100.0::DOUBLE * count(*) FILTER (is_correct) / nullif(count(*) FILTER (is_correct IS NOT NULL), 0), 1) AS pct,
@@ -317,7 +316,7 @@ def agg_material_availability(spark, d):
 SELECT doc, list_sort(list_filter(generate_series(1, top), lambda x: NOT list_contains(seen, x::INT))) AS missing, repeated, low FROM g""", lists=("missing",))
 def agg_extraction_validation(spark, d):
     rows = T.read(spark, d, "lineitem").selectExpr("l_orderkey as doc", "l_linenumber as number", "l_discount as confidence")
-    stats = rows.groupBy("doc").agg(F.collect_set("number").alias("seen"), F.max("number").alias("top"), F.count_if(F.col("confidence") < 0.02).alias("low"), (N - F.count_distinct("number")).alias("repeated"))
+    stats = rows.groupBy("doc").agg(F.collect_set("number").alias("seen"), F.max("number").alias("top"), F.count_if(F.col("confidence") < 0.02).alias("low"), (n_rows() - F.count_distinct("number")).alias("repeated"))
     return stats.select("doc", F.array_except(F.sequence(F.lit(1), "top"), "seen").alias("missing"), "repeated", "low")
 
 
@@ -335,7 +334,7 @@ def agg_retrieval_metrics(spark, d):
     m = T.mastery(spark, d)
     ranked = first_per_key(m, ["student_id"], [F.desc("score"), F.asc("content")], n=1_000_000, rank="k")
     gold = m.filter("score >= 50").groupBy("student_id").agg(F.min("content").alias("content"))
-    return gold.join(ranked, ["student_id", "content"]).agg(N.alias("cases"), *[F.round(F.avg((F.col("k") <= k).cast("int")), 4).alias(f"top_{k}") for k in (1, 5)])
+    return gold.join(ranked, ["student_id", "content"]).agg(n_rows().alias("cases"), *[F.round(F.avg((F.col("k") <= k).cast("int")), 4).alias(f"top_{k}") for k in (1, 5)])
 
 
 @query("agg_count_pending", "SELECT result_id, count(*) FILTER (answered) AS answered, coalesce(list(position ORDER BY position) FILTER (NOT answered), []) AS pending FROM items GROUP BY 1", lists=("pending",))
@@ -351,7 +350,7 @@ def agg_count_official(spark, d):
 
 @query("agg_attempt_summary", "SELECT result_id, n - a AS unanswered, a - c AS incorrect, round(100.0::DOUBLE * c / nullif(n, 0), 2) AS pct FROM (SELECT result_id, count(*) AS n, count(*) FILTER (answered) AS a, count(*) FILTER (is_correct) AS c FROM items GROUP BY 1)")
 def agg_attempt_summary(spark, d):
-    rows = T.items(spark, d).groupBy("result_id").agg(N.alias("n"), *A.counters(a=F.col("answered"), c=F.col("is_correct")))
+    rows = T.items(spark, d).groupBy("result_id").agg(n_rows().alias("n"), *A.counters(a=F.col("answered"), c=F.col("is_correct")))
     return rows.select("result_id", (F.col("n") - F.col("a")).alias("unanswered"), (F.col("a") - F.col("c")).alias("incorrect"), F.round(F.try_divide(F.col("c") * 100.0, F.col("n")), 2).alias("pct"))
 
 
