@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veredas.llm.common import number_columns, pick, remainder
+from veredas.llm.common import number_columns, pick, remainder, written
 
 SAMPLE = 1500  # labelled rows of a language, as expected
 VOCABULARY = 150_000  # words, and n-grams, of the model
@@ -56,16 +56,11 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "kind": kind, "gram": list(c), "n": list(c.values())})
 
 
-def _log_frequencies(rows: Iterable[tuple], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Index and matrix (gram by language) of smoothed log frequencies."""
-    index: dict[str, int] = {}
-    counts = np.zeros((VOCABULARY + 1, len(langs)))
-    for gram, by_lang in rows:
-        i = index.setdefault(gram, len(index))
-        for k, lang in enumerate(langs):
-            counts[i, k] = by_lang.get(lang, 0)
-    counts = counts[: len(index)]
-    return index, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(index) + 1e-9)) if index else counts
+def _log_frequencies(table, n_langs: int) -> tuple[dict[str, int], np.ndarray]:
+    """Index and matrix (gram by language) of smoothed log frequencies, of an Arrow table (gram, counts by language)."""
+    index = {gram: i for i, gram in enumerate(table["gram"].to_pylist())}
+    counts = np.stack([table[f"n{k}"].to_numpy() for k in range(n_langs)], 1).astype(float)
+    return index, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(index) + 1e-9)).astype(np.float32)
 
 
 class Model:
@@ -118,12 +113,13 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> Model:
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / n[lang])))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
-    sums = few.mapInPandas(counted, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    grams_ = sums.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("n"))
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
+    sums = few.mapInPandas(counted, "lang string, kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"), *by_lang)
+    sums = written(sums, "grams")
     kinds = {}
     for kind in (0, *ORDERS):
-        top = grams_.filter(F.col("kind") == kind).orderBy(F.desc("n"), "gram").limit(VOCABULARY).select("gram", "by_lang")
-        kinds[kind] = _log_frequencies(((r[0], r[1]) for r in top.collect()), langs)
+        top = sums.filter(F.col("kind") == kind).orderBy(F.desc("n"), "gram").limit(VOCABULARY)
+        kinds[kind] = _log_frequencies(top.drop("kind", "n").toArrow(), len(langs))
     total = sum(n.values())
     return Model(langs, [n[x] / total for x in langs], kinds[0], {k: kinds[k] for k in ORDERS})
 

@@ -61,11 +61,12 @@ class Counter32k:
 
         The library puts one mark before any text, but none before an empty one. One call encodes all that is new.
         """
-        new = [s for s in set(stretches) if s not in self.memo]
+        wanted = set(stretches)
+        new = [s for s in wanted if s not in self.memo]
         if new:
             if len(self.memo) + len(new) > MEMO:
                 self.memo = {}
-                new = list(set(stretches))
+                new = list(wanted)
             self.memo.update(zip(new, map(len, self.model.encode([s[1:] for s in new], num_threads=1))))
             self.memo[MARK] = 1
         return self.memo

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """A round's rows as a table in the folder that driver and executors share."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veredas-"))
-        where = spark.sparkContext.getCheckpointDir()
-    path = f"{where.rstrip('/')}/veredas-closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from veredas.sources.shared import written
 
 
 def ancestors(nodes: DataFrame, levels: int = 8) -> DataFrame:
@@ -37,12 +24,12 @@ def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
 
     A round doubles the length of the paths known, so rounds grow with the logarithm of the longest.
     """
-    known = _written(edges.select(source, target).distinct().withColumn("depth", F.lit(1)))
+    known = written(edges.select(source, target).distinct().withColumn("depth", F.lit(1)), "closure")
     n = known.count()
     while True:
         a, b = known.alias("a"), known.alias("b")
         longer = a.join(b, F.col(f"a.{target}") == F.col(f"b.{source}")).select(f"a.{source}", f"b.{target}", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        known = _written(known.unionAll(longer).groupBy(source, target).agg(F.min("depth").alias("depth")))
+        known = written(known.unionAll(longer).groupBy(source, target).agg(F.min("depth").alias("depth")), "closure")
         now = known.count()
         if now == n:
             return known

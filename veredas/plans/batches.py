@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veredas.operators.keys import latest_per_key
 from veredas.plans import tables as T
 from veredas.plans.registry import query
+from veredas.sources.shared import shared_path
 from veredas.streaming import batches as B
 
 
-def _shared(spark, name: str) -> str:
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veredas-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return f"{where.rstrip('/')}/veredas-{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     """The events table as a stream of files."""
     table = f"{d}/events.parquet"
@@ -33,7 +22,7 @@ def _events(spark, d):
 @query("stm_stage_machine", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status FROM events WHERE event_type <> 'view'")
 def stm_stage_machine(spark, d):
     """Each micro-batch applies the stage to its rows and appends; a restart goes on from the checkpoint."""
-    out = _shared(spark, "stage")
+    out = shared_path(spark, "stage")
 
     def stage(rows, batch_id):
         done = rows.filter("event_type <> 'view'").select("event_id", F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
@@ -85,7 +74,7 @@ def stm_sampling(spark, d):
 @query("stm_event_log", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stm_event_log(spark, d):
     """A log that has every event twice is read as a stream, and each event kept once."""
-    out = _shared(spark, "log")
+    out = shared_path(spark, "log")
     twice = f"{out}/twice"
     events = T.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     events.unionAll(events).write.parquet(twice)
