@@ -51,14 +51,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, most_broadcast: int
     grams, items = windows(benchmark, n)
     count = grams.count()
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most n numbers
-    grams = F.broadcast(grams) if count <= most_broadcast else grams
+    small = count <= most_broadcast
+    grams = F.broadcast(grams) if small else grams
     found = None
     rows = pick(docs, "doc_id", "text").select("doc_id", _text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("words"))
     for length in lengths or [n]:
         starts = rows.filter(F.size("words") >= length).select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(1), F.size("words") - (length - 1))).alias("at"))
         probes = starts.withColumn("hash", F.xxhash64(_window(F.col("words"), F.col("at"), length)))
         own = grams.filter(F.col("length") == length).withColumnRenamed("hash", "gram_hash")
-        met = probes.join(own, (F.col("hash") == F.col("gram_hash")) & (_window(F.col("words"), F.col("at"), length) == F.col("gram")))
+        window = _window(F.col("words"), F.col("at"), length)
+        if not small:  # probes are shuffled: with their own words only, not the text's
+            probes, window = probes.withColumn("window", window).drop("words"), F.col("window")
+        met = probes.join(own, (F.col("hash") == F.col("gram_hash")) & (window == F.col("gram")))
         met = met.select("doc_id", "text_key", "at", "length", "hash", "gram")
         found = met if found is None else found.unionAll(met)
     return found, items
