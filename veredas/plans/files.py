@@ -97,7 +97,8 @@ def src_pdf_layout(spark, d):
 @query("src_answer_key", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '1=A,12=C' ELSE '1=B,2=E' END AS answers FROM part", maps=())
 def src_answer_key(spark, d):
     made = F.expr("if(p_size % 2 = 0, 'Gabarito 1 - A 12. C 1: D', '1) B\\n2) E')")
-    entries = F.array_sort(F.transform(F.map_entries(X.answer_key(made)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    by_number = F.array_sort(F.transform(F.map_entries(X.answer_key(made)), lambda e: F.struct(e["key"].cast("int").alias("number"), e["value"].alias("letter"))))
+    entries = F.transform(by_number, lambda e: F.concat(e["number"].cast("string"), F.lit("="), e["letter"]))
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(entries, ",").alias("answers"))
 
 
