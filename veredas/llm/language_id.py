@@ -53,6 +53,8 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for g in grams(w, n):
                         kinds[n][g] += c
             for kind, c in kinds.items():
+                if not c:  # no word, or none as long as these n-grams
+                    continue
                 yield pd.DataFrame({"lang": lang, "kind": kind, "gram": list(c), "n": list(c.values())})
 
 
