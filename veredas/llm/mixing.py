@@ -21,6 +21,7 @@ from veredas.llm.common import WORD, number_columns, pick, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST_EPOCHS = 2.0
+MOST_BROADCAST = 100_000  # sources whose cuts are broadcast, after they are counted
 DIGITS = 3  # leading hex digits of a key that make a range bucket: 16 ** 3 buckets a source
 
 
@@ -97,11 +98,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     """The mix as documents, all columns kept: a document of k epochs stands in k rows.
 
     Documents stay whole: that at a source's cut comes in if at least half of it does. The cut of a source is a
-    key, so the texts aren't shuffled: they meet a table of one row a source. Documents without words don't come in.
+    key, so the texts aren't shuffled: they meet a table of one row a source (shuffled by source only if
+    there are more than ``MOST_BROADCAST`` sources). Documents without words don't come in.
     """
     placed = _placed(_narrow(docs), weights, share, most, digits)
     inside = F.col("rest") - F.col("before") >= F.col("size") / 2
     cuts = placed.groupBy("skey").agg(F.first("epochs").alias("epochs"), F.max(F.when(inside & (F.col("rest") > 0), F.col("key"))).alias("cut"))
+    cuts = written(cuts, "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_BROADCAST else cuts
     flat, at = number_columns(docs)
     doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
     copies = F.when(_size(text) > 0, F.col("epochs") + F.coalesce(_key(doc_id, text) <= F.col("cut"), F.lit(False)).cast("long")).otherwise(0)
