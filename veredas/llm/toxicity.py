@@ -16,6 +16,8 @@ score is 0. An empty table gives no rows. Other columns are ignored, whatever th
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,6 @@ SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    found = (WORD.findall(s) for s in SENTENCE.split((text or "").lower()))
-    return [f for f in found if f]
-
-
 def features(word: str) -> tuple[str, ...]:
     return (f"={word}", word[:4], word[:5]) if len(word) > 4 else (f"={word}", word)
 
@@ -78,14 +75,29 @@ class Model:
         return float(-np.expm1(clean)), (1 / (1 + np.exp(-z))).tolist()
 
 
-def _telling(bags: list[list[set[str]]], labels: np.ndarray) -> dict[str, int]:
-    """The features that more toxic documents have than chance explains, by the likelihood ratio of their counts."""
+def _found(text: str) -> set[str]:
+    """The features of a text."""
+    return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+
+
+def _telling(texts: list[str], labels: np.ndarray) -> dict[str, int]:
+    """The features that more toxic documents have than chance explains, by the likelihood ratio of their counts.
+
+    Only features of enough toxic documents are counted in clean ones, so rare words take no memory there.
+    """
     n1, n = labels.sum(), len(labels)
-    with_it: dict[str, list[int]] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        for f in set().union(*bag):
-            with_it.setdefault(f, [0, 0])[y] += 1
-    names = [f for f, c in with_it.items() if c[1] >= LEAST]
+    toxic: Counter[str] = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(_found(text))
+    with_it = {f: [0, k] for f, k in toxic.items() if k >= LEAST}
+    del toxic
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            for f in _found(text):
+                if f in with_it:
+                    with_it[f][0] += 1
+    names = list(with_it)
     c = np.array([with_it[f] for f in names], float).reshape(-1, 2)
     total, share = c.sum(1), n1 / n
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -102,15 +114,15 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not texts or len(set(labels)) < 2:
         return Model({}, None)
     y = np.array(labels)
-    bags = [[{f for w in s for f in features(w)} for s in sentences(t)] for t in texts]
-    index = _telling(bags, y)
-    feature, sentence, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [index[f] for f in s if f in index]
-            feature += own
-            sentence += [len(doc)] * len(own)
-            doc.append(d)
+    index = _telling(texts, y)
+    feature, sentence, doc = array("i"), array("i"), array("i")  # compact, as there are millions
+    for d, text in enumerate(texts):
+        for s in SENTENCE.split(text.lower()):
+            if found := WORD.findall(s):
+                own = {index[f] for w in set(found) for f in features(w) if f in index}
+                feature.extend(own)
+                sentence.extend([len(doc)] * len(own))
+                doc.append(d)
     if not doc:
         return Model({}, None)
     feature, sentence, doc = np.array(feature, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
