@@ -117,6 +117,50 @@ def test_contexts_help_on_held_out_texts(docs):
     assert with_contexts > 0.9 * without  # log10, below 0
 
 
+def diverging(texts, telling):
+    """The contexts (length, symbols as a number) that pass the test, and their suffixes."""
+    grams = Counter()
+    for t in texts:
+        symbols = suffix_tree.END * suffix_tree.DEPTH + b" ".join(brute_words(t)) + suffix_tree.END
+        for i in range(suffix_tree.DEPTH, len(symbols)):
+            for d in range(suffix_tree.DEPTH + 1):
+                grams[symbols[i - d : i + 1]] += 1
+    after = defaultdict(dict)
+    for g, n in grams.items():
+        after[g[:-1]][g[-1]] = n
+    total = {c: sum(x.values()) for c, x in after.items()}
+    kept = {b""}
+    for c, x in after.items():
+        if c and sum(n * math.log(n / total[c] / (after[c[1:]][s] / total[c[1:]])) for s, n in x.items()) >= telling * len(x):
+            kept |= {c[i:] for i in range(len(c) + 1)}
+    return {(len(c), int.from_bytes(c, "big")) for c in kept}
+
+
+def brute_words(text):
+    return text.encode().lower().split()
+
+
+def test_every_diverging_context_is_a_state(spark):
+    """More contexts than 200,000, where the tree was cut."""
+    letters = np.random.default_rng(5).integers(97, 123, (200, 300, 8), np.uint8)
+    texts = [" ".join(w.tobytes().decode() for w in rows) for rows in letters]
+    d, k, _ = suffix_tree.tree(spark.createDataFrame([(t,) for t in texts], "text string").repartition(8))
+    want = diverging(texts, suffix_tree.TELLING)
+    assert len(want) > 200_000
+    assert set(zip(d.tolist(), (k >> 8).tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 50_000, "part": 2_000}])
+def test_scores_are_those_of_the_whole_tree(docs, odd, sizes):
+    for df in (docs, odd):
+        rows = df.withColumn("out", suffix_tree.held_out(F.col("doc_id"))).select("doc_id", "out", "text")
+        model = suffix_tree.Model(*suffix_tree.tree(rows.filter("not out")))
+        texts = rows.collect()
+        want = sorted((str(r["doc_id"]), round(s, 6)) for r, s in zip(texts, model.scores([r["text"] for r in texts]), strict=True))
+        found = suffix_tree.language_model_scores(df, **sizes).collect()
+        assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in found) == want
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

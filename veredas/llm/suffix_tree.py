@@ -8,10 +8,12 @@ state (weights n / (n + ESCAPE t), t distinct next symbols), the shortest into t
 training texts raise n without telling more, so ESCAPE is above 1. A symbol is scored in the longest state that is
 a suffix of what came before.
 
-The tree's size is a parameter: the ``STATES`` contexts of greatest divergence. Counts are taken over all training
-texts. The base score needs each word's count over all training texts, and these don't fit anywhere whole: texts are
-dealt into chunks by a hash, each chunk asks for its own words, counts are summed by word, and the sums go back to
-the chunks that asked. So a task holds one chunk and the counts of its words.
+Every context that diverges enough is a state, so the tree grows with the input and no task holds it whole. Counts
+are taken over all training texts. Texts are dealt into chunks by a hash. Each chunk asks for its own words and its own
+strings of DEPTH + 1 symbols; counts are summed by word and by string, and what was asked goes back to the chunks: a
+word's count, a string's log probability. Strings are priced in parts by the ``HEAD`` symbols before the last: a part
+holds its own strings and the states that end in those symbols; states shorter than HEAD, bounded by the alphabet, are
+broadcast. So a task holds one chunk and what it asked for, or one part of the tree.
 
 Nulls: a null text counts as empty: it is one end token. A null id is hashed as empty text. Equal ids with different
 texts go to chunks of their own. With no training text N and V are 0 and every symbol is as likely. An empty table
@@ -20,6 +22,7 @@ gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from veredas.llm.common import pick, remainder, written
 
 DEPTH = 5
-STATES = 200_000
+STATES = None  # all that pass
+HEAD = 3
+PART = 500_000  # distinct strings priced together
 TELLING = 0.5
 ESCAPE = 3.0
 CHUNK_BYTES = 16_000_000
@@ -81,22 +86,25 @@ def _batched(texts) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(texts) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for found in _batched(texts):
+        c, n = np.unique(coded(found)[0], return_counts=True)
+        codes, counts = _merge(np.concatenate([codes, c]), np.concatenate([counts, n])) if len(codes) else (c, n)
+    return codes, counts
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for found in _batched(batch["text"]):
-            c, n = np.unique(coded(found)[0], return_counts=True)
-            codes, counts = _merge(np.concatenate([codes, c]), np.concatenate([counts, n]))
-            if len(codes) > 4_000_000:
-                yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
-                codes, counts = codes[:0], counts[:0]
-    yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
+        codes, counts = _counted(batch["text"])
+        yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
 
 
-def tree(docs: DataFrame, states: int = STATES, telling: float = TELLING) -> tuple[np.ndarray, ...]:
-    """d (length), k (context and next symbol as a number), n: the next-symbol counts of the states. Bounded by ``states``."""
-    grams = docs.select("text").mapInPandas(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    grams = written(grams, "grams")
+def contexts(grams: DataFrame, states: int | None = STATES, telling: float = TELLING) -> DataFrame:
+    """d (length), k (context and next symbol as a number), n: the next-symbol counts of the states.
+
+    ``grams`` has each string's count. ``states`` keeps only so many of greatest divergence, with their suffixes.
+    """
     at = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("k")) for d in range(DEPTH + 1)]))
     every = written(grams.select(at.alias("x"), "n").groupBy("x.d", "x.k").agg(F.sum("n").alias("n")), "contexts")
     mask = F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("d") + 1)
@@ -109,13 +117,23 @@ def tree(docs: DataFrame, states: int = STATES, telling: float = TELLING) -> tup
     met = own.join(shorter, ["d", "pk"]).join(above, ["d", "ps"]).join(totals, ["d", "s"])
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal"))))
     told = met.groupBy("d", "s", "types").agg(gain.alias("gain")).filter(F.col("gain") >= telling * F.col("types"))
-    best = told.orderBy(F.desc("gain"), "d", "s").limit(states).select("d", "s")
+    best = (told if states is None else told.orderBy(F.desc("gain"), "d", "s").limit(states)).select("d", "s")
     ends = F.explode(F.sequence(F.lit(0), F.col("d")))  # the suffixes of states are states
     low = F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("e") + 1)
     kept = best.select("s", ends.alias("e")).select(F.col("e").alias("d"), F.col("s").bitwiseAND(low).alias("s")).distinct()
-    kept = kept.unionAll(docs.sparkSession.createDataFrame([(0, 0)], "d int, s long")).distinct()
-    found = cut.join(kept, ["d", "s"], "left_semi").select(F.col("d").cast("tinyint").alias("d"), "k", "n").toArrow()
-    return tuple(found[c].to_numpy() for c in ("d", "k", "n"))
+    kept = kept.unionAll(grams.sparkSession.createDataFrame([(0, 0)], "d int, s long")).distinct()
+    return cut.join(kept, ["d", "s"], "left_semi").select(F.col("d").cast("tinyint").alias("d"), "k", "n")
+
+
+def _collected(found: DataFrame) -> tuple[np.ndarray, ...]:
+    rows = found.toArrow()
+    return tuple(rows[c].to_numpy() for c in ("d", "k", "n"))
+
+
+def tree(docs: DataFrame, states: int | None = STATES, telling: float = TELLING) -> tuple[np.ndarray, ...]:
+    """The whole tree of ``contexts`` as arrays, for a table that is small."""
+    grams = docs.select("text").mapInPandas(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return _collected(contexts(written(grams, "grams"), states, telling))
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -197,11 +215,15 @@ class Model:
         return out
 
     def scores(self, texts) -> list[float]:
-        out: list[float] = []
-        for found in _batched(texts):
-            codes, starts = coded(found)
-            out += np.add.reduceat(self.log10(codes), starts).tolist()
-        return out
+        return _sums(texts, self.log10)
+
+
+def _sums(texts, log10) -> list[float]:
+    out: list[float] = []
+    for found in _batched(texts):
+        codes, starts = coded(found)
+        out += np.add.reduceat(log10(codes), starts).tolist()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,45 +248,120 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"chunk": chunk, "word": names[i : i + 50_000], "n": numbers[i : i + 50_000]})
 
 
-_built: list = []  # of a worker: the last tree it was sent, and its tables
+def _pack(codes: np.ndarray) -> bytes:
+    """Sorted numbers, as their differences."""
+    return zlib.compress(np.diff(codes, prepend=np.uint64(0)).tobytes(), 1)
 
 
-def _model(shared) -> Model:
-    if not _built or _built[0] is not shared.value:
-        _built[:] = [shared.value, Model(*shared.value)]
-    return _built[1]
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint64), dtype=np.uint64)
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_train long, n_first long"
+def _split(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket, and where its codes are; order is kept."""
+    of = (((codes * MIX) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+    for start, end in zip([0, *ends[:-1]], ends, strict=False):
+        yield int(of[order[start]]), order[start:end]
 
 
-def _answered(shared):
-    def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        model = _model(shared)
-        known = dict(zip(counts["word"], counts["c"].to_numpy(), strict=True))
-        logs = dict(zip(known, np.log10(counts["c"].to_numpy() + 1.0), strict=True))
-        log, count = logs.__getitem__, known.__getitem__
-        n, hits, sums = [], [], []
-        for t in docs["text"]:
-            found = words(t)
-            n.append(len(found))
-            sums.append(sum(map(log, found)))
-            hits.append(sum(map(bool, map(count, found))))
-        out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"].astype(bool), "n_tokens": n, "n_known": hits, "logs": sums, "score": model.scores(docs["text"])})
-        out["n_train"] = (out["n_tokens"] + 1).where(~out["held_out"], 0)
-        out["n_first"] = 0
-        if len(out):
-            out.loc[out.index[0], "n_first"] = int(counts["first"].sum())
-        return out
+def _wanted(buckets: int):
+    """(bucket, chunk, codes, counts): the strings of a chunk, and how often its training texts have each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for (chunk, out), texts in batch.groupby(["chunk", "held_out"])["text"]:
+                codes, counts = _counted(texts)
+                counts = counts * (not out)
+                if chunk in held:
+                    codes, counts = _merge(np.concatenate([held[chunk][0], codes]), np.concatenate([held[chunk][1], counts]))
+                held[chunk] = codes, counts
+        for chunk, (codes, counts) in held.items():
+            rows = [(b, chunk, _pack(codes[at]), zlib.compress(counts[at].tobytes(), 1)) for b, at in _split(codes, buckets)]
+            yield pd.DataFrame(rows, columns=["bucket", "chunk", "codes", "counts"])
 
     return run
 
 
-def language_model_scores(docs: DataFrame, states: int = STATES, telling: float = TELLING, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _summed(asked: pd.DataFrame) -> pd.DataFrame:
+    codes = np.concatenate([_unpack(x) for x in asked["codes"]])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in asked["counts"]])
+    codes, counts = _merge(codes, counts)
+    return pd.DataFrame({"code": codes.view(np.int64), "n": counts})
+
+
+def _priced(shared, buckets: int):
+    def run(strings: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        codes = np.sort(strings["code"].to_numpy(np.int64)).view(np.uint64)
+        logs = Model(*(np.concatenate([a, states[c].to_numpy(a.dtype)]) for a, c in zip(shared.value, ("d", "k", "n"), strict=True))).log10(codes)
+        rows = [(b, _pack(codes[at]), logs[at].tobytes()) for b, at in _split(codes, buckets)]
+        return pd.DataFrame(rows, columns=["bucket", "codes", "logs"])
+
+    return run
+
+
+def _returned(asked: pd.DataFrame, priced: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's answers to each chunk, in the form of the words' answers: c = -1 tells them apart."""
+    codes, logs = _prices(priced["codes"], priced["logs"])
+    rows = []
+    for chunk, packed in zip(asked["chunk"], asked["codes"], strict=True):
+        own = logs[np.searchsorted(codes, _unpack(packed))].tobytes()
+        rows.append((chunk, len(packed).to_bytes(8, "big") + packed + own, -1, False))
+    return pd.DataFrame(rows, columns=["chunk", "word", "c", "first"])
+
+
+def _prices(packed, logs) -> tuple[np.ndarray, np.ndarray]:
+    if not len(packed):
+        return np.zeros(0, np.uint64), np.zeros(0)
+    codes, values = np.concatenate([_unpack(x) for x in packed]), np.concatenate([np.frombuffer(x, float) for x in logs])
+    order = np.argsort(codes, kind="stable")
+    return codes[order], values[order]
+
+
+def _prices_of(dealt: DataFrame, n: int, states: int | None, telling: float, part: int) -> DataFrame:
+    """(chunk, word, c, first): the log probabilities of each chunk's strings, packed."""
+    asked = written(dealt.mapInPandas(_wanted(n), "bucket int, chunk int, codes binary, counts binary"), "asked")
+    grams = written(asked.groupBy("bucket").applyInPandas(lambda rows: _summed(rows), "code long, n long"), "grams")
+    found = written(contexts(grams.filter("n > 0"), states, telling), "tree")
+    base = dealt.sparkSession.sparkContext.broadcast(_collected(found.filter(F.col("d") < HEAD)))  # bounded by the alphabet
+    parts = max(1, -(-grams.count() // part))
+    of = lambda k: F.pmod(F.xxhash64(F.shiftrightunsigned(k, 8).bitwiseAND((1 << 8 * HEAD) - 1)), F.lit(parts)).cast("int")
+    strings, longer = grams.select(of("code").alias("part"), "code"), found.filter(F.col("d") >= HEAD).withColumn("part", of("k"))
+    priced = strings.groupBy("part").cogroup(longer.groupBy("part")).applyInPandas(_priced(base, n), "bucket int, codes binary, logs binary")
+    return asked.select("bucket", "chunk", "codes").groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInPandas(_returned, "chunk int, word binary, c long, first boolean")
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_train long, n_first long"
+
+
+def _answered(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    packed, counts = answers.loc[answers["c"] < 0, "word"], answers[answers["c"] >= 0]
+    cut = [8 + int.from_bytes(x[:8], "big") for x in packed]
+    codes, values = _prices([x[8:k] for x, k in zip(packed, cut, strict=True)], [x[k:] for x, k in zip(packed, cut, strict=True)])
+    prices = Table(codes, values)
+    known = dict(zip(counts["word"], counts["c"].to_numpy(), strict=True))
+    logs = dict(zip(known, np.log10(counts["c"].to_numpy() + 1.0), strict=True))
+    log, count = logs.__getitem__, known.__getitem__
+    n, hits, sums = [], [], []
+    for t in docs["text"]:
+        found = words(t)
+        n.append(len(found))
+        sums.append(sum(map(log, found)))
+        hits.append(sum(map(bool, map(count, found))))
+    score = _sums(docs["text"], lambda codes: prices.values[prices.find(codes)])
+    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"].astype(bool), "n_tokens": n, "n_known": hits, "logs": sums, "score": score})
+    out["n_train"] = (out["n_tokens"] + 1).where(~out["held_out"], 0)
+    out["n_first"] = 0
+    if len(out):
+        out.loc[out.index[0], "n_first"] = int(counts["first"].sum())
+    return out
+
+
+def language_model_scores(docs: DataFrame, states: int | None = STATES, telling: float = TELLING, chunk_bytes: int = CHUNK_BYTES, part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = spark.sparkContext.broadcast(tree(rows.filter("not held_out"), states, telling))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
@@ -272,8 +369,9 @@ def language_model_scores(docs: DataFrame, states: int = STATES, telling: float
     asked = dealt.mapInPandas(_asked, "chunk int, word binary, n long")
     same = Window.partitionBy("word")
     first = (F.row_number().over(same.orderBy("chunk")) == 1) & (F.sum("n").over(same) > 0)
-    sums = asked.select("chunk", "word", F.sum("n").over(same).alias("c"), first.alias("first")).repartition(n, "chunk")
-    scored = dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInPandas(_answered(model), SCORED)
+    sums = asked.select("chunk", "word", F.sum("n").over(same).alias("c"), first.alias("first"))
+    answers = sums.unionByName(_prices_of(dealt, n, states, telling, part)).repartition(n, "chunk")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_answered, SCORED)
     scored = written(scored, "scored")
     tokens, distinct, ends = scored.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_first"), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     vocabulary = distinct + (ends > 0)  # and the end token, which every training text has once
