@@ -308,7 +308,16 @@ def agg_video_history(spark, d):
 
 @query("agg_material_availability", "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items WHERE student_id < 5) GROUP BY 1")
 def agg_material_availability(spark, d):
-    both = T.bank(spark, d).filter("exam = 'SMALL'").select("content", "question_id").unionByName(T.items(spark, d).filter("student_id < 5").select("content", "question_id"))
+    return _materials(spark, d, T.items(spark, d).filter("student_id < 5"))
+
+
+@query("agg_material_availability_all", "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items) GROUP BY 1")
+def agg_material_availability_all(spark, d):
+    return _materials(spark, d, T.items(spark, d))
+
+
+def _materials(spark, d, items):
+    both = T.bank(spark, d).filter("exam = 'SMALL'").select("content", "question_id").unionByName(items.select("content", "question_id"))
     return both.groupBy("content").agg(F.count_distinct("question_id").alias("materials"))
 
 

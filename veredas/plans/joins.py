@@ -247,8 +247,16 @@ def join_needs_review(spark, d):
 @query("join_lexical", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank WHERE question_id < 200), n AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
 SELECT question_id, id, count(*) AS common FROM q JOIN n USING (t) GROUP BY 1, 2""")
 def join_lexical(spark, d):
-    questions = T.bank(spark, d).filter("question_id < 200").select("question_id", F.split("statement", " ").alias("tokens"))
-    places = T.nodes(spark, d).filter("type = 'SUBCONTENT'").select("id", F.split(F.lower("name"), " ").alias("tokens"))
-    return J.token_overlap(questions, "question_id", places, "id")
+    return _lexical(spark, d, T.bank(spark, d).filter("question_id < 200"))
 
 
+@query("join_lexical_all", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank), n AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
+SELECT question_id, id, count(*) AS common FROM q JOIN n USING (t) GROUP BY 1, 2""")
+def join_lexical_all(spark, d):
+    return _lexical(spark, d, T.bank(spark, d))
+
+
+def _lexical(spark, d, bank):
+    questions = bank.select("question_id", F.split("statement", " ").alias("tokens"))
+    places = T.nodes(spark, d).filter("type = 'SUBCONTENT'").select("id", F.split(F.lower("name"), " ").alias("tokens"))
+    return J.token_overlap(questions, "question_id", places, "id")

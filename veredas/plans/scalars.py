@@ -155,14 +155,26 @@ def fn_intent(spark, d):
 @query("fn_lexical_score", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank WHERE question_id < 100), n AS (SELECT id, length(name) AS depth, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
 SELECT * FROM (SELECT question_id, id, count(*) * 20 + max(depth) - CASE WHEN count(*) = 1 THEN 40 ELSE 0 END AS score FROM q JOIN n USING (t) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 5""")
 def fn_lexical_score(spark, d):
+    return _lexical_score(spark, d, T.bank(spark, d).filter("question_id < 100"))
+
+
+@query("fn_lexical_score_all", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank), n AS (SELECT id, length(name) AS depth, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
+SELECT * FROM (SELECT question_id, id, count(*) * 20 + max(depth) - CASE WHEN count(*) = 1 THEN 40 ELSE 0 END AS score FROM q JOIN n USING (t) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 5""")
+def fn_lexical_score_all(spark, d):
+    return _lexical_score(spark, d, T.bank(spark, d))
+
+
+def _lexical_score(spark, d, bank):
+    """The five best nodes of a question, found once for each distinct statement."""
     from veredas.operators.joins import token_overlap
     from veredas.operators.keys import first_per_key
 
-    questions = T.bank(spark, d).filter("question_id < 100").select("question_id", F.split("statement", " ").alias("tokens"))
+    statements = bank.select("statement").distinct().withColumn("tokens", F.split("statement", " "))
     places = T.nodes(spark, d).filter("type = 'SUBCONTENT'").select("id", F.length("name").alias("depth"), F.split(F.lower("name"), " ").alias("tokens"))
-    met = token_overlap(questions, "question_id", places, "id").join(places.select("id", "depth"), "id")
+    met = token_overlap(statements, "statement", places, "id").join(places.select("id", "depth"), "id")
     scored = met.withColumn("score", F.col("common") * 20 + F.col("depth") - F.when(F.col("common") == 1, 40).otherwise(0))
-    return first_per_key(scored, ["question_id"], [F.desc("score"), F.asc("id")], 5).select("question_id", "id", "score")
+    best = first_per_key(scored, ["statement"], [F.desc("score"), F.asc("id")], 5).select("statement", "id", "score")
+    return bank.select("question_id", "statement").join(best, "statement").select("question_id", "id", "score")
 
 
 @query("fn_overlap_score", "SELECT question_id, round(len(list_intersect(list_distinct(string_split(statement, ' ')), ['red', 'ring', 'widget']))::DOUBLE / 3, 4) AS score FROM bank WHERE len(list_intersect(list_distinct(string_split(statement, ' ')), ['red', 'ring', 'widget']))::DOUBLE / 3 >= 0.34")
