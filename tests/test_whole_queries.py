@@ -28,3 +28,18 @@ def test_no_id_is_left_out(name, spark, more, con):
 def test_every_question_has_candidates(spark, more):
     for name in ("join_lexical_all", "fn_lexical_score_all"):
         assert catalog.QUERIES[name](spark, more).select("question_id").distinct().count() == spark.read.parquet(f"{more}/part.parquet").count()
+
+
+TEXTS = [None, "", "a", " ", "\t \n", "1 starts with a digit", '"Quoted" text', " blank first", "漢字で書かれた文章です、とても短い", "12345 67890", "x" * 10, "x" * 11, "Ünder and over", "é", "same same same same same same", "0" * 80]
+
+
+def test_every_document_has_a_row(spark, con, more, tmp_path):
+    rows = [(2 * i + k, t) for i, t in enumerate(TEXTS) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    odd = duckdb.connect()
+    odd.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("src_text_recovery_all", "fn_quote_offset_all"):
+        for d, c in ((str(tmp_path), odd), (more, con)):
+            found = catalog.QUERIES[name](spark, d)
+            assert found.count() == c.execute("SELECT count(*) FROM documents").fetchone()[0]
+            same_rows(found, c, catalog.ORACLE[name])

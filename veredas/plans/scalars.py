@@ -507,8 +507,19 @@ def fn_array_first3(spark, d):
 
 @query("fn_quote_offset", "SELECT doc_id, position(substr(text, 11, 30) IN text) - 1 AS at_quote FROM documents WHERE length(text) >= 60")
 def fn_quote_offset(spark, d):
-    rows = _docs(spark, d).filter(F.length("text") >= 60).select("doc_id", "text", F.substring("text", 11, 30).alias("quote"))
-    return rows.select("doc_id", X.quote_offset(F.col("text"), F.col("quote")).cast("long").alias("at_quote"))
+    return _quoted(_docs(spark, d).filter(F.length("text") >= 60))
+
+
+@query("fn_quote_offset_all", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) < 11 THEN -1 ELSE position(substr(text, 11, 30) IN text) - 1 END AS at_quote FROM documents")
+def fn_quote_offset_all(spark, d):
+    """A text of up to 10 characters has an empty quote, which is nowhere; a null text has a null offset."""
+    return _quoted(_docs(spark, d))
+
+
+def _quoted(docs):
+    rows = docs.select("doc_id", "text", F.substring("text", 11, 30).alias("quote"))
+    at = F.when(F.col("quote") == "", -1).otherwise(X.quote_offset(F.col("text"), F.col("quote")))
+    return rows.select("doc_id", at.cast("long").alias("at_quote"))
 
 
 @query("fn_minutes_alloc")
