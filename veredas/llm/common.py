@@ -36,14 +36,16 @@ def number_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one if all tasks run in this process (a local master), else an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        given = spark.sparkContext.getCheckpointDir()
-        if not given:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veredas-"))
-            given = spark.sparkContext.getCheckpointDir()
-        where = given
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veredas-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -58,10 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder."""
+def _hadoop(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes the folder of a ``written`` table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where, fs = _hadoop(table.sparkSession, path)
+        fs.delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:

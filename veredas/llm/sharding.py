@@ -1,8 +1,10 @@
 """Sharding by fixed virtual slots.
 
 A record's hash puts it into one of thousands of virtual slots for good. Bytes are summed by slot, and a
-versioned map gives each slot's shard. Rebalancing edits the map: slots move, records keep their slots. The
-map has one row a slot (``slots`` rows, a parameter), so the driver edits it and every task gets all of it.
+stored, versioned map gives each slot's shard. Rebalancing edits the map: slots move, records keep their slots.
+A run reads the newest version at its path. It writes the next one only if a shard has outgrown the mean by more
+than ``SLACK``, or the number of shards has changed; of the slots only those move that this needs. The map has
+one row a slot (``slots`` rows, a parameter), so the driver edits it and every task gets all of it.
 
 Nulls: a null text has 0 bytes and the CRC of no bytes; a null id is hashed as empty text. Equal ids with
 different texts have slots of their own, so that one id may hold many rows; identical rows share a slot. An
@@ -17,11 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veredas.llm.common import pick, scratch_path
+from veredas.llm.common import exists, pick, scratch_path
 
 SLOTS = 8192
 OVERHEAD = 8  # bytes of a record besides its text
-SCHEMA = "version int, slot int, shard int, bytes long, n_rows long, first long"
+SLACK = 0.01  # a shard may be over the mean by this much before a stored map is edited
+SCHEMA = "version int, shards int, slot int, shard int, bytes long"
 
 
 @dataclass(frozen=True)
@@ -42,10 +45,11 @@ class SlotMap:
             out[self.shard[slot]] += size
         return out
 
-    def rebalanced(self, sizes: list[int], shards: int | None = None) -> SlotMap:
+    def rebalanced(self, sizes: list[int], shards: int | None = None, slack: float = 0.0) -> SlotMap:
         """The next version: slots leave the shards that hold more than the mean until no move helps.
 
-        The largest slots that fit go first, to the least loaded shard, so that few slots move.
+        The largest slots that fit go first, to the least loaded shard, so that few slots move. A shard that is over
+        the mean by no more than ``slack`` keeps its slots.
         """
         shards = shards or self.shards
         at = [s if s < shards else -1 for s in self.shard]
@@ -59,6 +63,8 @@ class SlotMap:
                 own[s].append(slot)
         goal = sum(sizes) / shards
         for s in range(shards):
+            if loads[s] <= (1 + slack) * goal:
+                continue
             keep = sorted((x for x in own[s] if sizes[x]), key=lambda x: (-sizes[x], x))
             kept = []
             for slot in keep:  # the largest that fit leave; what stays is just above the mean
@@ -100,40 +106,70 @@ def slot_sizes(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     return sizes, counts
 
 
-def save_map(spark: SparkSession, path: str, m: SlotMap, sizes: list[int], counts: list[int]) -> None:
-    """Adds a version to the map's table: a slot's shard, bytes, rows, and its first row's place in its shard."""
-    place, rows = [0] * m.shards, []
-    for slot, shard in enumerate(m.shard):
-        rows.append((m.version, slot, shard, sizes[slot], counts[slot], place[shard]))
-        place[shard] += counts[slot]
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+def save_map(spark: SparkSession, path: str, m: SlotMap, sizes: list[int]) -> None:
+    """Writes a version of the map, in a folder of its own: each slot's shard, and its bytes at the time.
 
+    A version is written once. Another writer of the same version makes this one fail.
+    """
+    rows = [(m.version, m.shards, slot, shard, sizes[slot]) for slot, shard in enumerate(m.shard)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{path}/v{m.version:08d}")
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The rows of one version, the newest if none is given."""
-    table = spark.read.schema(SCHEMA).parquet(path)
-    version = version or table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == version)
 
+def load_map(spark: SparkSession, path: str, slots: int = SLOTS, version: int | None = None) -> SlotMap | None:
+    """One version, the newest if none is given; None if there is no map yet.
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    A version that a lost driver left unfinished has fewer rows than slots and is passed over.
+    """
+    if not exists(spark, path):
+        return None
+    table = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    whole = table.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()  # a row a version
+    if any(r["last"] >= slots for r in whole):
+        raise ValueError(f"the map at {path} has more than {slots} slots")
+    known = [r["version"] for r in whole if r["n"] == slots and (version is None or r["version"] == version)]
+    if not known:
+        return None
+    rows = table.filter(F.col("version") == max(known)).orderBy("slot").collect()  # a row a slot
+    return SlotMap(max(known), rows[0]["shards"], tuple(r["shard"] for r in rows))
+
+
+def edited_map(spark: SparkSession, path: str, sizes: list[int], shards: int, slack: float = SLACK) -> SlotMap:
+    """The stored map if it still serves these sizes, else its next version, which is saved."""
+    slots = len(sizes)
+    old = load_map(spark, path, slots)
+    if old is None:
+        old = SlotMap.first(slots, shards)
+        save_map(spark, path, old, sizes)
+        slack = 0.0
+    if old.shards == shards and max(old.loads(sizes)) <= (1 + slack) * sum(sizes) / shards:
+        return old
+    new = old.rebalanced(sizes, shards, slack)
+    if (new.shards, new.shard) == (old.shards, old.shard):  # no move helps: single slots are that large
+        return old
+    save_map(spark, path, new, sizes)
+    return new
+
+
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None, slack: float = SLACK) -> DataFrame:
     """Every row with its shard, by the law ``bytes``: shards hold near equal bytes.
 
     Returns doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null:
-    that law has none), virtual_slot, map_version. The map's versions are kept at ``path``. One shuffle, of
-    narrow rows, by virtual slot; the map of ``slots`` rows is broadcast.
+    that law has none), virtual_slot, map_version. The map's versions are kept at ``path``, and a later run on
+    that path goes on from the newest. One shuffle, of narrow rows, by virtual slot; the map of ``slots`` rows is
+    broadcast.
     """
     spark = docs.sparkSession
     rows = slotted(docs, slots)
     sizes, counts = slot_sizes(rows, slots)
-    path = path or scratch_path(spark, "slot-map")
-    start = SlotMap.first(slots, shards)
-    save_map(spark, path, start, sizes, counts)
-    save_map(spark, path, start.rebalanced(sizes), sizes, counts)
-    slot_map = load_map(spark, path).select(F.col("slot").alias("virtual_slot"), "shard", "first", F.col("version").alias("map_version"))
+    m = edited_map(spark, path or scratch_path(spark, "slot-map"), sizes, shards, slack)
+    place, told = [0] * shards, []
+    for slot, s in enumerate(m.shard):  # a slot's rows lie together in its shard
+        told.append((slot, s, place[s]))
+        place[s] += counts[slot]
+    slot_map = spark.createDataFrame(told, "virtual_slot int, shard int, first long")
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     placed = rows.withColumn("inside", F.row_number().over(inside) - 1).join(F.broadcast(slot_map), "virtual_slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(m.version).alias("map_version"),
     )
