@@ -1,36 +1,45 @@
-"""WARC archives as chunked records.
+"""WARC archives by way of a chunked record table.
 
-Writing: each page is a record, its payload cut into chunks of ``CHUNK`` characters. The chunk rows (record, chunk
-number, header, bytes) are written as WARC: the first chunk's record is the page's, later ones are ``continuation``
-segments with a segment number and the record's identifier, as the format has it for oversized payloads. Every chunk
-carries its own digest, the record's first one that of the payload. Of equal payloads of ``LEAST`` bytes or more, the
-page of the largest id is stored, and the others are ``revisit`` records without a payload.
+Writing: payloads are cut into chunks of ``CHUNK`` characters. A chunk is a row (record number, chunk number, bytes so
+far, digest so far): the digest runs on from chunk to chunk, so the last row has the payload's, and no payload is
+digested or copied whole. Which pages revisit others is decided on the last rows alone, without their bodies. The
+chunk rows are then written as WARC: the first chunk's record is the page's, later ones are ``continuation`` segments
+with a segment number and the record's identifier, as the format has it for oversized payloads. Every chunk carries
+its own digest and the payload's so far. Of equal payloads of ``LEAST`` bytes or more, the page of the largest id is
+stored, and the others are ``revisit`` records without a payload.
 
-Reading: archives are streamed record by record, never as whole files: each record starts with a line that
-names its collection (``WARC-Warcinfo-ID``, a fresh identifier), and that line divides the stream. Lengths and digests
-are checked against the headers; a mismatch is an error. Payloads of several chunks are digested incrementally:
-chunks sorted by record and number run through a digest that only keeps its state.
+Reading: archives are streamed record by record: each record starts with a line that names its collection
+(``WARC-Warcinfo-ID``, a fresh identifier), and that line divides the stream. Lengths and digests are checked against
+the headers; a mismatch is an error. A record's chunks lie one after the other in a file and run through a digest
+that only keeps its state. Records that two files share are read again, and only their chunks are shuffled.
+
+A file is one gzip stream, not a member a record: Spark's writer has no other.
 
 Nulls: a null html is an empty payload, a null url an empty one. A null page_id is never referred to: pages of null id
 with an equal payload revisit the largest id, or are responses if there is none. Pages that repeat the
-largest id are all responses. An empty table gives archives without pages. Other columns are ignored.
+largest id are all responses. An empty table gives archives without pages. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veredas.llm.common import pick, scratch_path
+from veredas.llm.common import pick, remove, scratch_path, written
 
 LEAST = 1000
-CHUNK = 262_144  # characters of a chunk
+CHUNK = 4096  # characters of a chunk
 RECORDS = 40_000  # lines of two a chunk in a file
+HELD = 4_000_000  # bytes of chunks that a task hands on at a time
+MOST_BROADCAST = 500_000  # revisits, about 100 bytes each
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
@@ -39,125 +48,199 @@ def _mark(collection: str) -> str:
     return f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{collection}>\r\n"
 
 
-def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, size, digest, keep (the page that this one revisits, or null)."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pick(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    equal = rows.filter(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = rows.join(equal, ["digest", "size"], "left")
-    return met.withColumn("keep", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+def _chunker(chunk: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, of, told, held = TaskContext.get().partitionId() << 40, [], [], 0
+        for batch in batches:
+            ids, urls = batch.column("page_id"), batch.column("url")
+
+            def handed(ids=ids, urls=urls) -> pa.RecordBatch:
+                at, rest = pa.array(of, pa.int64()), zip(*told, strict=True)
+                rec, no, last, body, size, digest = (list(c) for c in rest)
+                out = [rec, ids.take(at), urls.take(at), no, last, body, size, digest]
+                return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+            for i, html in enumerate(batch.column("html")):
+                text, state, size = html.as_py() or "", hashlib.sha1(), 0
+                for no, start in enumerate(range(0, max(1, len(text)), chunk), 1):
+                    body = text[start : start + chunk]
+                    data = body.encode("utf-8", "surrogatepass")
+                    state.update(data)
+                    size += len(data)
+                    held += len(data)
+                    of.append(i)
+                    told.append((record, no, start + chunk >= len(text), body, size, state.hexdigest()))
+                    if held >= HELD:
+                        yield handed()
+                        of, told, held = [], [], 0
+                record += 1
+            if of:
+                yield handed()
+                of, told, held = [], [], 0
+
+    return run
 
 
-def _record_id(page: Column, digest: Column, number: Column | None = None) -> Column:
-    parts = [F.coalesce(page.cast("string"), F.lit("")), digest] + ([number.cast("string")] if number is not None else [])
-    h = F.md5(F.concat_ws("|", *parts))
-    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+def chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row a chunk: record, page_id, url, chunk_no (from 1), last, body, and the payload's size and digest so far."""
+    rows = pick(pages, "page_id", "url", "html")
+    kind = dict(rows.dtypes)["page_id"]
+    out = rows.select("page_id", "url").limit(0).toArrow().schema
+    schema = pa.schema([("record", pa.int64()), ("page_id", out.field("page_id").type), ("url", pa.string()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("body", pa.string()), ("size", pa.int64()), ("digest", pa.string())])
+    rows = rows.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_chunker(chunk, schema), f"record long, page_id {kind}, url string, chunk_no int, last boolean, body string, size long, digest string")
 
 
-def chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row a chunk: page_id, record_id, chunk_no (from 1), n_chunks, body, header lines."""
-    plan = planned(pages).withColumn("revisit", F.col("keep").isNotNull())
-    n = F.when(F.col("revisit"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.char_length("html") / chunk))).cast("int")
-    rows = plan.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.col("n_chunks"))))
-    body = F.when(F.col("revisit"), "").when(F.col("n_chunks") == 1, F.col("html")).otherwise(F.substring("html", (F.col("chunk_no") - 1) * chunk + 1, F.lit(chunk)))
-    rows = rows.withColumn("body", body)
-    first, many = F.col("chunk_no") == 1, F.col("n_chunks") > 1
-    origin = _record_id(F.col("page_id"), F.col("digest"))
+def revisits(table: DataFrame) -> DataFrame:
+    """record, keep (the page that it revisits), payload, total: of the chunk table's records that store nothing."""
+    ends = table.filter("last").select("record", "page_id", F.col("digest").alias("payload"), F.col("size").alias("total"))
+    equal = ends.filter(F.col("total") >= LEAST).groupBy("payload", "total").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keep is not null").drop("n")
+    return ends.join(equal, ["payload", "total"]).filter(~F.col("page_id").eqNullSafe(F.col("keep"))).select("record", "keep", "payload", "total")
+
+
+def _identifier(collection: str, record: Column, number: Column | None = None) -> Column:
+    h = F.md5(F.concat_ws("|", F.lit(collection), record.cast("string"), *([number.cast("string")] if number is not None else [])).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), *[x for k, n in ((1, 8), (9, 4), (13, 4), (17, 4)) for x in (F.substring(h, k, n), F.lit("-"))], F.substring(h, 21, 12), F.lit(">"))
+
+
+def _headers(collection: str) -> Column:
+    """A chunk's header lines, of the chunk table with keep, payload and total of revisits."""
+    first, many, revisit = F.col("chunk_no") == 1, (F.col("chunk_no") > 1) | ~F.col("last"), F.col("keep").isNotNull()
+    segment = many & ~revisit
+    origin = _identifier(collection, F.col("record"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
-    lines = [
-        line("WARC-Type", F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.when(first, origin).otherwise(_record_id(F.col("page_id"), F.col("digest"), F.col("chunk_no")))),
+    return F.concat_ws(
+        "\r\n",
+        line("WARC-Type", F.when(~first, "continuation").when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID", F.when(first, origin).otherwise(_identifier(collection, F.col("record"), F.col("chunk_no")))),
         F.lit(f"WARC-Date: {DATE}"),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", " ")),
         line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(first, line("X-Payload-Length", F.col("size"))),
-        F.when(first, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))),
+        F.when(revisit, line("X-Payload-Length", F.col("total"))),
+        F.when(revisit, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload"))),
+        F.when(~revisit & F.col("last"), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))),
         F.concat(F.lit("WARC-Block-Digest: sha1:"), F.sha1("body")),
-        F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(F.col("revisit"), line("WARC-Refers-To", _record_id(F.col("keep"), F.col("digest")))),
-        F.when(F.col("revisit"), line("X-Refers-To-Page", F.col("keep"))),
-        F.when(many, line("WARC-Segment-Number", F.col("chunk_no"))),
+        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(revisit, line("X-Refers-To-Page", F.col("keep"))),
+        F.when(segment, line("WARC-Segment-Number", F.col("chunk_no"))),
+        F.when(segment, F.concat(F.lit("X-Digest-So-Far: sha1:"), F.col("digest"))),
         F.when(~first, line("WARC-Segment-Origin-ID", origin)),
-        F.when(many & (F.col("chunk_no") == F.col("n_chunks")), line("WARC-Segment-Total-Length", F.col("size"))),
+        F.when(segment & F.col("last"), line("WARC-Segment-Total-Length", F.col("size"))),
         F.lit("Content-Type: text/html"),
         line("Content-Length", F.octet_length("body")),
-    ]
-    return rows.select("page_id", origin.alias("record_id"), "chunk_no", "n_chunks", "body", F.concat_ws("\r\n", *lines).alias("header"))
+    )
 
 
-def write(pages: DataFrame, path: str, chunk: int = CHUNK, records: int = RECORDS) -> str:
+def write(pages: DataFrame, path: str, chunk: int = CHUNK, records: int = RECORDS, most_broadcast: int = MOST_BROADCAST) -> str:
     """Writes gzipped WARC files of at most ``records`` lines to ``path``; returns the collection's identifier."""
     spark, collection = pages.sparkSession, str(uuid.uuid4())
     mark = _mark(collection)
+    table = written(chunks(pages, chunk), "warc-chunks")
+    again = written(revisits(table), "warc-revisits")
+    small = again.count() <= most_broadcast
+    met = table.join(F.broadcast(again) if small else again, "record", "left").filter("keep is null or chunk_no = 1")
+    if not small:  # a shuffle parts neighbours
+        met = met.sortWithinPartitions("record", "chunk_no")
+    met = met.withColumn("body", F.when(F.col("keep").isNotNull(), "").otherwise(F.col("body")))
     # the separator of lines is that of a header and its block, and of two records
-    rows = chunks(pages, chunk).select(F.explode(F.array(F.concat(F.lit(mark), "header"), "body")).alias("value"))
+    rows = met.select(F.explode(F.array(F.concat(F.lit(mark), _headers(collection)), "body")).alias("value"))
     about = "software: veredas\r\nformat: WARC File Format 1.1\r\n"
     info = f"{mark}WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{collection}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}"
     to = lambda df, mode: df.write.mode(mode).option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
     to(spark.createDataFrame([([info, about],)], "v array<string>").select(F.explode("v").alias("value")).coalesce(1), "errorifexists")
     to(rows, "append")
+    remove(table)
+    remove(again)
     return collection
 
 
+def _parsed(value: str) -> tuple[dict[str, str], bytes]:
+    """A record's header fields and block, checked against its own length and digest."""
+    head, _, rest = value.partition(END)
+    fields = dict(line.partition(": ")[::2] for line in head.split("\r\n"))
+    data = rest.encode("utf-8", "surrogatepass")
+    known = fields.get("WARC-Block-Digest")
+    if not data.endswith(b"\r\n\r\n") or len(data) - 4 != int(fields.get("Content-Length", -1)) or known and known != f"sha1:{hashlib.sha1(data[:-4]).hexdigest()}":
+        raise ValueError(f"WARC record damaged: {fields.get('WARC-Record-ID')}")
+    return fields, data[:-4]
+
+
+def _lines(spark: SparkSession, path: str, collection: str) -> DataFrame:
+    return spark.read.option("lineSep", _mark(collection)).text(path).filter("value != ''")
+
+
+NAMES = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "origin": "WARC-Segment-Origin-ID", "segment": "WARC-Segment-Number", "page_id": "X-Page-ID", "url": "WARC-Target-URI", "payload": "WARC-Payload-Digest", "refers_to": "X-Refers-To-Page"}
+
+
+def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [_parsed(v) for v in batch["value"]]
+        yield pd.DataFrame([(*[f.get(n) for n in NAMES.values()], b.decode("utf-8", "surrogatepass")) for f, b in found if f["WARC-Type"] != "warcinfo"], columns=[*NAMES, "body"], dtype=object)
+
+
 def records(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """The records of the archives, checked: their headers' fields, body, and its length."""
-    raw = spark.read.option("lineSep", _mark(collection)).text(path).filter("value != ''")
-    cut = raw.select(F.concat(F.lit("\r\n"), F.substring_index("value", END, 1), F.lit("\r\n")).alias("header"), "value")
-    size = F.char_length("header") - 4
-    body = F.substring(F.col("value"), size + 5, F.char_length("value") - size - 8)
-    rows = cut.select("header", body.alias("body"), F.endswith("value", F.lit(END)).alias("ended"))
-    field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    names = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "page_id": "X-Page-ID", "payload_length": "X-Payload-Length", "payload": "WARC-Payload-Digest", "block": "WARC-Block-Digest", "refers_to": "X-Refers-To-Page", "segment": "WARC-Segment-Number", "origin": "WARC-Segment-Origin-ID", "total": "WARC-Segment-Total-Length", "length": "Content-Length"}
-    told = rows.select(*[field(n).alias(k) for k, n in names.items()], "body", "ended").filter("type != 'warcinfo'")
-    whole = F.col("ended") & (F.octet_length("body") == F.col("length").cast("int")) & (F.concat(F.lit("sha1:"), F.sha1("body")) == F.col("block"))
-    return told.withColumn("body", F.when(whole, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("WARC record damaged: "), F.col("record_id")))))
-
-
-def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted chunks to one row a record: only a digest's state is kept between chunks."""
-    at, number, size, state = None, 0, 0, None
+    """The records of the archives, checked: their headers' fields as text, and their block."""
+    return _lines(spark, path, collection).mapInPandas(_fields, ", ".join(f"{n} string" for n in [*NAMES, "body"]))
+
+
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, parted string"
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a page. Between chunks only a digest's state is kept; ``parted`` names a record whose chunks aren't all here."""
+    columns = [x.split()[0] for x in READ.split(", ")]
+    open_, number, size, state = None, 0, 0, None
     for batch in batches:
         done = []
-        for origin, segment, body, total in zip(batch["origin"], batch["segment"], batch["body"], batch["total"], strict=True):
-            if origin != at:
-                at, number, size, state = origin, 0, 0, hashlib.sha1()
-            if segment == number:  # a page repeated in all columns has its chunks twice
+        part = lambda record, done=done: done.append((None, None, None, None, None, record))
+        for value in batch["value"]:
+            f, body = _parsed(value)
+            kind, page = f["WARC-Type"], f.get("X-Page-ID") or None
+            if kind == "warcinfo":
+                continue
+            if kind == "revisit":
+                done.append((page, int(f["X-Payload-Length"]), f["WARC-Payload-Digest"][5:], kind, f["X-Refers-To-Page"], None))
                 continue
-            if segment != number + 1:
-                raise ValueError(f"WARC record {origin}: chunk {number + 1} is missing")
-            data = body.encode("utf-8", "surrogatepass")
-            state.update(data)
-            number, size = number + 1, size + len(data)
-            if total == total and total is not None:
-                if size != int(total):
-                    raise ValueError(f"WARC record {origin}: {size} bytes of {total}")
-                done.append((origin, size, state.hexdigest()))
-        yield pd.DataFrame(done, columns=["origin", "payload_bytes", "digest"])
+            record, segment = f.get("WARC-Segment-Origin-ID") or f["WARC-Record-ID"], int(f.get("WARC-Segment-Number", 1))
+            if open_ and (record, segment) != (open_, number + 1):
+                part(open_)
+                open_ = None
+            if open_ is None:
+                if segment > 1:
+                    part(record)
+                    continue
+                open_, number, size, state = record, 0, 0, hashlib.sha1()
+            state.update(body)
+            number, size = number + 1, size + len(body)
+            told, last = f.get("X-Digest-So-Far"), f.get("WARC-Payload-Digest")
+            if told and told[5:] != state.hexdigest() or last and last[5:] != state.hexdigest() or int(f.get("WARC-Segment-Total-Length", size)) != size:
+                raise ValueError(f"WARC payload damaged: record {record}, chunk {segment}")
+            if last:
+                done.append((page, size, state.hexdigest(), "response", None, None))
+                open_ = None
+        yield pd.DataFrame(done, columns=columns).astype({"payload_bytes": "Int64"})
+    if open_:
+        yield pd.DataFrame([(None, None, None, None, None, open_)], columns=columns).astype({"payload_bytes": "Int64"})
 
 
 def read(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page in the archives."""
-    found = records(spark, path, collection)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    several = found.filter("segment is not null").select(F.coalesce("origin", "record_id").alias("origin"), F.col("segment").cast("int").alias("segment"), "body", F.col("total").cast("long").alias("total"))
-    several = several.repartition(parts, "origin").sortWithinPartitions("origin", "segment")
-    digests = several.mapInPandas(_digested, "origin string, payload_bytes long, digest string")
-    pages = found.filter("type != 'continuation'")
-    known = F.substring("payload", 6, 40)
-    one = pages.filter("segment is null").select(
-        "page_id", F.when(F.col("type") == "revisit", F.col("payload_length").cast("long")).otherwise(F.octet_length("body")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", known).otherwise(F.sha1("body")).alias("digest"), known.alias("known"), "type", "refers_to",
-    )
-    heads = pages.filter("segment is not null").select("page_id", F.col("record_id").alias("origin"), known.alias("known"), "type", "refers_to")
-    many = heads.join(digests, "origin").select("page_id", "payload_bytes", "digest", "known", "type", "refers_to")
-    checked = F.when(F.col("digest") == F.col("known"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("WARC payload damaged: page "), F.col("page_id"))))
-    return one.unionAll(many).select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("payload_bytes").cast("long").alias("payload_bytes"), checked.alias("payload_digest"),
-        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),
-    )
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page in the archives; ids are text."""
+    lines = _lines(spark, path, collection)
+    told = written(lines.mapInPandas(_streamed, READ), "warc-read")
+    whole = told.filter("parted is null").drop("parted")
+    parted = told.filter("parted is not null").select("parted").distinct()  # at most two records a file
+    if parted.isEmpty():
+        return whole
+    field = lambda name: F.regexp_extract(F.concat(F.lit("\r\n"), F.substring_index("value", END, 1), F.lit("\r\n")), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    named = lines.select("value", F.coalesce(F.nullif(field("WARC-Segment-Origin-ID"), F.lit("")), field("WARC-Record-ID")).alias("parted"), F.coalesce(F.nullif(field("WARC-Segment-Number"), F.lit("")), F.lit("1")).cast("int").alias("segment"))
+    met = named.join(parted, "parted", "left_semi").repartition("parted").sortWithinPartitions("parted", "segment").select("value").mapInPandas(_streamed, READ)
+    lost = F.raise_error(F.concat(F.lit("WARC record without all its chunks: "), F.col("parted")))
+    return whole.unionAll(met.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("parted").isNull(), F.col("record_type")).otherwise(lost).alias("record_type"), "refers_to"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The pages written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = path or scratch_path(pages.sparkSession, "warc")
-    return read(pages.sparkSession, path, write(pages, path, chunk))
+    found = read(pages.sparkSession, path, write(pages, path, chunk))
+    kind = dict(pick(pages, "page_id").dtypes)["page_id"]
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
