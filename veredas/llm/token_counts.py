@@ -1,15 +1,18 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of more than ``CHUNK`` characters is encoded in overlapping chunks, each with the offsets of its
-boundaries. Two neighbours are spliced at the last stable boundary that both have in their overlap; if they
-share none there, the overlap is widened until they do, or until the chunk reaches the text's end. No more than
-a chunk and its overlap is encoded at a time.
+A text of more than ``CHUNK`` bytes is encoded by the library in overlapping chunks, with the offsets of its
+tokens. Two neighbours are spliced at the last boundary in their overlap that both have and that is proven stable.
+If there is none, the overlap is widened, back to the last splice; if there is none there either, one stretch goes on
+past the chunk, and the chunk grows (doubling, so the work stays in proportion) until the stretch ends.
 
 A boundary is stable if no merge of the vocabulary can cross it: no piece holds these two characters side by
 side. That is read off the vocabulary, so it is proven, not hoped for: merges act on one side or the other, and
-the tokens of a text are the tokens of the stretches between stable boundaries. The encoder uses the same
-fact within a chunk: stretches (mostly words) are encoded by the library once and remembered, in a table that
-is emptied when it holds ``MEMO`` of them.
+the tokens of a text are the tokens of the stretches between stable boundaries. Such pairs are frequent in text of any
+script, with or without spaces. What is encoded at a time is bounded by a chunk, its overlap and the longest stretch
+without such a pair (a long run of one letter is one: the library too can only encode it whole).
+
+Texts up to ``CHUNK`` use the same fact: their stretches from space to space are encoded by the library once and
+remembered, in a table that is emptied when it holds ``MEMO`` of them.
 
 Nulls: a null text counts as empty, 0 tokens. Ties, repeated rows and null ids are rows like others. An
 empty table gives no rows. Other columns are ignored, whatever their names.
@@ -22,6 +25,7 @@ import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from veredas.llm.common import pick
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CHUNK = 32_768
+CHUNK = 32_768  # bytes
 OVERLAP = 256
 MEMO = 400_000
 BATCH = 2_000_000  # characters encoded at a time
@@ -71,22 +75,21 @@ class Counter32k:
             self.memo[MARK] = 1
         return self.memo
 
-    def stable(self, text: str, i: int) -> bool:
-        """Whether no token can reach over text[i - 1 : i + 1]."""
-        return text[i - 1 : i + 1].replace(" ", MARK) not in self.inner
-
-    def offsets(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
-        """(offset, tokens so far) at the chunk's starts of words, its own start and its end."""
-        marked = text[start:end].replace(" ", MARK)
-        out, at, n = [(start, 0)], start, 0
-        inside = start and not marked.startswith(MARK)
-        found = self.stretch.findall(MARK + marked if inside or not start else marked)
-        memo = self.learn(found)
-        for k, s in enumerate(found):
-            at += len(s) - (k == 0 and (inside or not start))
-            n += memo[s]
-            out.append((at, n))
-        return out
+    def stable(self, data: bytes, at: int) -> bool:
+        """Whether no token can reach over this offset, which is that of a character."""
+        before = _cut(data, at - 1)
+        pair = data[before : _cut(data, at + 4, at)].decode()[:2].replace(" ", MARK)
+        return pair not in self.inner
+
+    def offsets(self, data: bytes, start: int, end: int) -> np.ndarray:
+        """Where in the text the tokens of a chunk begin, as the library gives it."""
+        found = self.model.encode(data[start:end].decode(), return_type="proto").pieces
+        return np.fromiter((p.begin for p in found), np.int64, len(found)) + start
+
+    def common(self, data: bytes, here: np.ndarray, after: np.ndarray, low: int, high: int) -> int | None:
+        """The last stable boundary between these offsets that both chunks have."""
+        both = np.intersect1d(here[(here > low) & (here < high)], after[(after > low) & (after < high)])
+        return next((at for at in both[::-1].tolist() if self.stable(data, at)), None)
 
     def whole(self, texts: list[str]) -> list[int]:
         """Tokens of each of some texts; these should be a few MB at most together."""
@@ -96,28 +99,35 @@ class Counter32k:
 
     def chunked(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """The same number from overlapping chunks."""
-        if not text:
-            return 0
-        total, start, size = 0, 0, len(text)
-        while True:
-            end = min(size, start + chunk)
-            here = self.offsets(text, start, end)
-            if end == size:
-                return total + here[-1][1]
-            width = overlap
+        data = text.encode()
+        size = len(data)
+        begin, start, end = 0, 0, _cut(data, chunk)  # the chunk, and the last splice in it
+        total, here = 0, self.offsets(data, 0, end)
+        while end < size:
+            width, high = overlap, _cut(data, end + chunk)
             while True:
-                after_end = min(size, end + width)
-                after = self.offsets(text, max(start + 1, end - width), after_end)
-                # the first stretch of `after` may have begun before it, the last of `here` may go on: neither end counts
-                ours = {at: n for at, n in here[1:-1] if self.stable(text, at)}
-                common = [at for at, _ in after[1:-1] if at in ours]
-                if common or after_end == size:
+                low = _cut(data, max(begin, end - width))
+                after = self.offsets(data, low, high)
+                at = self.common(data, here, after, max(start, low), end)
+                if at is not None or low <= start:
                     break
-                width *= 2
-                here = self.offsets(text, start, min(size, end + width))  # both sides widen
-            if not common:
-                return total + self.offsets(text, start, size)[-1][1]
-            total, start = total + ours[common[-1]], common[-1]
+                width *= 8
+            if at is None:
+                end = _cut(data, end + max(chunk, end - begin))
+                here = self.offsets(data, begin, end)
+            else:
+                total += int(np.searchsorted(here, at) - np.searchsorted(here, start))
+                begin, start, end, here = low, at, high, after
+        return total + int(len(here) - np.searchsorted(here, start))
+
+
+def _cut(data: bytes, at: int, least: int = 0) -> int:
+    """The offset of the character that this byte is in; the end if it is past that."""
+    if at >= len(data):
+        return len(data)
+    while at > least and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
 
 
 @functools.cache
@@ -133,8 +143,9 @@ def counts(texts: Iterable[str | None], model: str = MODEL, chunk: int = CHUNK,
     few: list[int] = []
     size = 0
     for i, t in enumerate(texts):
-        out.append(counter.chunked(t, chunk, overlap) if len(t) > chunk else 0)
-        if len(t) <= chunk:
+        long = len(t) > chunk or 4 * len(t) > chunk and len(t.encode()) > chunk
+        out.append(counter.chunked(t, chunk, overlap) if long else 0)
+        if not long:
             few.append(i)
             size += len(t)
         if size > BATCH or i == len(texts) - 1:
