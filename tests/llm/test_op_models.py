@@ -51,6 +51,34 @@ def test_chunks_are_spliced_exactly(text):
         assert token_counts.counts([text], chunk=chunk, overlap=overlap) == [len(library.encode(text))]
 
 
+@pytest.mark.parametrize("kind", ["letters", "han", "mixed", "words", "run"])
+def test_huge_texts_in_bounded_chunks(kind):
+    """Texts without spaces too: the library's count, and no more encoded at a time than chunks and overlaps are long."""
+    draw = np.random.default_rng(7)
+    text = {
+        "letters": lambda: "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 300_000)),
+        "han": lambda: "".join(map(chr, draw.integers(0x4E00, 0x9FFF, 60_000))),
+        "mixed": lambda: "".join(draw.choice(["é", "\U0001f600", "漢", "字", "the", " ", "  ", "▁", "\n", "quick", "a", "aa"], 100_000)),
+        "words": lambda: " ".join(draw.choice(["alpha", "beta", "un", "antidisestablishmentarianism"], 60_000)),
+        "run": lambda: "x " * 10_000 + "a" * 90_000 + " end" * 10_000,
+    }[kind]()
+    counter = token_counts._counter(token_counts.MODEL)
+    encode, longest, all_ = counter.offsets, [0], [0]
+
+    def watched(data, start, end):
+        longest[0], all_[0] = max(longest[0], end - start), all_[0] + end - start
+        return encode(data, start, end)
+
+    counter.offsets = watched
+    try:
+        found = counter.chunked(text, 8192, 64)
+    finally:
+        del counter.offsets
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+    assert found == len(library.encode(text))
+    assert longest[0] <= (400_000 if kind == "run" else 3 * 8192) and all_[0] <= (6 if kind == "run" else 3) * len(text.encode())
+
+
 def test_languages_on_held_out_rows(spark, more):
     found = queries.QUERIES["op4_language_id"](spark, more)
     rows = found.join(spark.read.parquet(f"{more}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang is not null and text rlike '[a-z]'").collect()

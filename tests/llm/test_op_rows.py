@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,9 +71,62 @@ def test_rebalancing_moves_few_slots():
 
 
 def test_slot_map_versions(spark, odd, tmp_path):
+    """A second run on one path reads the map, a third edits it: records keep their slots, rows aren't multiplied."""
     path = str(tmp_path / "map")
-    sharding.shard(odd, 4, slots=64, path=path).collect()
-    assert sharding.load_map(spark, path).first()["version"] == 2 and sharding.load_map(spark, path, 1).count() == 64
+    first = sharding.shard(odd, 4, slots=64, path=path).collect()
+    known = sharding.load_map(spark, path, 64)
+    assert known.version == 2 and sharding.load_map(spark, path, 64, 1).version == 1
+    again = sharding.shard(odd, 4, slots=64, path=path).collect()
+    assert sorted(map(str, again)) == sorted(map(str, first)) and sharding.load_map(spark, path, 64) == known
+    grown = sharding.shard(odd, 5, slots=64, path=path).collect()
+    new = sharding.load_map(spark, path, 64)
+    assert new.version == 3 and new.shards == 5 and len(grown) == len(ODD) and {r["map_version"] for r in grown} == {3}
+    slots = lambda rows: sorted((str(r["doc_id"]), r["text_crc32"], r["virtual_slot"]) for r in rows)
+    assert slots(grown) == slots(first)
+    assert all(r["shard"] == new.shard[r["virtual_slot"]] for r in grown)
+    with pytest.raises(ValueError, match="slots"):
+        sharding.load_map(spark, path, 32)
+
+
+def test_unfinished_map_version_is_passed_over(spark, tmp_path):
+    path, m = str(tmp_path / "map"), sharding.SlotMap.first(8, 2)
+    sharding.save_map(spark, path, m, [1] * 8)
+    spark.createDataFrame([(2, 2, 0, 1, 1)], sharding.SCHEMA).write.parquet(f"{path}/v00000002")
+    assert sharding.load_map(spark, path, 8) == m
+
+
+def test_shards_by_brute_force(spark, docs, odd):
+    """Slots are recomputed in plain Python from the map that was saved, and the bytes of each shard are near equal."""
+    import xxhash
+
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text").collect()
+        found = sharding.shard(df, 4)
+        got = sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["virtual_slot"]) for r in found.collect())
+        want = []
+        for doc_id, text in rows:
+            data = (text or "").encode()
+            crc = zlib.crc32(data)
+            h = xxhash.xxh64_intdigest(crc.to_bytes(8, "little"), xxhash.xxh64_intdigest(("" if doc_id is None else str(doc_id)).encode(), 42))
+            want.append((str(doc_id), len(data) + 8, crc, h % sharding.SLOTS if h < 1 << 63 else (h - (1 << 64)) % sharding.SLOTS))
+        assert got == sorted(want)
+        of = {}
+        for r in found.collect():
+            assert of.setdefault(r["virtual_slot"], r["shard"]) == r["shard"]
+        loads = [0] * 4
+        for r in found.collect():
+            loads[r["shard"]] += r["size"]
+        assert max(loads) - sum(loads) / 4 <= max(w[1] for w in want)
+
+
+def test_map_moves_little_for_little_growth():
+    sizes = [(i * 7919) % 101 + 1 for i in range(1000)]
+    old = sharding.SlotMap.first(1000, 10).rebalanced(sizes)
+    sizes[3] += 700  # one shard outgrows the mean
+    new = old.rebalanced(sizes, slack=0.01)
+    moved = [s for s in range(1000) if old.shard[s] != new.shard[s]]
+    assert 0 < len(moved) < 60 and {old.shard[s] for s in moved} == {old.shard[3]}
+    assert max(new.loads(sizes)) <= 1.02 * sum(sizes) / 10
 
 
 BENCH = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (None, "no id here"), (4, None), (5, "..."), (6, "short ITEM")]
@@ -82,7 +136,7 @@ DIRTY = [
 ]
 
 
-@pytest.mark.parametrize("most", [1000, 0])
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
 def test_decontamination(spark, most):
     docs, bench = spark.createDataFrame(DIRTY, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
     want = []
@@ -99,6 +153,17 @@ def test_decontamination(spark, most):
     assert (1, ("x", "y")) in parts and (3, ("a", "a")) in parts and (7, ()) in parts and (7, ("clean",)) in parts
 
 
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_spans_are_a_texts_own(spark, most):
+    """Rows of one id with as many words each: only the hit words of a row's own text go."""
+    bench = spark.createDataFrame([(2, "short item")], "item_id long, text string")
+    rows = [(7, "short item red blue"), (7, "red blue green gold"), (8, "a short item"), (8, "short item b"), (None, "x short item"), (None, "y z w"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), tuple(r["parts"])) for r in decontamination.without_spans(docs, bench, most_broadcast=most).collect())
+    assert found == sorted([("7", ("red blue",)), ("7", ("red blue green gold",)), ("8", ("a",)), ("8", ("b",)), ("None", ("x",)), ("None", ("y z w",)), ("9", ("",))])
+    assert decontamination.decontaminated(docs.limit(0), bench).count() == 0 == decontamination.without_spans(docs.limit(0), bench).count()
+
+
 def test_mixing(docs, odd):
     for df, rows in ((docs, docs.collect()), (odd, odd.collect()), (clashing(odd), odd.collect())):
         rows = [(r["doc_id"], r["text"], r["source"]) for r in rows]
@@ -176,6 +241,62 @@ def test_warc_bodies_come_back(spark, tmp_path):
     assert "".join(r["body"] for r in sorted(found, key=lambda r: int(r["segment"]))) == BIG
 
 
+def expected_pages(pages):
+    largest = {}
+    for p, _, html in pages:
+        if len((html or "").encode()) >= 1000 and p is not None:
+            largest[html] = max(p, largest.get(html, p))
+    out = []
+    for p, _, html in pages:
+        data, keep = (html or "").encode(), largest.get(html)
+        revisit = keep is not None and keep != p
+        out.append(tuple(map(str, (p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", keep if revisit else None))))
+    return sorted(out)
+
+
+def as_text(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_warc_of_many_chunks(spark):
+    """Over 100 chunks a payload, in files that cut records apart; revisits met by a shuffle too; clashing columns; ids of text."""
+    import random
+
+    draw = random.Random(3)
+    long = ["".join(draw.choice("abé漢\r\n ") for _ in range(k)) for k in (7000, 6400, 6401, 63, 64, 65)]
+    pages = [(p, f"u{p}", long[p % 6]) for p in range(24)] + [(None, None, long[0]), (3, "again", long[3])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    odd = df.withColumns({c: F.lit("?") for c in ("record", "body", "size", "digest", "keep", "last", "value", "segment", "parted")}).select("*", F.lit("!").alias("HTML"))
+    for most in (warc.MOST_BROADCAST, 0):
+        path = warc.scratch_path(spark, "warc-test")
+        at = warc.write(odd, path, chunk=64, records=30, most_broadcast=most)
+        assert as_text(warc.read(spark, path, at)) == expected_pages(pages)
+    named = df.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    assert len(warc.round_trip(named, chunk=500).collect()) == len(pages)
+
+
+def test_chunks_carry_running_digests(spark):
+    rows = warc.chunks(spark.createDataFrame([(1, "u", BIG), (2, "u", None)], "page_id long, url string, html string"), 64).orderBy("page_id", "chunk_no").collect()
+    big = [r for r in rows if r["page_id"] == 1]
+    assert len(big) == -(-len(BIG) // 64) and [r["last"] for r in big] == [False] * (len(big) - 1) + [True]
+    for k, r in enumerate(big, 1):
+        so_far = BIG[: 64 * k].encode()
+        assert (r["chunk_no"], r["size"], r["digest"]) == (k, len(so_far), hashlib.sha1(so_far).hexdigest())
+    (empty,) = (r for r in rows if r["page_id"] == 2)
+    assert empty["last"] and empty["body"] == "" and empty["digest"] == hashlib.sha1(b"").hexdigest()
+
+
+@pytest.mark.parametrize("spoil", [lambda v: v.replace("aaaa", "aaab", 1), lambda v: v.replace("sha1:", "sha1:0", 1)])
+def test_damage_is_an_error(spark, tmp_path, spoil):
+    path = str(tmp_path / "w")
+    at = warc.write(spark.createDataFrame([(1, "u", "a" * 2000)], "page_id long, url string, html string"), path, chunk=600)
+    lines = [r[0] for r in warc._lines(spark, path, at).collect()]
+    assert list(warc._streamed(iter([pd.DataFrame({"value": lines})])))[0].loc[0, "payload_bytes"] == 2000
+    lines[2] = spoil(lines[2])
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc._streamed(iter([pd.DataFrame({"value": lines})])))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
