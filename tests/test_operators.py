@@ -114,3 +114,75 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         add(ids)
         batches.run_available(spark.readStream.schema(schema).parquet(src), batch, str(tmp_path / "ck"))
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_rows_without_a_score_rank_last(spark):
+    df = table(spark, [(1, 10), (2, None), (3, 20), (4, None), (5, 10)], "id int, score int")
+    for by in ((), ("k",)):
+        found = windows.competition_rank(df.withColumn("k", F.lit(1)), "score", "place", by).orderBy("id").collect()
+        assert [r["place"] for r in found] == [2, 4, 1, 4, 2]
+    none = windows.competition_rank(df.filter("score is null"), "score", "place").collect()
+    assert [r["place"] for r in none] == [1, 1]
+
+
+def chunked(sizes, limit, rows, group):
+    """Chunk numbers by the plainest fold."""
+    out, number, taken, count = [], 0, 0, 0
+    for i in range(0, len(sizes), group):
+        part = sizes[i : i + group]
+        if count and (count + len(part) > rows or taken + sum(part) > limit):
+            number, taken, count = number + 1, 0, 0
+        taken, count = taken + sum(part), count + len(part)
+        out += [number] * len(part)
+    return out
+
+
+@pytest.mark.parametrize("group", [1, 2, 6])
+def test_fifo_chunks(spark, group):
+    import random
+
+    draw = random.Random(group)
+    sizes = {q: [draw.randint(1, 90) for _ in range(n)] for q, n in (("a", 500), ("b", 1), (None, 7), ("c", 36))}
+    df = table(spark, [(q, i, s) for q, own in sizes.items() for i, s in enumerate(own)], "q string, at int, size long").repartition(5)
+    with_small_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = windows.fifo_chunks(df, "q", ["at"], "size", 200, 10, group).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small_batches)
+    for q, own in sizes.items():
+        rows = sorted((r["at"], r["size"], r["chunk"]) for r in found if r["q"] == q)
+        assert [r[2] for r in rows] == chunked(own, 200, 10, group) and [r[1] for r in rows] == own
+
+
+def test_ancestors_of_deep_trees_and_cycles(spark):
+    deep = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(13)]
+    found = tree.ancestors(table(spark, [*deep, ("x", "y"), ("y", "x")], "id string, parent string")).collect()
+    of = {r["ancestor"]: r["depth"] for r in found if r["id"] == "n12"}
+    assert of == {f"n{12 - k}": k for k in range(13)}
+    assert {(r["ancestor"], r["depth"]) for r in found if r["id"] == "x"} == {("x", 0), ("y", 1)}
+
+
+def test_means_depend_on_no_order(spark):
+    rows = [(i % 3, round(0.01 * ((i * 7919) % 10001), 2)) for i in range(5000)]
+    want = {}
+    for k in range(3):
+        cents = [round(v * 100) for q, v in rows if q == k]
+        want[k] = ((2 * sum(cents) + len(cents)) // (2 * len(cents))) / 100
+    for parts in (1, 7):
+        df = table(spark, [*rows, (9, None)], "k int, v double").repartition(parts).groupBy("k").agg(aggregates.rounded_mean("v").alias("m"), aggregates.exact_mean("v").alias("x"))
+        found = {r["k"]: r["m"] for r in df.collect()}
+        assert found == want | {9: None}
+
+
+@pytest.mark.parametrize("elapsed,gap,enough,stop,wide,want", [
+    (1500, 0, 0, 0, 0, ("FINISH_TIME", "HARD_LIMIT_REACHED", False)), (10, 1, 1, 1, 1, ("FINISH_SUFFICIENT", "GLOBAL_SUFFICIENCY_REACHED", False)),
+    (1400, 1, 1, 0, 1, ("CONTINUE", "GLOBAL_COVERAGE_INCOMPLETE", True)), (10, 0, 0, 0, 1, ("CONTINUE", "GLOBAL_COVERAGE_INCOMPLETE", False)),
+    (1320, 1, 1, 0, 0, ("CONTINUE_PREREQUISITE_INVESTIGATION", "POSSIBLE_PREREQUISITE_GAP", True)), (10, 0, 1, 0, 0, ("FINISH_SUFFICIENT", "CONTENT_SUFFICIENCY_REACHED", False)),
+    (1320, 0, 0, 0, 0, ("CONTINUE", "SOFT_LIMIT_HIGH_INFORMATION_ONLY", True)), (1319, 0, 0, 0, 0, ("CONTINUE", "INSUFFICIENT_EVIDENCE", False)),
+])
+def test_diagnostic_decision(spark, elapsed, gap, enough, stop, wide, want):
+    from veredas.functions import scoring
+
+    told = scoring.diagnostic_decision(F.lit("DISCIPLINE"), F.lit(elapsed), *[F.lit(bool(x)) for x in (gap, enough, stop, wide)])
+    assert tuple(spark.range(1).select(told.alias("t")).select("t.*").first()) == want

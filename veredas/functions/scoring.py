@@ -18,6 +18,9 @@ DIFFICULTY_WEIGHT = {"EASY": 1.0, "MEDIUM": 1.2, "HARD": 1.4}
 PROFICIENCY_BANDS = ((40, "NEEDS_DEVELOPMENT"), (60, "INITIAL_DEVELOPMENT"), (75, "DEVELOPING"), (90, "CONSISTENT_MASTERY"))
 SOURCE_BONUS = {"TEACHER": 18.0, "COORDINATION": 12.0, "SCHOOL_PLAN": 8.0}
 SOURCE_WEIGHT = {"TEACHER": 100.0, "COORDINATION": 90.0, "SCHOOL_PLAN": 80.0, "AUTONOMOUS": 50.0}
+# Soft and hard limits of a diagnostic, in seconds.
+DIAGNOSTIC_LIMITS = {"ENEM": (2400, 2700), "GLOBAL": (2100, 2400), "UNSPECIFIED": (2100, 2400)}
+DISCIPLINE_LIMITS = (1320, 1500)
 SOURCE_ORDER = ("TEACHER", "COORDINATION", "SCHOOL_PLAN", "AUTONOMOUS")
 
 
@@ -133,3 +136,30 @@ def path_score(low_evidence: Column, weak: Column, blocker: Column, context: Col
     """Each factor 0 to 1; provisional evidence halves weakness at most; the sum is held in 0 to 1."""
     total = 0.35 * low_evidence + 0.30 * weak * (1 - 0.5 * provisional) + 0.25 * blocker + 0.15 * context + 0.10 * stale - 0.50 * blocked
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
+
+
+def diagnostic_decision(mode: Column, elapsed: Column, gap: Column, enough: Column, stop: Column | None = None, wide: Column | None = None, limits: Mapping[str, tuple[int, int]] = DIAGNOSTIC_LIMITS, rest: tuple[int, int] = DISCIPLINE_LIMITS) -> Column:
+    """struct(action, reason, high_information_only): whether a diagnostic goes on.
+
+    ``gap`` says that a prerequisite needs a look, ``enough`` that the content is covered, ``stop`` that the whole
+    diagnostic is, ``wide`` that it goes over all disciplines. Past the soft limit only questions that tell much are asked.
+    """
+    soft, hard = (lookup(mode, {k: v[i] for k, v in limits.items()}, rest[i]) for i in (0, 1))
+    late, no = elapsed >= soft, F.lit(False)
+    told = lambda action, reason, few=no: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"), few.alias("high_information_only"))
+    return (
+        F.when(elapsed >= hard, told("FINISH_TIME", "HARD_LIMIT_REACHED"))
+        .when(no if stop is None else stop, told("FINISH_SUFFICIENT", "GLOBAL_SUFFICIENCY_REACHED"))
+        .when(no if wide is None else wide, told("CONTINUE", "GLOBAL_COVERAGE_INCOMPLETE", late))
+        .when(gap, told("CONTINUE_PREREQUISITE_INVESTIGATION", "POSSIBLE_PREREQUISITE_GAP", late))
+        .when(enough, told("FINISH_SUFFICIENT", "CONTENT_SUFFICIENCY_REACHED"))
+        .when(late, told("CONTINUE", "SOFT_LIMIT_HIGH_INFORMATION_ONLY", F.lit(True)))
+        .otherwise(told("CONTINUE", "INSUFFICIENT_EVIDENCE"))
+    )
+
+
+def global_stop(evidence: Column, covered: Column, critical: Column, confidence: Column, least: int, most: int, target: float) -> Column:
+    """struct(stop, reason): whether a diagnostic over all disciplines has enough evidence."""
+    told = lambda stop, reason: F.struct(F.lit(stop).alias("stop"), F.lit(reason).alias("reason"))
+    enough = (evidence >= least) & covered & ~critical & (confidence >= target)
+    return F.when(evidence >= most, told(True, "MAXIMUM_EVIDENCE_REACHED")).when(enough, told(True, "GLOBAL_SUFFICIENCY_REACHED")).otherwise(told(False, "CONTINUE"))

@@ -13,20 +13,39 @@ from pyspark.sql.types import StringType
 MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 # Scripts that a text of these languages shouldn't have.
-SCRIPTS = r"[\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+SCRIPTS = r"[\x{0590}-\x{08FF}\x{0900}-\x{0DFF}\x{0E00}-\x{0E7F}\x{10A0}-\x{10FF}\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
+# Fixed value: a heading of an answer key, alone on its line.
+ANSWER_HEADING = r"(?dimu)^[ \t]*(?:gabarito|respostas?(?: comentadas?)?|resolu[cç][aã]o(?: comentada)?)[ \t]*:?[ \t]*$"
 SECRETS = r"(sk-[A-Za-z0-9_-]{8,}|(?:postgres(?:ql)?|mysql|redis)://\S+|[0-9a-f]{40})"
 
 
-def plain(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
 @F.pandas_udf(StringType())
-def nfkd_plain(texts: pd.Series) -> pd.Series:
-    """Exactly: compatibility decomposition without marks. For what ``plain``'s letters don't cover."""
+def _composed(texts: pd.Series) -> pd.Series:
     import unicodedata
 
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def plain(text: Column) -> Column:
+    """Compatibility decomposition without marks. Common letters are replaced in place; only texts that have others go through Python."""
+    near = F.translate(text, MARKED, PLAIN)
+    return F.coalesce(_decomposed(F.when(~_ascii(near), near)), near)
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition. A text without combining marks or rare forms is composed already: it stays here."""
+    return F.coalesce(_composed(F.when(~_ascii(F.translate(text, MARKED, PLAIN)), text)), text)
 
 
 def folded(text: Column) -> Column:
@@ -38,9 +57,9 @@ def person_name(text: Column) -> Column:
 
 
 def essay_text(text: Column) -> Column:
-    """Line ends as \\n, no blanks at line ends, trimmed. Doing it twice changes nothing."""
-    unix = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(unix, r"[ \t]+(?=\n)", ""), r"^\s+|\s+$", "")
+    """Line ends as \\n, composed, no white space at line ends, trimmed. Doing it twice changes nothing."""
+    unix = composed(F.regexp_replace(text, "\r\n?", "\n"))
+    return F.regexp_replace(F.regexp_replace(unix, r"(?U)[\s&&[^\n]]+(?=\n)", ""), r"(?U)\A\s+|\s+\z", "")
 
 
 def single_spaced(text: Column) -> Column:
@@ -93,7 +112,8 @@ def strange_script(text: Column) -> Column:
 
 
 def before_answer_key(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?is)\bgabarito\b.*$", "")
+    """What comes before the first heading of an answer key or of worked solutions, which stands alone on its line."""
+    return F.element_at(F.split(text, ANSWER_HEADING, 2), 1)
 
 
 def answer_key(text: Column) -> Column:

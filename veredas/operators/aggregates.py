@@ -34,7 +34,7 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFra
 
 def bucket_by_average(df: DataFrame, member: str, score: str, limits: Sequence[tuple[float, str]], rest: str) -> DataFrame:
     """Members by the bucket of their average: averages first, so each member counts once."""
-    mean = df.groupBy(member).agg(F.avg(score).alias("_mean"))
+    mean = df.groupBy(member).agg(exact_mean(score).alias("_mean"))
     label = F.lit(rest)
     for below, name in reversed(limits):
         label = F.when(F.col("_mean") < below, name).otherwise(label)
@@ -49,6 +49,21 @@ def two_grains(df: DataFrame, by: Sequence[str], coarse: str, fine: str, aggrega
     return every.filter((F.col("_whole") == 1) | F.col(fine).isNotNull()).withColumn("grain", F.when(F.col("_whole") == 1, coarse).otherwise(fine)).drop("_whole")
 
 
+def exact_mean(score: str, scale: int = 2, value: Column | None = None) -> Column:
+    """The mean of numbers of ``scale`` decimals: from a sum of integers, so it depends on no order of rows."""
+    parts = F.round((F.col(score) if value is None else value) * 10**scale).cast("long")
+    return F.try_divide(F.sum(parts).cast("double"), F.count(parts) * float(10**scale))
+
+
+def rounded_mean(score: str, digits: int = 2, scale: int = 2) -> Column:
+    """The same, rounded half up without a double between: numbers of zero or more."""
+    parts = F.round(F.col(score) * 10**scale).cast("long") * 10 ** max(0, digits - scale)
+    unit = 10 ** max(0, scale - digits)
+    n = F.count(parts) * unit
+    halves = (F.sum(parts) * 2 + n).cast("decimal(38,0)")
+    return F.when(n > 0, F.floor(halves / (n * 2)).cast("long") / float(10**digits))
+
+
 def share_at_least(score: str, limit: int) -> Column:
     return F.round(100.0 * F.count_if(F.col(score) >= limit) / F.count(F.lit(1)), 1)
 

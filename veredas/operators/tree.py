@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from veredas.sources.shared import written
 
 
-def ancestors(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """(id, ancestor, depth) of every node, itself at depth 0. The tree has a fixed few levels; a cycle ends there too."""
-    parents = nodes.select(F.col("id").alias("ancestor"), F.col("parent"))
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of every node, itself at depth 0, up to the root, or on a cycle until a node repeats.
+
+    Ids are unique. A round goes up one level, and there are as many as the deepest node has ancestors.
+    """
+    parents = nodes.filter("parent is not null").select(F.col("id").alias("ancestor"), F.col("parent"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, levels):
-        level = level.join(parents, "ancestor").filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        above = level.join(parents, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = written(above.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "ancestors")
+        if level.isEmpty():
+            return out
         out = out.unionAll(level)
-    return out
 
 
 def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from veredas.functions import scoring as S
 
@@ -17,7 +19,7 @@ def supersede(df: DataFrame, keys: Sequence[str], order: Sequence[Column], statu
 
 
 def competition_rank(df: DataFrame, score: str, out: str, by: Sequence[str] = (), bands: int = 256) -> DataFrame:
-    """Ties share a rank and the next one skips. Overall ranks come from counts of higher scores, so no task sorts all rows.
+    """Ties share a rank and the next one skips; rows without a score come last, together. No task sorts all rows.
 
     Scores are counted first; a rank is one more than the count of all higher scores, and the distinct scores are
     summed in ranges: within each range by a window, ranges by their totals.
@@ -26,13 +28,13 @@ def competition_rank(df: DataFrame, score: str, out: str, by: Sequence[str] = ()
         return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     width = counts.agg(F.min(score).alias("_low"), ((F.max(score) - F.min(score)) / bands + 1).alias("_width"))
-    counts = counts.crossJoin(F.broadcast(width)).withColumn("_range", F.floor((F.col(score) - F.col("_low")) / F.col("_width")))
+    counts = counts.crossJoin(F.broadcast(width)).withColumn("_range", F.coalesce(F.floor((F.col(score) - F.col("_low")) / F.col("_width")), F.lit(-1)))
     totals = counts.groupBy("_range").agg(F.sum("_n").alias("_total"))  # at most ``bands`` rows
     above = totals.withColumn("_above", F.coalesce(F.sum("_total").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(above.select("_range", "_above")), "_range")
     ranks = ranks.select(F.col(score).alias("_score"), (F.col("_above") + F.col("_inside") + 1).cast("long").alias(out))
-    return df.join(ranks, F.col(score) == F.col("_score")).drop("_score")
+    return df.join(ranks, F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
 
 
 def half_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Column, least: int = 4, step: float = 10.0) -> DataFrame:
@@ -88,16 +90,45 @@ def running_mastery(df: DataFrame, keys: Sequence[str], order: Sequence[str], hi
     return steps.select(*keys, last["answered"].alias("answered"), last["correct"].alias("correct"), last["score"].alias("score"), F.round(last["confidence"], 4).alias("confidence"), level.alias("level"))
 
 
-def greedy_chunks(size: Column, limit: int, rows: int) -> Column:
-    """For an array of sizes in order: the chunk number of each, a chunk closed before it would pass either limit.
+def fifo_chunks(df: DataFrame, queue: str, order: Sequence[str], size: str, limit: int, rows: int, group: int = 1, out: str = "chunk") -> DataFrame:
+    """The rows with the number of their chunk in their queue, from 0: in order, a chunk closed before it would pass either limit.
 
-    A single item over the limit has a chunk to itself.
+    Each ``group`` consecutive rows of a queue stay together, and a group over a limit has a chunk to itself. A queue is
+    sorted by the shuffle and streamed through one task, which keeps a chunk's number, size and rows, and one group.
     """
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        closes = (s["n"] > 0) & ((s["n"] + 1 > rows) | (s["bytes"] + x > limit))
-        chunk = F.when(closes, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), (F.when(closes, F.lit(0).cast("long")).otherwise(s["bytes"]) + x).alias("bytes"), (F.when(closes, 0).otherwise(s["n"]) + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    return F.aggregate(size, zero, add, lambda s: s["out"])
+    columns = df.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = None
+        number = taken = count = 0
+
+        def place(name: object, total: int, n: int) -> int:
+            nonlocal at, number, taken, count
+            if name != at:
+                at, number, taken, count = name, 0, 0, 0
+            elif count + n > rows or taken + total > limit:
+                number, taken, count = number + 1, 0, 0
+            taken, count = taken + total, count + n
+            return number
+
+        def cut(batch: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            names, sizes, i, placed = [("q", None if pd.isna(q) else q) for q in batch[queue]], batch[size].tolist(), 0, []
+            while i < len(names):
+                j = i + 1
+                while j < len(names) and j - i < group and names[j] == names[i]:
+                    j += 1
+                if j == len(names) and j - i < group and not last:  # the group may go on
+                    break
+                placed += [place(names[i], sum(sizes[i:j]), j - i)] * (j - i)
+                i = j
+            return batch.iloc[:i].assign(**{out: placed}), batch.iloc[i:]
+
+        rest = None
+        for batch in batches:
+            done, rest = cut(batch if rest is None else pd.concat([rest, batch], ignore_index=True), False)
+            yield done
+        if rest is not None and len(rest):
+            yield cut(rest, True)[0]
+
+    schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
+    return df.repartition(queue).sortWithinPartitions(queue, *order).select(*columns).mapInPandas(fold, schema)

@@ -44,9 +44,9 @@ def agg_group_avg_pct(spark, d):
     return T.scores(spark, d).groupBy("gre", "school").agg(n_rows().alias("n"), *means, A.share_at_least("score", 800).alias("pct_800")).orderBy(F.desc("media"), "school")
 
 
-@query("agg_global_avg", "SELECT round(coalesce(avg(c1), 0), 1) AS c1, round(coalesce(avg(c2), 0), 1) AS c2, round(coalesce(avg(c3), 0), 1) AS c3, round(coalesce(avg(c4), 0), 1) AS c4, round(coalesce(avg(c5), 0), 1) AS c5 FROM scores WHERE school = 'NOWHERE'")
+@query("agg_global_avg", "SELECT round(coalesce(avg(c1), 0), 1) AS c1, round(coalesce(avg(c2), 0), 1) AS c2, round(coalesce(avg(c3), 0), 1) AS c3, round(coalesce(avg(c4), 0), 1) AS c4, round(coalesce(avg(c5), 0), 1) AS c5 FROM scores")
 def agg_global_avg(spark, d):
-    return T.scores(spark, d).filter("school = 'NOWHERE'").agg(*A.means_of({f"c{k}": f"c{k}" for k in range(1, 6)}))
+    return T.scores(spark, d).agg(*A.means_of({f"c{k}": f"c{k}" for k in range(1, 6)}))
 
 
 @query("agg_group_class", "SELECT school, class, count(*) AS n, round(avg(score), 1) AS media FROM scores WHERE class IS NOT NULL GROUP BY ALL")
@@ -99,43 +99,48 @@ def agg_group_sum2(spark, d):
     return sums.groupBy("stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("requests"))
 
 
-@query("agg_student_bucket", "SELECT CASE WHEN m < 48 THEN 'STRUGGLING' WHEN m < 52 THEN 'DEVELOPING' ELSE 'CONSOLIDATED' END AS bucket, count(*) AS n FROM (SELECT student_id, avg(score) AS m FROM mastery GROUP BY 1) GROUP BY 1")
+# Means of two-decimal scores from sums of integers: sums of doubles would depend on the order of rows.
+MX = "sum(round(score * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(score))"
+M2 = "((2 * sum(round(score * 100)::BIGINT) + count(score)) // (2 * count(score)))::BIGINT / 100.0::DOUBLE"
+
+
+@query("agg_student_bucket", f"SELECT CASE WHEN m < 48 THEN 'STRUGGLING' WHEN m < 52 THEN 'DEVELOPING' ELSE 'CONSOLIDATED' END AS bucket, count(*) AS n FROM (SELECT student_id, {MX} AS m FROM mastery GROUP BY 1) GROUP BY 1")
 def agg_student_bucket(spark, d):
     return A.bucket_by_average(T.mastery(spark, d), "student_id", "score", [(48.0, "STRUGGLING"), (52.0, "DEVELOPING")], "CONSOLIDATED")
 
 
-@query("agg_content_avg", "SELECT content, round(avg(score), 2) AS mean, count(*) FILTER (score < 50) AS struggling, count(*) AS n FROM mastery GROUP BY 1")
+@query("agg_content_avg", f"SELECT content, {M2} AS mean, count(*) FILTER (score < 50) AS struggling, count(*) AS n FROM mastery GROUP BY 1")
 def agg_content_avg(spark, d):
-    return T.mastery(spark, d).groupBy("content").agg(F.round(F.avg("score"), 2).alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), n_rows().alias("n")).orderBy("mean", "content")
+    return T.mastery(spark, d).groupBy("content").agg(A.rounded_mean("score").alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), n_rows().alias("n")).orderBy("mean", "content")
 
 
-@query("agg_classroom_items", """WITH r AS (SELECT DISTINCT student_id, student_id % 8 AS classroom FROM mastery), c AS (SELECT classroom, content, avg(score) AS m FROM r JOIN mastery USING (student_id) GROUP BY ALL),
+@query("agg_classroom_items", f"""WITH r AS (SELECT DISTINCT student_id, student_id % 8 AS classroom FROM mastery), c AS (SELECT classroom, content, {MX} AS m FROM r JOIN mastery USING (student_id) GROUP BY ALL),
 p AS (SELECT classroom, list(content ORDER BY m, content)[1:3] AS priority FROM c WHERE m < 50 GROUP BY 1)
-SELECT r.classroom, count(DISTINCT r.student_id) AS students, round(avg(score), 2) AS mean, any_value(priority) AS priority FROM r JOIN mastery USING (student_id) LEFT JOIN p ON p.classroom = r.classroom GROUP BY 1""", lists=("priority",))
+SELECT r.classroom, count(DISTINCT r.student_id) AS students, {M2} AS mean, any_value(priority) AS priority FROM r JOIN mastery USING (student_id) LEFT JOIN p ON p.classroom = r.classroom GROUP BY 1""", lists=("priority",))
 def agg_classroom_items(spark, d):
     rows = T.mastery(spark, d).withColumn("classroom", F.expr("student_id % 8"))
-    weak = rows.groupBy("classroom", "content").agg(F.avg("score").alias("m")).filter("m < 50").groupBy("classroom").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("m", "content"))), lambda x: x["content"]), 1, 3).alias("priority"))
-    stats = rows.groupBy("classroom").agg(F.count_distinct("student_id").alias("students"), F.round(F.avg("score"), 2).alias("mean"))
+    weak = rows.groupBy("classroom", "content").agg(A.exact_mean("score").alias("m")).filter("m < 50").groupBy("classroom").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("m", "content"))), lambda x: x["content"]), 1, 3).alias("priority"))
+    stats = rows.groupBy("classroom").agg(F.count_distinct("student_id").alias("students"), A.rounded_mean("score").alias("mean"))
     return stats.join(weak, "classroom", "left")
 
 
 @query("agg_hierarchy_rollup", """WITH c AS (SELECT gre, school, class, round(avg(score), 1) AS m, count(DISTINCT student_id) AS k FROM scores WHERE class IS NOT NULL GROUP BY ALL)
-SELECT gre, school, round(avg(m), 1) AS mean, sum(k)::BIGINT AS students FROM c GROUP BY GROUPING SETS ((gre, school), (gre), ())""")
+SELECT gre, school, ((2 * sum(round(m * 10)::BIGINT) + count(m)) // (2 * count(m)))::BIGINT / 10.0::DOUBLE AS mean, sum(k)::BIGINT AS students FROM c GROUP BY GROUPING SETS ((gre, school), (gre), ())""")
 def agg_hierarchy_rollup(spark, d):
     rooms = T.scores(spark, d).filter("class is not null").groupBy("gre", "school", "class").agg(F.round(F.avg("score"), 1).alias("m"), F.count_distinct("student_id").alias("k"))
-    return rooms.rollup("gre", "school").agg(F.round(F.avg("m"), 1).alias("mean"), F.sum("k").alias("students"))
+    return rooms.rollup("gre", "school").agg(A.rounded_mean("m", 1, 1).alias("mean"), F.sum("k").alias("students"))
 
 
-@query("agg_teacher_summary", """SELECT teacher, count(DISTINCT student_id) AS students, round(avg(score), 2) AS mean, count(DISTINCT last_at::DATE) AS lessons FROM (SELECT 't' || (student_id % 11) AS teacher, * FROM mastery) GROUP BY 1""")
+@query("agg_teacher_summary", f"""SELECT teacher, count(DISTINCT student_id) AS students, {M2} AS mean, count(DISTINCT last_at::DATE) AS lessons FROM (SELECT 't' || (student_id % 11) AS teacher, * FROM mastery) GROUP BY 1""")
 def agg_teacher_summary(spark, d):
     rows = T.mastery(spark, d).withColumn("teacher", F.expr("concat('t', student_id % 11)"))
-    return rows.groupBy("teacher").agg(F.count_distinct("student_id").alias("students"), F.round(F.avg("score"), 2).alias("mean"), F.count_distinct(F.to_date("last_at")).alias("lessons"))
+    return rows.groupBy("teacher").agg(F.count_distinct("student_id").alias("students"), A.rounded_mean("score").alias("mean"), F.count_distinct(F.to_date("last_at")).alias("lessons"))
 
 
-@query("agg_compare_classrooms", "SELECT student_id % 8 AS classroom, count(DISTINCT student_id) AS students, round(avg(score), 2) AS mean, count(*) FILTER (score < 50) AS struggling, min(score) AS worst, max(score) AS best FROM mastery GROUP BY 1")
+@query("agg_compare_classrooms", f"SELECT student_id % 8 AS classroom, count(DISTINCT student_id) AS students, {M2} AS mean, count(*) FILTER (score < 50) AS struggling, min(score) AS worst, max(score) AS best FROM mastery GROUP BY 1")
 def agg_compare_classrooms(spark, d):
     rows = T.mastery(spark, d).withColumn("classroom", F.expr("student_id % 8"))
-    return rows.groupBy("classroom").agg(F.count_distinct("student_id").alias("students"), F.round(F.avg("score"), 2).alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), F.min("score").alias("worst"), F.max("score").alias("best"))
+    return rows.groupBy("classroom").agg(F.count_distinct("student_id").alias("students"), A.rounded_mean("score").alias("mean"), F.count_if(F.col("score") < 50).alias("struggling"), F.min("score").alias("worst"), F.max("score").alias("best"))
 
 
 def _bucket():
@@ -256,14 +261,14 @@ def agg_coverage(spark, d):
     return _coverage(spark, d).select("student_id", "content", "status", "investigate")
 
 
-@query("agg_global_coverage", f"""WITH {PROF_SQL}, c AS (SELECT *, {COVER_SQL} AS status FROM p), x AS (SELECT student_id, discipline, round(avg(confidence), 4) AS confidence,
+@query("agg_global_coverage", f"""WITH {PROF_SQL}, c AS (SELECT *, {COVER_SQL} AS status FROM p), x AS (SELECT student_id, discipline, ((2 * sum(round(confidence * 10000)::BIGINT) + count(confidence)) // (2 * count(confidence)))::BIGINT / 10000.0::DOUBLE AS confidence,
 round(100.0::DOUBLE * count(*) FILTER (status IN ('SUFFICIENT_EVIDENCE', 'CONSOLIDATED', 'POSSIBLE_GAP')) / count(*), 2) AS coverage FROM c GROUP BY ALL)
-SELECT student_id, round(avg(coverage), 2) AS coverage, round(avg(confidence), 6) AS confidence, coalesce(list(discipline ORDER BY discipline) FILTER (coverage < 50), []) AS uncertain FROM x GROUP BY 1""", lists=("uncertain",))
+SELECT student_id, ((2 * sum(round(coverage * 100)::BIGINT) + count(coverage)) // (2 * count(coverage)))::BIGINT / 100.0::DOUBLE AS coverage, ((2 * sum(round(confidence * 10000)::BIGINT) * 100 + count(confidence)) // (2 * count(confidence)))::BIGINT / 1000000.0::DOUBLE AS confidence, coalesce(list(discipline ORDER BY discipline) FILTER (coverage < 50), []) AS uncertain FROM x GROUP BY 1""", lists=("uncertain",))
 def agg_global_coverage(spark, d):
     enough = F.col("status").isin("SUFFICIENT_EVIDENCE", "CONSOLIDATED", "POSSIBLE_GAP")
-    by = _coverage(spark, d).groupBy("student_id", "discipline").agg(F.round(F.avg("confidence"), 4).alias("c"), F.round(100.0 * F.count_if(enough) / n_rows(), 2).alias("v"))
+    by = _coverage(spark, d).groupBy("student_id", "discipline").agg(A.rounded_mean("confidence", 4, 4).alias("c"), F.round(100.0 * F.count_if(enough) / n_rows(), 2).alias("v"))
     low = F.array_sort(F.collect_list(F.when(F.col("v") < 50, F.col("discipline"))))
-    return by.groupBy("student_id").agg(F.round(F.avg("v"), 2).alias("coverage"), F.round(F.avg("c"), 6).alias("confidence"), low.alias("uncertain"))
+    return by.groupBy("student_id").agg(A.rounded_mean("v").alias("coverage"), A.rounded_mean("c", 6, 4).alias("confidence"), low.alias("uncertain"))
 
 
 @query("agg_diag_result", "SELECT content, count(*) AS asked, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct AND response IS NULL) AS incorrect, count(*) FILTER (response = 'UNKNOWN') AS unknown FROM history GROUP BY 1")

@@ -123,9 +123,9 @@ def join_range_area(spark, d):
     return T.bank(spark, d).select("question_id", J.band(F.col("number"), AREAS, strict=False).alias("area"))
 
 
-@query("join_hash_dict", "SELECT result_id, position, items.question_id, exam, is_correct FROM items JOIN bank USING (question_id) WHERE student_id = 42")
+@query("join_hash_dict", "SELECT student_id, result_id, position, items.question_id, exam, is_correct FROM items JOIN bank USING (question_id)")
 def join_hash_dict(spark, d):
-    return T.items(spark, d).filter("student_id = 42").join(T.bank(spark, d).select("question_id", "exam"), "question_id").select("result_id", "position", "question_id", "exam", "is_correct")
+    return T.items(spark, d).join(T.bank(spark, d).select("question_id", "exam"), "question_id").select("student_id", "result_id", "position", "question_id", "exam", "is_correct")
 
 
 @query("join_exact_unique_match", """WITH r AS (SELECT c_custkey AS student_id, c_mktsegment || (c_custkey % 300) AS key, c_name AS glued FROM customer),
@@ -173,11 +173,13 @@ def join_student_chain(spark, d):
     return T.links(spark, d).filter("active and role = 'STUDENT'").join(_latest_order(spark, d), F.expr("user_id = o_custkey")).selectExpr("user_id", "school_id", "o_orderkey as enrolment_id")
 
 
-@query("join_coverage_cross", """SELECT d AS discipline, coalesce(n, 0)::BIGINT AS n FROM (SELECT 'D' || i AS d FROM generate_series(0, 9) t(i)) LEFT JOIN (SELECT discipline, count(*) AS n FROM items WHERE student_id = 3 GROUP BY 1) ON d = discipline""")
+@query("join_coverage_cross", """WITH k AS (SELECT student_id, discipline, count(*) AS n FROM items GROUP BY ALL), e AS (SELECT student_id, 'D' || unnest(generate_series(0, 9)) AS discipline FROM (SELECT DISTINCT student_id FROM items))
+SELECT student_id, discipline, coalesce(n, 0)::BIGINT AS n FROM e LEFT JOIN k USING (student_id, discipline)""")
 def join_coverage_cross(spark, d):
-    every = spark.range(10).selectExpr("concat('D', id) as discipline")
-    seen = T.items(spark, d).filter("student_id = 3").groupBy("discipline").agg(F.count(F.lit(1)).alias("n"))
-    return every.join(seen, "discipline", "left").select("discipline", F.coalesce("n", F.lit(0)).alias("n"))
+    """Every discipline of every student: the disciplines are a short list that each student's counts are laid over."""
+    counts = T.items(spark, d).groupBy("student_id", "discipline").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.select("student_id").distinct().select("student_id", F.explode(F.array(*[F.lit(f"D{i}") for i in range(10)])).alias("discipline"))
+    return every.join(counts, ["student_id", "discipline"], "left").select("student_id", "discipline", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("join_full_outer_merge", """WITH b AS (SELECT p_partkey AS number, p_size % 6 AS options, length(p_name) AS size, p_name AS text FROM part WHERE p_partkey % 3 <> 0),
@@ -244,10 +246,13 @@ def join_needs_review(spark, d):
     return T.read(spark, d, "documents").join(review.select("doc_id"), "doc_id").select("doc_id", "source").orderBy("doc_id")
 
 
-@query("join_lexical", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank WHERE question_id < 200), n AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
-SELECT question_id, id, count(*) AS common FROM q JOIN n USING (t) GROUP BY 1, 2""")
+@query("join_lexical", """WITH q AS (SELECT statement, unnest(list_distinct(string_split(statement, ' '))) AS t FROM (SELECT DISTINCT statement FROM bank)), n AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
+SELECT statement, id, count(*) AS common FROM q JOIN n USING (t) GROUP BY 1, 2""")
 def join_lexical(spark, d):
-    return _lexical(spark, d, T.bank(spark, d).filter("question_id < 200"))
+    """Candidates of each distinct statement, which all questions of that statement share."""
+    statements = T.bank(spark, d).select("statement").distinct().withColumn("tokens", F.split("statement", " "))
+    places = T.nodes(spark, d).filter("type = 'SUBCONTENT'").select("id", F.split(F.lower("name"), " ").alias("tokens"))
+    return J.token_overlap(statements, "statement", places, "id")
 
 
 @query("join_lexical_all", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank), n AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')

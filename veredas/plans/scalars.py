@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veredas.functions import extraction as E
 from veredas.functions import hashing as H
 from veredas.functions import scoring as S
 from veredas.functions import text as X
+from veredas.operators import aggregates as A
+from veredas.operators import lexical
 from veredas.operators.filters import reasons
 from veredas.operators.joins import band
 from veredas.plans import tables as T
-from veredas.plans.aggregates import STATE_SQL
+from veredas.plans.aggregates import MX, STATE_SQL
 from veredas.plans.joins import BAND_SQL
 from veredas.plans.registry import query
 from veredas.plans.windows import CURVE_SQL
@@ -87,55 +90,75 @@ def fn_secret_scrub(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(X.scrubbed(F.col("text"))).alias("h"))
 
 
-@query("fn_question_markers", r"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '7,12' ELSE (o_orderkey % 900 + 1)::VARCHAR || ',3' END AS numbers FROM orders", lists=())
+# A made exam sheet for each order: a preamble, and a question a line of it, in one of three styles; its parts as SQL.
+STYLE_SQL = "CASE l_linenumber % 3 WHEN 0 THEN 'PERIOD' WHEN 1 THEN 'PAREN' ELSE 'WORD' END"
+MARK_SQL = "CASE l_linenumber % 3 WHEN 0 THEN l_partkey % 90 + 1 || '. ' WHEN 1 THEN '(' || (l_partkey % 90 + 1) || ') ' ELSE 'Questão ' || (l_partkey % 90 + 1) || ': ' END"
+BODY_SQL = """repeat('palavra ', l_quantity::INT % 9) || 'do item ' || l_suppkey || chr(10) ||
+  CASE l_orderkey % 4 WHEN 0 THEN 'a) um' || chr(10) || 'b) dois' || chr(10) || 'c) três' || chr(10) || 'd) quatro' || chr(10) WHEN 1 THEN '(A) um (C) três' || chr(10) || '(B) dois (D) quatro' || chr(10)
+  WHEN 2 THEN 'A um' || chr(10) || 'B dois' || chr(10) ELSE '' END"""
+GAP_SQL = "CASE WHEN l_tax > 0.04 THEN chr(10) ELSE '' END"
+
+
+def _sheets(spark, d):
+    """(doc, text): the lines of an order, in the order of their numbers, as one exam text."""
+    as_spark = lambda sql: sql.replace("l_quantity::INT", "cast(l_quantity as int)").replace("chr(10)", "'\\n'")
+    rows = T.read(spark, d, "lineitem").selectExpr("l_orderkey as doc", "l_linenumber as at", f"concat({as_spark(GAP_SQL)}, {as_spark(MARK_SQL)}, {as_spark(BODY_SQL)}) as part")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])  # an order has a few lines
+    return rows.groupBy("doc").agg(F.concat(F.lit("Leia com atenção.\n"), F.array_join(parts, "")).alias("text"))
+
+
+@query("fn_question_markers", f"SELECT l_orderkey AS doc, string_agg((l_partkey % 90 + 1) || ' ' || {STYLE_SQL}, ',' ORDER BY l_linenumber, {GAP_SQL} || {MARK_SQL} || {BODY_SQL}) AS markers FROM lineitem GROUP BY 1")
 def fn_question_markers(spark, d):
-    made = F.expr("if(o_orderkey % 2 = 0, 'Questão 7\\ntexto 5.\\n 12) outro', concat(o_orderkey % 900 + 1, '. texto\\n3\\nfim 9'))")
-    return T.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(X.markers(made).cast("array<string>"), ",").alias("numbers"))
+    found = E.spans(_sheets(spark, d), "doc", "text").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "number", "style"))).alias("m"))
+    shown = F.transform("m", lambda m: F.concat(m["number"].cast("string"), F.lit(" "), m["style"]))
+    return found.select("doc", F.array_join(shown, ",").alias("markers"))
 
 
-@query("fn_boundary_detect", "SELECT doc, number, arg_max(id, (options, size, -id)) AS id FROM (SELECT l_orderkey AS doc, l_linenumber % 4 AS number, l_linenumber AS id, (l_quantity >= 20 AND l_quantity < 30)::INT AS options, l_extendedprice AS size FROM lineitem) GROUP BY ALL")
-def fn_boundary_detect(spark, d):
-    """Of spans with the same number the one with the right options, then the longest, then the first."""
-    rows = T.read(spark, d, "lineitem").selectExpr("l_orderkey as doc", "l_linenumber % 4 as number", "l_linenumber as id", "l_quantity >= 20 and l_quantity < 30 as options", "l_extendedprice as size")
-    return rows.groupBy("doc", "number").agg(F.max_by("id", F.struct("options", "size", (-F.col("id")).alias("first"))).alias("id"))
+SPANS_SQL = f"""SELECT l_orderkey AS doc, row_number() OVER o AS at_, (l_partkey % 90 + 1)::INT AS number, {STYLE_SQL} AS style,
+l_tax > 0.04 AS preceded, {BODY_SQL} AS own, own || lead({GAP_SQL}, 1, '') OVER o AS body, l_orderkey % 4 AS form
+FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, {GAP_SQL} || {MARK_SQL} || {BODY_SQL})"""
+BEST_SQL = f"SELECT * FROM ({SPANS_SQL}) QUALIFY row_number() OVER (PARTITION BY doc, number ORDER BY form < 2 DESC, preceded DESC, length(body) DESC, at_) = 1"
 
 
-@query("fn_option_extract", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'ABC' ELSE 'abcde' END AS options FROM part")
-def fn_option_extract(spark, d):
-    made = F.expr("if(p_size % 2 = 0, 'Texto A\\nA) x\\n B) y\\nC. z', 'a) 1\\nb) 2\\nc) 3\\nd) 4\\ne) 5 f) 6')")
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.options(made), "").alias("options"))
+@query("fn_boundary_detect", f"SELECT doc, number, style, preceded, md5(body) AS body FROM ({BEST_SQL})")
+def fn_boundary_detect(spark, d):
+    """Of spans with the same number the one with a whole set of options, then after a blank line, then the longest, then the first."""
+    return E.questions(_sheets(spark, d), "doc", "text").select("doc", "number", "style", "preceded", F.md5("body").alias("body"))
 
 
-CONF_SQL = "greatest(0.0, least(1.0, 0.4 + CASE WHEN p_size % 6 IN (4, 5) THEN 0.25 ELSE -0.1 END + CASE WHEN length(p_name) >= 9 THEN 0.15 ELSE 0 END + CASE WHEN p_size > 20 THEN 0.1 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 0.3 ELSE 0 END))"
+@query("fn_option_extract", f"""SELECT doc, number, md5(trim(regexp_replace(string_split(own, chr(10))[1], '\\s+', ' ', 'g'))) AS statement,
+CASE form WHEN 3 THEN '' WHEN 2 THEN 'A um|B dois' ELSE 'A um|B dois|C três|D quatro' END AS options FROM ({BEST_SQL})""")
+def fn_option_extract(spark, d):
+    shown = F.transform("options", lambda o: F.concat(o["label"], F.lit(" "), o["text"]))
+    return E.questions(_sheets(spark, d), "doc", "text").select("doc", "number", F.md5("statement").alias("statement"), F.array_join(shown, "|").alias("options"))
 
 
-def _confidence():
-    part = lambda c, a, b=0.0: F.when(c, a).otherwise(b)
-    options = (F.col("p_size") % 6).isin(4, 5)
-    total = 0.4 + part(options, 0.25, -0.1) + part(F.length("p_name") >= 9, 0.15) + part(F.col("p_size") > 20, 0.1) - part(F.col("p_partkey") % 7 == 0, 0.3)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 2)
+CONF_SQL = """round(greatest(0.0, least(1.0, 0.4 + CASE WHEN form < 2 THEN 0.25 WHEN form = 2 THEN -0.1 ELSE 0 END
+  + CASE WHEN length(string_split(own, chr(10))[1]) >= 40 THEN 0.15 ELSE 0 END + CASE WHEN preceded THEN 0.1 ELSE 0 END - CASE WHEN form >= 2 AND length(string_split(own, chr(10))[1]) < 12 THEN 0.3 ELSE 0 END)), 3)::DOUBLE"""
 
 
-@query("fn_extract_confidence", f"SELECT p_partkey AS id, round({CONF_SQL}, 2)::DOUBLE AS confidence FROM part")
+@query("fn_extract_confidence", f"SELECT doc, number, {CONF_SQL} AS confidence FROM ({BEST_SQL})")
 def fn_extract_confidence(spark, d):
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), _confidence().alias("confidence"))
+    return E.questions(_sheets(spark, d), "doc", "text").select("doc", "number", "confidence")
 
 
-@query("fn_review_status", f"SELECT p_partkey AS id, CASE WHEN round({CONF_SQL}, 2) >= 0.7 AND p_partkey % 7 <> 0 THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS status FROM part")
+@query("fn_review_status", f"SELECT doc, number, CASE WHEN form < 3 THEN 'multiple_choice' WHEN length(string_split(own, chr(10))[1]) < 40 THEN 'numeric' ELSE 'discursive' END AS kind, CASE WHEN {CONF_SQL} >= 0.6 AND NOT (form >= 2 AND length(string_split(own, chr(10))[1]) < 12) THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS status FROM ({BEST_SQL})")
 def fn_review_status(spark, d):
-    good = (_confidence() >= 0.7) & (F.col("p_partkey") % 7 != 0)
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(good, "VALIDATED").otherwise("REVIEW_REQUIRED").alias("status"))
+    return E.questions(_sheets(spark, d), "doc", "text").select("doc", "number", "kind", "status")
 
 
-@query("fn_unexpected_script", "SELECT id, id % 2 = 0 AS strange FROM (SELECT p_partkey AS id FROM part)")
+@query("fn_unexpected_script", "SELECT id, id % 12 NOT IN (7, 8, 9, 10, 11) AS strange FROM (SELECT p_partkey AS id FROM part)")
 def fn_unexpected_script(spark, d):
-    made = F.expr("if(p_partkey % 2 = 0, 'texto 日本', 'texto às três')")
+    """The first and last characters of some ranges, and neighbours of ranges."""
+    signs = F.array(*[F.lit(chr(c)) for c in (0x0590, 0x08FF, 0x0980, 0x0E01, 0x10A0, 0x1100, 0x9FFF, 0xAC00, 0x058F, 0x03B1, 0x00E9, 0x1D7D8)])
+    made = F.concat(F.lit("texto "), F.element_at(signs, (F.col("p_partkey") % 12 + 1).cast("int")))
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.strange_script(made).alias("strange"))
 
 
-@query("fn_cut_answer_key", "SELECT p_partkey AS id, p_name || ' ' AS text FROM part")
+@query("fn_cut_answer_key", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) WHEN 1 THEN p_name || ' gabarito de ' || p_type ELSE p_name || chr(10) END AS text FROM part")
 def fn_cut_answer_key(spark, d):
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.before_answer_key(F.concat("p_name", F.lit(" GABARITO\n1 - A\n2 - B"))).alias("text"))
+    made = F.expr("case p_partkey % 3 when 0 then concat(p_name, '\\n GABARITO:\\n1 - A\\n2 - B') when 1 then concat(p_name, ' gabarito de ', p_type) else concat(p_name, '\\nResolução comentada\\n1. x') end")
+    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.before_answer_key(made).alias("text"))
 
 
 @query("fn_reading_order", "SELECT l_orderkey AS page, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_suppkey >= 50, l_partkey // 50, l_suppkey, l_linenumber) AS lines FROM lineitem GROUP BY 1")
@@ -152,23 +175,43 @@ def fn_intent(spark, d):
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(has("ring"), "PRACTICE").when(has("bolt"), "REVIEW").otherwise("STUDY").alias("intent"), F.when(has("small"), "EASY").when(has("red"), "HARD").alias("level"))
 
 
-@query("fn_lexical_score", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank WHERE question_id < 100), n AS (SELECT id, length(name) AS depth, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
-SELECT * FROM (SELECT question_id, id, count(*) * 20 + max(depth) - CASE WHEN count(*) = 1 THEN 40 ELSE 0 END AS score FROM q JOIN n USING (t) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 5""")
+TERMS_SQL = """list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3),
+  lambda x: CASE WHEN suffix(x, 'oes') THEN left(x, length(x) - 3) || 'ao' WHEN suffix(x, 'es') THEN left(x, length(x) - 2) WHEN suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END)"""
+#: The five best nodes of each distinct statement: paths of the tree's four levels, terms, scores, ranks.
+LEXICAL_SQL = f"""k AS (SELECT *, CASE type WHEN 'SUBCONTENT' THEN 'made of ' || lower(name) || ' nations' WHEN 'CONTENT' THEN 'ring parts' END AS description FROM nodes),
+u AS (SELECT a.id, a.type, a.name, a.description, b.id AS i1, c.id AS i2, e.id AS i3, concat_ws(' ', b.name, b.description, c.name, c.description, e.name, e.description) AS held
+  FROM k a LEFT JOIN k b ON a.parent = b.id LEFT JOIN k c ON b.parent = c.id LEFT JOIN k e ON c.parent = e.id),
+w AS (SELECT id, type, 1 + (i1 IS NOT NULL)::INT + (i2 IS NOT NULL)::INT + (i3 IS NOT NULL)::INT AS depth, list_reverse(list_filter([id, i1, i2, i3], lambda x: x IS NOT NULL)) AS path, {TERMS_SQL.format("held")} AS held,
+  {TERMS_SQL.format("name")} AS label, {TERMS_SQL.format("coalesce(description, '')")} AS about FROM u),
+v AS (SELECT id, unnest(list_distinct(list_filter(label, lambda x: NOT list_contains(held, x)))) AS term, 1 AS l, 0 AS b FROM w UNION ALL SELECT id, unnest(list_distinct(list_filter(about, lambda x: NOT list_contains(held, x)))), 0, 1 FROM w),
+t AS (SELECT id, term, max(l) AS l, max(b) AS b FROM v GROUP BY ALL),
+s AS (SELECT DISTINCT statement FROM bank), p AS (SELECT statement, {TERMS_SQL.format("statement")} AS ts FROM s), q AS (SELECT statement, unnest(list_distinct(ts)) AS term, ts FROM p),
+m AS (SELECT statement, id, sum(l) AS labels, sum(b) AS descriptions, min(list_position(ts, term) - 1) AS first FROM q JOIN t USING (term) GROUP BY ALL),
+z AS (SELECT statement, id, path, CASE WHEN type = 'SUBCONTENT' THEN 100 ELSE -2 END + 20 * labels + 10 * descriptions + depth + greatest(0, 10 - first) AS score FROM m JOIN w USING (id)),
+best AS (SELECT statement, id, score::BIGINT AS score, row_number() OVER (PARTITION BY statement ORDER BY score DESC, path) AS rank FROM z WHERE score > 0 QUALIFY rank <= 5)"""
+
+
+def _lexical_score(spark, d):
+    """The five best nodes of a question, found once for each distinct statement."""
+    about = F.when(F.col("type") == "SUBCONTENT", F.concat(F.lit("made of "), F.lower("name"), F.lit(" nations"))).when(F.col("type") == "CONTENT", "ring parts")
+    bank = T.bank(spark, d).select("question_id", "statement")
+    best = lexical.candidates(bank, "statement", T.nodes(spark, d).withColumn("description", about), best=5)
+    return bank.join(best, "statement").select("question_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("fn_lexical_score", f"WITH {LEXICAL_SQL} SELECT question_id, id, score, rank FROM bank JOIN best USING (statement)")
 def fn_lexical_score(spark, d):
-    return _lexical_score(spark, d, T.bank(spark, d).filter("question_id < 100"))
+    return _lexical_score(spark, d)
 
 
 @query("fn_lexical_score_all", """WITH q AS (SELECT question_id, unnest(list_distinct(string_split(statement, ' '))) AS t FROM bank), n AS (SELECT id, length(name) AS depth, unnest(list_distinct(string_split(lower(name), ' '))) AS t FROM nodes WHERE type = 'SUBCONTENT')
 SELECT * FROM (SELECT question_id, id, count(*) * 20 + max(depth) - CASE WHEN count(*) = 1 THEN 40 ELSE 0 END AS score FROM q JOIN n USING (t) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 5""")
 def fn_lexical_score_all(spark, d):
-    return _lexical_score(spark, d, T.bank(spark, d))
-
-
-def _lexical_score(spark, d, bank):
-    """The five best nodes of a question, found once for each distinct statement."""
+    """A plain score of names alone, without the tree."""
     from veredas.operators.joins import token_overlap
     from veredas.operators.keys import first_per_key
 
+    bank = T.bank(spark, d)
     statements = bank.select("statement").distinct().withColumn("tokens", F.split("statement", " "))
     places = T.nodes(spark, d).filter("type = 'SUBCONTENT'").select("id", F.length("name").alias("depth"), F.split(F.lower("name"), " ").alias("tokens"))
     met = token_overlap(statements, "statement", places, "id").join(places.select("id", "depth"), "id")
@@ -309,20 +352,15 @@ def fn_path_state(spark, d):
     return _path(spark, d).select("student_id", "content", state.alias("state"))
 
 
-# Soft and hard limits of a diagnostic, in seconds.
-LIMITS = {"ENEM": (2400, 2700), "GLOBAL": (2100, 2400), "DISCIPLINE": (1320, 1500)}
-
-
-@query("fn_coverage_decide", """SELECT essay_id, CASE WHEN score * 3 >= hard THEN 'FINISH_TIME' WHEN essay_id % 4 = 0 THEN 'CONTINUE_PREREQUISITE_INVESTIGATION' WHEN essay_id % 4 = 1 THEN 'FINISH_SUFFICIENT' ELSE 'CONTINUE' END AS action,
-CASE WHEN score * 3 >= hard THEN 'HARD_LIMIT_REACHED' WHEN essay_id % 4 = 0 THEN 'POSSIBLE_PREREQUISITE_GAP' WHEN essay_id % 4 = 1 THEN 'CONTENT_SUFFICIENCY_REACHED' WHEN score * 3 >= soft THEN 'SOFT_LIMIT_HIGH_INFORMATION_ONLY' ELSE 'INSUFFICIENT_EVIDENCE' END AS reason
-FROM (SELECT *, CASE status WHEN 'F' THEN 2700 WHEN 'O' THEN 2400 ELSE 1500 END AS hard, CASE status WHEN 'F' THEN 2400 WHEN 'O' THEN 2100 ELSE 1320 END AS soft FROM scores)""")
+@query("fn_coverage_decide", """SELECT essay_id, CASE WHEN score * 3 >= hard THEN 'FINISH_TIME' WHEN stop THEN 'FINISH_SUFFICIENT' WHEN wide THEN 'CONTINUE' WHEN essay_id % 4 = 0 THEN 'CONTINUE_PREREQUISITE_INVESTIGATION' WHEN essay_id % 4 = 1 THEN 'FINISH_SUFFICIENT' ELSE 'CONTINUE' END AS action,
+CASE WHEN score * 3 >= hard THEN 'HARD_LIMIT_REACHED' WHEN stop THEN 'GLOBAL_SUFFICIENCY_REACHED' WHEN wide THEN 'GLOBAL_COVERAGE_INCOMPLETE' WHEN essay_id % 4 = 0 THEN 'POSSIBLE_PREREQUISITE_GAP' WHEN essay_id % 4 = 1 THEN 'CONTENT_SUFFICIENCY_REACHED' WHEN score * 3 >= soft THEN 'SOFT_LIMIT_HIGH_INFORMATION_ONLY' ELSE 'INSUFFICIENT_EVIDENCE' END AS reason,
+score * 3 < hard AND NOT stop AND score * 3 >= soft AND (wide OR essay_id % 4 <> 1) AS high_information_only
+FROM (SELECT *, essay_id % 7 = 0 AS stop, essay_id % 5 = 0 AS wide, CASE status WHEN 'F' THEN 2700 WHEN 'O' THEN 2400 ELSE 1500 END AS hard, CASE status WHEN 'F' THEN 2400 WHEN 'O' THEN 2100 ELSE 1320 END AS soft FROM scores)""")
 def fn_coverage_decide(spark, d):
-    mode = F.expr("case status when 'F' then 'ENEM' when 'O' then 'GLOBAL' else 'DISCIPLINE' end")
-    soft, hard = (S.lookup(mode, {k: v[i] for k, v in LIMITS.items()}, None) for i in (0, 1))
-    elapsed, gap, enough = F.col("score") * 3, F.expr("essay_id % 4 = 0"), F.expr("essay_id % 4 = 1")
-    action = F.when(elapsed >= hard, "FINISH_TIME").when(gap, "CONTINUE_PREREQUISITE_INVESTIGATION").when(enough, "FINISH_SUFFICIENT").otherwise("CONTINUE")
-    reason = F.when(elapsed >= hard, "HARD_LIMIT_REACHED").when(gap, "POSSIBLE_PREREQUISITE_GAP").when(enough, "CONTENT_SUFFICIENCY_REACHED").when(elapsed >= soft, "SOFT_LIMIT_HIGH_INFORMATION_ONLY").otherwise("INSUFFICIENT_EVIDENCE")
-    return T.scores(spark, d).select("essay_id", action.alias("action"), reason.alias("reason"))
+    e = F.expr
+    mode = e("case status when 'F' then 'ENEM' when 'O' then 'GLOBAL' else 'DISCIPLINE' end")
+    told = S.diagnostic_decision(mode, F.col("score") * 3, e("essay_id % 4 = 0"), e("essay_id % 4 = 1"), e("essay_id % 7 = 0"), e("essay_id % 5 = 0"))
+    return T.scores(spark, d).select("essay_id", told.alias("t")).select("essay_id", "t.*")
 
 
 @query("fn_hypothesis_update", """WITH e AS (SELECT student_id, content, CASE WHEN response = 'UNKNOWN' THEN 'U' WHEN is_correct THEN 'C' WHEN NOT is_correct THEN 'S' ELSE 'U' END AS k, at_, event_id FROM history),
@@ -340,15 +378,15 @@ def fn_hypothesis_update(spark, d):
     return rows.select("student_id", "content", "supporting", "contradictory", "unknown", status.alias("status"), confidence.alias("confidence"))
 
 
-@query("fn_strength_class", "SELECT content, CASE WHEN m >= 50 AND s <= 0.10 THEN 'STRENGTH' WHEN m < 50 OR s > 0.20 THEN 'IMPROVEMENT' ELSE 'NEITHER' END AS class FROM (SELECT content, avg(score) AS m, count(*) FILTER (score < 35)::DOUBLE / count(*) AS s FROM mastery GROUP BY 1)")
+@query("fn_strength_class", f"SELECT content, CASE WHEN m >= 50 AND s <= 0.10 THEN 'STRENGTH' WHEN m < 50 OR s > 0.20 THEN 'IMPROVEMENT' ELSE 'NEITHER' END AS class FROM (SELECT content, {MX} AS m, count(*) FILTER (score < 35)::DOUBLE / count(*) AS s FROM mastery GROUP BY 1)")
 def fn_strength_class(spark, d):
-    stats = T.mastery(spark, d).groupBy("content").agg(F.avg("score").alias("m"), (F.count_if(F.col("score") < 35) / F.count(F.lit(1))).alias("s"))
+    stats = T.mastery(spark, d).groupBy("content").agg(A.exact_mean("score").alias("m"), (F.count_if(F.col("score") < 35) / F.count(F.lit(1))).alias("s"))
     return stats.select("content", F.when((F.col("m") >= 50) & (F.col("s") <= 0.10), "STRENGTH").when((F.col("m") < 50) | (F.col("s") > 0.20), "IMPROVEMENT").otherwise("NEITHER").alias("class"))
 
 
-@query("fn_action_plan", "SELECT content, CASE WHEN m < 50 THEN 'HIGH' WHEN m < 70 THEN 'MEDIUM' ELSE 'LOW' END AS priority, printf('%d de %d alunos em nível crítico', s, n) AS evidence FROM (SELECT content, avg(score) AS m, count(*) FILTER (score < 50) AS s, count(*) AS n FROM mastery GROUP BY 1)")
+@query("fn_action_plan", f"SELECT content, CASE WHEN m < 50 THEN 'HIGH' WHEN m < 70 THEN 'MEDIUM' ELSE 'LOW' END AS priority, printf('%d de %d alunos em nível crítico', s, n) AS evidence FROM (SELECT content, {MX} AS m, count(*) FILTER (score < 50) AS s, count(*) AS n FROM mastery GROUP BY 1)")
 def fn_action_plan(spark, d):
-    stats = T.mastery(spark, d).groupBy("content").agg(F.avg("score").alias("m"), F.count_if(F.col("score") < 50).alias("s"), F.count(F.lit(1)).alias("n"))
+    stats = T.mastery(spark, d).groupBy("content").agg(A.exact_mean("score").alias("m"), F.count_if(F.col("score") < 50).alias("s"), F.count(F.lit(1)).alias("n"))
     return stats.select("content", S.steps(F.col("m"), ((50, "HIGH"), (70, "MEDIUM")), "LOW").alias("priority"), F.format_string("%d de %d alunos em nível crítico", "s", "n").alias("evidence"))
 
 
@@ -428,11 +466,11 @@ def fn_quota_check(spark, d):
     return T.items(spark, d).groupBy("result_id").agg((parts == F.count(F.lit(1))).alias("valid"))
 
 
-@query("fn_node_type_check", "SELECT c.id FROM nodes c LEFT JOIN nodes p ON c.parent = p.id WHERE NOT coalesce((c.type = 'DISCIPLINE' AND p.id IS NULL) OR (c.type = 'AREA' AND p.type = 'DISCIPLINE') OR (c.type = 'CONTENT' AND p.type = 'AREA') OR (c.type = 'SUBCONTENT' AND p.type = 'CONTENT' AND p.id <> 'S3'), false)")
+@query("fn_node_type_check", "SELECT c.id FROM nodes c LEFT JOIN nodes p ON c.parent = p.id WHERE NOT coalesce((c.type = 'DISCIPLINE' AND p.id IS NULL) OR (c.type = 'AREA' AND p.type = 'DISCIPLINE') OR (c.type = 'CONTENT' AND p.type = 'AREA') OR (c.type = 'SUBCONTENT' AND p.type = 'CONTENT' AND p.id <> 'S2'), false)")
 def fn_node_type_check(spark, d):
     allowed = spark.createDataFrame([("DISCIPLINE", None), ("AREA", "DISCIPLINE"), ("CONTENT", "AREA"), ("SUBCONTENT", "CONTENT")], "type string, above string")
     nodes = T.nodes(spark, d)
-    above = nodes.filter("id <> 'S3' or type <> 'CONTENT'").select(F.col("id").alias("parent"), F.col("type").alias("above"))
+    above = nodes.filter("id <> 'S2' or type <> 'CONTENT'").select(F.col("id").alias("parent"), F.col("type").alias("above"))
     met = nodes.join(above, "parent", "left").alias("n").join(F.broadcast(allowed.alias("a")), F.expr("n.type = a.type and n.above <=> a.above"), "left_anti")
     return met.select("id")
 

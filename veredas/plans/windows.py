@@ -127,12 +127,9 @@ def win_latest_official_limit1(spark, d):
 
 @query("win_fifo_chunks")
 def win_fifo_chunks(spark, d):
-    """Requests of a school in order, in chunks of at most 20 requests and 200,000 units of size."""
-    requests = T.scores(spark, d).select("school", F.struct("essay_id", (F.col("score") * 20 + 1).alias("size")).alias("r"))
-    queues = requests.groupBy("school").agg(F.array_sort(F.collect_list("r")).alias("q"))
-    cut = queues.withColumn("chunks", W.greedy_chunks(F.transform("q", lambda r: r["size"]), 200_000, 20))
-    rows = cut.select("school", F.explode(F.arrays_zip("q", "chunks")).alias("x"))
-    return rows.select("school", F.col("x.q.essay_id").alias("essay_id"), F.col("x.q.size").alias("size"), F.col("x.chunks").alias("chunk"))
+    """Requests of a school in order, in chunks of at most 20 requests and 200,000 units of size; two requests stay together."""
+    requests = T.scores(spark, d).select("school", "essay_id", (F.col("score") * 20 + 1).alias("size"))
+    return W.fifo_chunks(requests, "school", ["essay_id"], "size", 200_000, 20, group=2)
 
 
 @query("srt_multi_tiebreak", "SELECT student_id, content FROM mastery ORDER BY confidence DESC, score, content, student_id LIMIT 200")
