@@ -6,8 +6,9 @@ its n-grams of the greatest n of which any is known, and takes their mean. A tex
 plus the languages' log shares; the score is the posterior of the best language.
 
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE`` a language as expected: a row is in if a
-hash of its id and text falls below SAMPLE / (rows of the language). Words and n-grams kept are the ``VOCABULARY``
-most frequent of each kind, so what is broadcast is bounded. Every row is predicted, over its whole text.
+hash of its id and text falls below SAMPLE / (rows of the language). All words and n-grams of the sample are kept.
+Every row is predicted, over its whole text. A word is a run of letters (Unicode's categories L): numerals such as ½
+or Ⅷ are none.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; so is every text if nothing was learned. A
 row of null text or null language isn't learned from. A null id is hashed as empty text. An empty table gives no
@@ -28,13 +29,22 @@ from pyspark.sql import functions as F
 from veredas.llm.common import number_columns, pick, remainder, written
 
 SAMPLE = 1500  # labelled rows of a language, as expected
-VOCABULARY = 150_000  # words, and n-grams, of the model
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # letters, and other numerals
 REMEMBER = 200_000  # unseen words whose scores a worker keeps
 
 
+def words_of(text: str) -> Counter[str]:
+    """The words of a text, in lower case, with their counts."""
+    found = Counter(LETTERS.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:  # few: numerals part letters
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -46,7 +56,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, texts in batch.groupby("lang")["text"]:
             words: Counter[str] = Counter()
             for t in texts:
-                words.update(LETTERS.findall(t.lower()))
+                words.update(words_of(t))
             kinds = {0: words} | {n: Counter() for n in ORDERS}
             for w, c in words.items():
                 for n in ORDERS:
@@ -86,7 +96,7 @@ class Model:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall((text or "").lower()))
+        words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
         index, table = self.words
@@ -116,12 +126,11 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> Model:
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
-    sums = few.mapInPandas(counted, "lang string, kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"), *by_lang)
+    sums = few.mapInPandas(counted, "lang string, kind int, gram string, n long").groupBy("kind", "gram").agg(*by_lang)
     sums = written(sums, "grams")
     kinds = {}
     for kind in (0, *ORDERS):
-        top = sums.filter(F.col("kind") == kind).orderBy(F.desc("n"), "gram").limit(VOCABULARY)
-        kinds[kind] = _log_frequencies(top.drop("kind", "n").toArrow(), len(langs))
+        kinds[kind] = _log_frequencies(sums.filter(F.col("kind") == kind).drop("kind").toArrow(), len(langs))
     total = sum(n.values())
     return Model(langs, [n[x] / total for x in langs], kinds[0], {k: kinds[k] for k in ORDERS})
 
