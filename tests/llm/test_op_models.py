@@ -97,6 +97,48 @@ def test_languages_of_odd_rows(odd):
     assert kept.columns == odd.columns and not {r["doc_id"] for r in kept.collect()} & {2, 3, 4, 5}
 
 
+def brute_languages(train, texts):
+    """(language, score) by the definition, from (language, text) of the training rows."""
+    split = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    langs = sorted({x for x, _ in train})
+    share = {x: sum(y == x for y, _ in train) / len(train) for x in langs}
+    tables = {k: {x: Counter() for x in langs} for k in (0, *language_id.ORDERS)}
+    for lang, t in train:
+        for w in split(t):
+            tables[0][lang][w] += 1
+            for n in language_id.ORDERS:
+                tables[n][lang].update(language_id.grams(w, n))
+    known = {k: set().union(*x.values()) for k, x in tables.items()}
+    sums = {k: {x: sum(c.values()) for x, c in t.items()} for k, t in tables.items()}
+    log = lambda k, x, g: math.log((tables[k][x][g] + 0.5) / (sums[k][x] + 0.5 * len(known[k]) + 1e-9))
+    out = []
+    for t in texts:
+        total = {x: math.log(share[x]) for x in langs}
+        found = split(t)
+        for w in found:
+            if w in known[0]:
+                add = {x: log(0, x, w) for x in langs}
+            else:
+                hits = next((h for n in language_id.ORDERS if (h := [(n, g) for g in language_id.grams(w, n) if g in known[n]])), [])
+                add = {x: sum(log(n, x, g) for n, g in hits) / len(hits) if hits else 0.0 for x in langs}
+            for x in langs:
+                total[x] += add[x]
+        best = max(langs, key=lambda x: total[x])
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values())) if found else ("und", 0.0))
+    return out
+
+
+def test_languages_by_brute_force(spark, docs, odd):
+    """With a sample that takes every labelled row."""
+    few = [(r["doc_id"], r["text"], r["lang"]) for df in (docs.limit(120), odd) for r in df.collect()]
+    few += [(1000 + i, t, None) for i, t in enumerate(["½", "²①Ⅷ", "a½b xyz", "ſtraße Ωmega", "12 _ 34"])]
+    want = brute_languages([(x, t) for d, t, x in few if x is not None and t is not None and brute.rest(d, 4) != 2], [t for _, t, _ in few])
+    found = language_id.languages(spark.createDataFrame(few, "doc_id long, text string, lang string"), sample=10**9).collect()
+    got = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 3)) for r in found)
+    assert got == sorted((str(d), x, round(s, 3)) for (d, _, _), (x, s) in zip(few, want, strict=True))
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (1000, 1001, 1004)} == {"und"}
+
+
 def test_nothing_learned(spark):
     rows = spark.createDataFrame([(1, "text", None, "x")], SCHEMA)
     assert language_id.languages(rows).first()["lang_pred"] == "und"
@@ -189,6 +231,46 @@ def test_scores_are_those_of_the_whole_tree(docs, odd, sizes):
         assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in found) == want
 
 
+def brute_scores(train, texts, depth, telling, escape):
+    """Scores by the definition: counts of contexts as dictionaries, states, and the recursion over shorter states."""
+    pad = suffix_tree.END * depth
+    code = lambda t: pad + b" ".join(brute_words(t or "")) + suffix_tree.END
+    after = defaultdict(Counter)
+    for t in train:
+        data = code(t)
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                after[data[i - d : i]][data[i]] += 1
+    total = {c: sum(x.values()) for c, x in after.items()}
+    states = {b""}
+    for c, x in after.items():
+        if c and sum(n * math.log(n / total[c] / (after[c[1:]][s] / total[c[1:]])) for s, n in x.items()) >= telling * len(x):
+            states |= {c[i:] for i in range(len(c) + 1)}
+
+    def p(context, symbol):
+        if not total:
+            return 1 / 256
+        while context not in states:
+            context = context[1:]
+        x, shorter = after[context], p(context[1:], symbol) if context else 1 / 256
+        return (x[symbol] + escape * len(x) * shorter) / (total[context] + escape * len(x))
+
+    out = []
+    for t in texts:
+        data = code(t)
+        out.append(sum(math.log10(p(data[i - depth : i], data[i])) for i in range(depth, len(data))))
+    return out
+
+
+def test_scores_by_brute_force(spark, docs, odd):
+    few = [(r["doc_id"], (r["text"] or "")[:400]) for r in docs.limit(60).collect()] + [(r["doc_id"], r["text"] and r["text"][:300]) for r in odd.collect()]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    train = [t for d, t in few if brute.rest(d, 7) != 2]
+    want = brute_scores(train, [t for _, t in few], suffix_tree.DEPTH, suffix_tree.TELLING, suffix_tree.ESCAPE)
+    found = suffix_tree.language_model_scores(df, chunk_bytes=4_000, part=500).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in found) == sorted((str(d), round(s, 5)) for (d, _), s in zip(few, want, strict=True))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
