@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -304,6 +305,73 @@ def test_fingerprints(docs, odd):
             assert {r["n_chars"] for r in found if r["doc_id"] in (2, 3)} == {0}
 
 
+def plain_print(text):
+    """A fingerprint by its definition: a hash of each window of bytes, piece by piece."""
+    import zlib
+
+    data = text.encode()
+
+    def rolled(i):
+        h = 0
+        for c in (b"\0" * 6 + data)[i : i + 7]:
+            h = (h * 0x9E3779B1 + c + 1) & 0xFFFFFFFF
+        return h ^ h >> 15
+
+    hashes = [rolled(i) for i in range(len(data))]
+
+    def signature(size):
+        out, start = "", 0
+        for i, h in enumerate(hashes):
+            if h % size == size - 1:
+                out, start = out + piecewise_hash.SIGNS[zlib.crc32(data[start : i + 1]) % 64], i + 1
+        return out + (piecewise_hash.SIGNS[zlib.crc32(data[start:]) % 64] if start < len(data) else "")
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    least = max(3, size // 4)
+    while size > least and sum(h % size == size - 1 for h in hashes) < 32:
+        size //= 2
+    return f"{size}:{signature(size)}:{signature(2 * size)}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def alike(x, y):
+        if x == y:
+            return 1.0
+        run = min(5, (min(len(x), len(y)) + 1) // 2)
+        if not x or not y or not any(x[i : i + run] in y for i in range(len(x) - run + 1)):
+            return 0.0
+        row = list(range(len(y) + 1))  # insertions and deletions; a replacement is one of each
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last if c == d else 1 + min(row[j], row[j - 1])
+        return 1 - row[-1] / (len(x) + len(y))
+
+    (n, a1, a2), (m, b1, b2) = ((int(s), x, y) for s, x, y in (f.split(":") for f in (a, b)))
+    return max([0.0] + [alike(x, y) for s, x in ((n, a1), (2 * n, a2)) for t, y in ((m, b1), (2 * m, b2)) if s == t])
+
+
+def test_fingerprints_by_brute_force(spark, docs, odd):
+    """The whole result: ties in id are told apart by a hash, so odd rows are compared by their own prints only."""
+    few = sorted((r["doc_id"], (r["text"] or "")[:1500]) for r in docs.limit(40).collect())
+    few += [(10_000 + i, t) for i, t in enumerate(["", None, "a", "漢字 \U0001f600", few[0][1], few[0][1][:-3]])]
+    found = {r["doc_id"]: r for r in piecewise_hash.fingerprints(spark.createDataFrame(few, "doc_id long, text string"), 4).collect()}
+    texts = [(d, t or "") for d, t in few]
+    for (d, t), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        k = len(t) // 2
+        new = t[: len(t) - k] + after[:k]
+        r, own = found[d], plain_print(t)
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) == (len(t), own, plain_print(new), hashlib.sha256(new.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, plain_print(new))) and r["near_next"] == pytest.approx(plain_likeness(own, plain_print(after)))
+    prints = {(str(r["doc_id"]), r["fingerprint"]) for r in piecewise_hash.fingerprints(odd, 4).collect()}
+    assert {(str(r["doc_id"]), plain_print((r["text"] or ""))) for r in odd.collect() if len(r["text"] or "") < 5000} <= prints
+
+
 def test_likeness_is_edit_distance():
     a, b = "ABCDEFGHIJKLMNOP", "ABCDExGHIJKLyMNOP"
     assert piecewise_hash.likeness(f"3:{a}:abcdefgh", f"3:{b}:stuvwxyz") == pytest.approx(1 - edit_distance(a, b) / (len(a) + len(b)))
@@ -330,6 +398,26 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert all(r["score"] == 0 for r in toxicity.toxicity(odd, none).collect())
 
 
+def test_toxicity_by_brute_force(spark, sf):
+    """The query's scores and places from the fitted weights, by the definition of noisy-or."""
+    more = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{more}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    found = {r["doc_id"]: r for r in queries.QUERIES["op8_toxicity"](spark, more).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        clean, each = 1.0, []
+        for sentence in re.split("[.!?\\n]+", (text or "").lower()):
+            if seen := set(re.findall(r"\w+", sentence)):
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in seen for f in (("=" + w, w[:4], w[:5]) if len(w) > 4 else ("=" + w, w)))
+                each.append(1 / (1 + math.exp(-max(-35, min(35, z)))))
+                clean *= 1 - each[-1]
+        r = found[doc_id]
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-6) and r["offending"] == [i for i, p in enumerate(each) if p >= 0.5]
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs.limit(3), labels.limit(0)).count() == 3
+
+
 def test_offending_sentences_are_found():
     texts = [f"plain words here {i}. more of them." for i in range(40)] + [f"plain words here {i}. you vile wretch. more." for i in range(40)]
     model = toxicity.train(texts, [0] * 40 + [1] * 40)
@@ -338,6 +426,21 @@ def test_offending_sentences_are_found():
     assert model.score("plain words here. more.", toxicity.Words(model.weights))[0] < 0.5
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline as c
+
+    bench = spark.createDataFrame([(1, "short item"), (None, None)], "item_id long, text string")
+    for name, rows in (("odd", odd.select("doc_id", "text", "lang", "source", "score", "chunk")), ("empty", odd.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    found = c.run(spark, f"{tmp_path}/odd").collect()
+    assert found and {r["doc_id"] for r in found} <= {1, None, 6, 7, 8} and all(r["text_crc32"] for r in found)
+    assert c.run(spark, f"{tmp_path}/empty").count() == 0
+    for name, stage in c.STAGES[:-1]:
+        kept = stage(spark, odd, f"{tmp_path}/odd")
+        assert kept.columns == odd.columns, name
+
+
 def test_pipeline(spark, sf, docs):
     """Each stage over what its predecessor kept, against plain Python on the same rows."""
     import corpus_pipeline as c

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veredas.llm.common import number_columns, pick, written
+from veredas.llm.common import number_columns, pick, remove, written
 
 SHINGLE = 3
 SEED = 42
@@ -108,8 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(near, "v").select("v", "c", F.least("c", "near").alias("to"))
         of = labels.select(F.col("v").alias("to"), F.col("c").alias("jump"))
         step = written(least.join(of, "to", "left").select("v", F.col("c").alias("was"), F.least("to", "jump").alias("c")), "labels")
+        remove(labels)
         labels = step.select("v", "c")
         if step.filter("c != was").isEmpty():
+            remove(both)
             return labels
 
 

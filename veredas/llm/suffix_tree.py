@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veredas.llm.common import pick, remainder, written
+from veredas.llm.common import pick, remainder, remove, written
 
 DEPTH = 5
 STATES = None  # all that pass
@@ -330,8 +330,8 @@ def _prices(packed, logs) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], values[order]
 
 
-def _prices_of(dealt: DataFrame, buckets: int, states: int | None, telling: float, part: int) -> DataFrame:
-    """(chunk, word, c, first): the log probabilities of each chunk's strings, packed."""
+def _prices_of(dealt: DataFrame, buckets: int, states: int | None, telling: float, part: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(chunk, word, c, first): the log probabilities of each chunk's strings, packed; and the tables that are read for it."""
     asked = written(dealt.mapInPandas(_wanted(buckets), "bucket int, chunk int, codes binary, counts binary"), "asked")
     grams = written(asked.groupBy("bucket").applyInPandas(lambda rows: _summed(rows), "code long, n long"), "grams")
     found = written(contexts(grams.filter("n > 0"), states, telling), "tree")
@@ -340,7 +340,8 @@ def _prices_of(dealt: DataFrame, buckets: int, states: int | None, telling: floa
     of = lambda k: F.pmod(F.xxhash64(F.shiftrightunsigned(k, 8).bitwiseAND((1 << 8 * HEAD) - 1)), F.lit(parts)).cast("int")
     strings, longer = grams.select(of("code").alias("part"), "code"), found.filter(F.col("d") >= HEAD).withColumn("part", of("k"))
     priced = strings.groupBy("part").cogroup(longer.groupBy("part")).applyInPandas(_priced(base, buckets), "bucket int, codes binary, logs binary")
-    return asked.select("bucket", "chunk", "codes").groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInPandas(_returned, "chunk int, word binary, c long, first boolean")
+    answers = asked.select("bucket", "chunk", "codes").groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInPandas(_returned, "chunk int, word binary, c long, first boolean")
+    return answers, [asked, grams, found]
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_train long, n_first long"
@@ -380,9 +381,12 @@ def language_model_scores(docs: DataFrame, states: int | None = STATES, telling:
     same = Window.partitionBy("word")
     first = (F.row_number().over(same.orderBy("chunk")) == 1) & (F.sum("n").over(same) > 0)
     sums = asked.select("chunk", "word", F.sum("n").over(same).alias("c"), first.alias("first"))
-    answers = sums.unionByName(_prices_of(dealt, max(1, n // 2), states, telling, part))
+    prices, read = _prices_of(dealt, max(1, n // 2), states, telling, part)
+    answers = sums.unionByName(prices)
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_answered, SCORED)
     scored = written(scored, "scored")
+    for table in read:
+        remove(table)
     tokens, distinct, ends = scored.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_first"), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     vocabulary = distinct + (ends > 0)  # and the end token, which every training text has once
     total = float(np.log10(tokens + vocabulary + 1.0))

@@ -9,7 +9,8 @@ The model is fitted on a bounded sample of labelled rows: of each label, the ``S
 aren't held out. Every row is scored, over its whole text.
 
 Nulls: a null text counts as empty. A text without a word has no sentence and score 0. A null label isn't
-learned from; an id with several labelled rows counts once for each label. With no labelled row of either kind every
+learned from; an id with several labelled rows counts once for each label, and of several texts of an id the
+least one is learned from. With no labelled row of either kind every
 score is 0. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
