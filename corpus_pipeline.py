@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with all their columns; the last
 returns each document's shard. A stage works on all that the one before it kept.
+
+Nulls: a document of null or empty text, or without a letter, goes with the first stage. A null id is kept like
+others (the near-duplicates prefer another of their group), a null source is one of its own. Of rows that repeat, or of
+ties, one stays. Empty tables give no rows. Other columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
