@@ -206,8 +206,10 @@ def snk_get_or_create(spark, d):
 
 @query("snk_xlsx", "SELECT school, class, count(*) AS n, round(avg(score), 1) AS media FROM scores GROUP BY ALL")
 def snk_xlsx(spark, d):
-    """The rows of the class layout; ``sinks.workbook`` writes them as a spreadsheet where its library is there."""
-    return T.scores(spark, d).groupBy("school", "class").agg(n_rows().alias("n"), F.round(F.avg("score"), 1).alias("media"))
+    """Each school's classes as a workbook, written and read back."""
+    rows = T.scores(spark, d).groupBy("school", "class").agg(n_rows().alias("n"), F.round(F.avg("score"), 1).alias("media"))
+    found = R.sheet_rows(K.workbooks(rows, "school", ["class"])).filter("number > 0")
+    return found.select(F.regexp_replace("path", r"\.xlsx$", "").alias("school"), F.col("cells")[0].alias("class"), F.col("cells")[1].cast("long").alias("n"), F.col("cells")[2].cast("double").alias("media"))
 
 
 @query("snk_report", """SELECT school, '{"school":"' || school || '","essays":' || count(*) || ',"best":' || max(score) || ',"note":null}' AS payload FROM scores GROUP BY 1""")

@@ -80,6 +80,23 @@ def docx_file(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+            for i, row in enumerate(sheet.findall(".//{*}row")):
+                cells = ["".join(t.text or "" for t in (*c.findall(".//{*}t"), *c.findall("{*}v"))) if len(c) else None for c in row.findall("{*}c")]
+                out.append((path, i, cells))
+        yield pd.DataFrame(out, columns=["path", "number", "cells"])
+
+
+def sheet_rows(found: DataFrame) -> DataFrame:
+    """path, number, cells (as text) of the rows of workbooks' first sheets (path, content)."""
+    return found.select("path", "content").mapInPandas(_cells, "path string, number int, cells array<string>")
+
+
 def _pdf_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pypdf import PdfReader  # not part of this library: only where PDFs are read
 

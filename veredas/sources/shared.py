@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder of this machine."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veredas-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where.rstrip('/')}/veredas-{name}-{uuid.uuid4().hex}"
