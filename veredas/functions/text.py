@@ -52,8 +52,12 @@ def folded(text: Column) -> Column:
     return plain(F.lower(F.trim(text)))
 
 
+def _capitals(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.upper(text), r"\s+", " "))
+
+
 def person_name(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.upper(plain(text)), r"\s+", " "))
+    return _capitals(plain(text))
 
 
 def essay_text(text: Column) -> Column:
@@ -88,7 +92,7 @@ def name_like(text: Column) -> Column:
 def header(text: Column) -> Column:
     """struct(name, cpf) of a header: after its labels; without a name label the longest line that looks like a name."""
     named = F.nullif(F.trim(F.regexp_extract(text, r"(?im)^\s*nome\s*:\s*(.*)$", 1)), F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), person_name), name_like)
+    lines = F.filter(F.transform(F.split(plain(text), "\n"), _capitals), name_like)
     longest = F.try_element_at(F.array_sort(F.transform(lines, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("line")))), F.lit(1))["line"]
     number = F.regexp_extract(text, r"(\d{3}\.?\d{3}\.?\d{3}-?\d{2})", 1)
     return F.struct(F.coalesce(person_name(named), longest).alias("name"), cpf(number).alias("cpf"))

@@ -8,7 +8,6 @@ from veredas.functions import text as X
 from veredas.functions.scoring import ESSAY_BANDS
 from veredas.operators.joins import band
 from veredas.operators.keys import latest_per_key, n_rows
-from veredas.operators.tree import ancestors
 from veredas.operators.windows import competition_rank
 from veredas.plans import tables as T
 from veredas.plans.joins import BAND_SQL
@@ -55,7 +54,7 @@ def src_catalog_cache(spark, d):
 
 @query("src_parent_map", "SELECT id, parent FROM nodes WHERE parent IS NOT NULL")
 def src_parent_map(spark, d):
-    return ancestors(T.nodes(spark, d), 2).filter("depth = 1").select("id", F.col("ancestor").alias("parent"))
+    return T.nodes(spark, d).filter("parent is not null").select("id", "parent")
 
 
 @query("src_csv", "SELECT DISTINCT c_mktsegment AS turma, c_name AS nome, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::VARCHAR END AS documento FROM customer")
