@@ -376,7 +376,8 @@ def language_model_scores(docs: DataFrame, states: int | None = STATES, telling:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").repartition("chunk").sortWithinPartitions("chunk")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small chunks aren't put together again
+    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").repartition(parts, "chunk").sortWithinPartitions("chunk")
     asked = dealt.mapInPandas(_asked, "chunk int, word binary, n long")
     same = Window.partitionBy("word")
     first = (F.row_number().over(same.orderBy("chunk")) == 1) & (F.sum("n").over(same) > 0)
