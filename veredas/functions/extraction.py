@@ -28,6 +28,15 @@ HEADING = r"(?iuU)\bEPIS[ÓO]DIO\s+\d+|\bCAP[ÍI]TULO\s+\d+"
 LEAST_STATEMENT = 12
 LEAST_CONFIDENCE = 0.6
 FULL = (4, 5)  # options of a whole set
+# What page furniture, broken glyphs and broken formulas look like in a recovered text.
+ARTIFACTS = {
+    "barcode": r"\*[0-9A-Z]{6,}\*",
+    "watermark": r"(?U)(?:ENE[MN]\s?\d{4}){2,}",
+    "running_header": r"(?iuU)(?:LINGUAGENS|MATEM[ÁA]TICA|CI[ÊE]NCIAS(?:\s+(?:HUMANAS|DA\s+NATUREZA))?|REDA[ÇC][ÃA]O).{0,60}[|•·]\s*\d\s*[ºo]?\s*DIA\s*[|•·]\s*CADERNO",
+}
+BROKEN_GLYPHS = r"/g\d+|\x{FFFD}"
+CUT_OFF = r"(?:[-/(]| e| de)\z"
+JOINED_FORMULA = r"\d\s*,\s*\z|[A-Za-zÀ-ÿ]\s*[A-Za-zÀ-ÿ]?\s*=\s*\S|\A[0-9]{1,4}\s+[0-9][0-9 ,]*\z"
 
 
 def _clean(text: Column) -> Column:
@@ -144,3 +153,25 @@ def questions(docs: DataFrame, key: str, text: str) -> DataFrame:
     flags = F.filter(F.array(*[F.when(c, k) for k, c in named.items()]), lambda x: x.isNotNull())
     told = told.withColumns({"flags": flags, "confidence": confidence(n, statement, F.col("preceded"), F.col("style"), F.col("_missing"))})
     return told.withColumn("status", review_status(F.col("confidence"), F.col("kind"), F.col("flags"))).drop("_orphan", "_missing")
+
+
+def option_check(number: Column, statement: Column, options: Column) -> Column:
+    """struct(reasons, status) of a recovered question with ``options``: array of struct(label, text).
+
+    IMPORT_READY without a reason; INVALID if the labels aren't A to E and no formula is broken; else
+    OPTION_RECOVERY_PENDING. A reason is named ``label: what`` or, for the whole question, ``what``.
+    """
+    labels = F.transform(options, lambda o: o["label"])
+    whole = labels == F.array(*map(F.lit, LETTERS))
+
+    def found(o: Column) -> Column:
+        text = F.coalesce(o["text"], F.lit(""))
+        bare = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+        rules = {"empty": bare == "", **{f"contains {k}": text.rlike(v) for k, v in ARTIFACTS.items()}, "glyph garbage": text.rlike(BROKEN_GLYPHS), "looks truncated": text.rlike(CUT_OFF), "joined formula": bare.rlike(JOINED_FORMULA)}
+        return F.array(*[F.when(broken, F.concat(o["label"], F.lit(f": {what}"))) for what, broken in rules.items()])
+
+    own = {"labels are not A to E": ~F.coalesce(whole, F.lit(False)), **{f"statement contains {k}": statement.rlike(v) for k, v in ARTIFACTS.items()}, "no official number": F.coalesce(number, F.lit(0)) == 0}
+    every = F.array_compact(F.concat(F.array(*[F.when(broken, F.lit(what)) for what, broken in own.items()]), F.coalesce(F.flatten(F.transform(options, found)), F.array().cast("array<string>"))))
+    formula = F.exists(every, lambda r: F.endswith(r, F.lit(": joined formula")))
+    status = F.when(F.size(every) == 0, "IMPORT_READY").when(formula | F.coalesce(whole, F.lit(False)), "OPTION_RECOVERY_PENDING").otherwise("INVALID")
+    return F.struct(every.alias("reasons"), status.alias("status"))

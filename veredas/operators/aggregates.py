@@ -79,3 +79,18 @@ def nested(df: DataFrame, by: Sequence[str], fields: Sequence[str], out: str) ->
 
 def means_of(columns: Mapping[str, str], digits: int = 1) -> list[Column]:
     return [F.round(F.coalesce(F.avg(c), F.lit(0.0)), digits).alias(name) for name, c in columns.items()]
+
+
+def hierarchy(rooms: DataFrame, levels: Sequence[str], name: str, mean: str, members: str) -> DataFrame:
+    """levels, mean, members ..., classrooms: a row for each level of a tree of classrooms, and one for all.
+
+    A level's mean is the plain one of its classrooms' means (of one decimal), whatever their size; members are summed.
+    ``classrooms``: struct(name, mean, members) in the order of names, at the lowest level only, where they are few.
+    """
+    lowest = F.grouping(levels[-1]) == 0
+    held = F.collect_list(F.struct(name, mean, members))
+    found = rooms.rollup(*levels).agg(rounded_mean(mean, 1, 1).alias("mean"), F.sum(members).alias("students"), lowest.alias("_lowest"))
+    leaves = rooms.groupBy(*levels).agg(F.array_sort(held).alias("classrooms"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels]
+    met = found.join(leaves.select(*[F.col(c).alias(f"_{c}") for c in levels], "classrooms"), [*same, F.col("_lowest")], "left")
+    return met.drop("_lowest", *[f"_{c}" for c in levels])

@@ -8,12 +8,12 @@ from veredas.functions import scoring as S
 from veredas.operators import aggregates as A
 from veredas.operators.joins import band
 from veredas.operators.keys import first_per_key, n_rows, with_total
+from veredas.operators.proficiency import coverage, estimates
 from veredas.plans import tables as T
 from veredas.plans.joins import BAND_SQL
 from veredas.plans.registry import query
 
 
-
 def _graded(spark, d):
     return T.scores(spark, d).filter("score <= 1000").withColumn("band", band(F.col("score"), S.ESSAY_BANDS))
 
@@ -124,11 +124,16 @@ def agg_classroom_items(spark, d):
     return stats.join(weak, "classroom", "left")
 
 
-@query("agg_hierarchy_rollup", """WITH c AS (SELECT gre, school, class, round(avg(score), 1) AS m, count(DISTINCT student_id) AS k FROM scores WHERE class IS NOT NULL GROUP BY ALL)
-SELECT gre, school, ((2 * sum(round(m * 10)::BIGINT) + count(m)) // (2 * count(m)))::BIGINT / 10.0::DOUBLE AS mean, sum(k)::BIGINT AS students FROM c GROUP BY GROUPING SETS ((gre, school), (gre), ())""")
+@query("agg_hierarchy_rollup", """WITH c AS (SELECT gre AS unit, school AS segment, CASE WHEN student_id % 9 = 0 THEN 'Sem série cadastrada' ELSE 'G' || student_id % 4 END AS grade, class, round(avg(score), 1) AS m, count(DISTINCT student_id) AS k FROM scores WHERE class IS NOT NULL GROUP BY ALL)
+SELECT unit, segment, grade, ((2 * sum(round(m * 10)::BIGINT) + count(m)) // (2 * count(m)))::BIGINT / 10.0::DOUBLE AS mean, sum(k)::BIGINT AS students, CASE WHEN grouping(grade) = 0 THEN string_agg(class || '=' || m, ',' ORDER BY class) END AS classrooms
+FROM c GROUP BY GROUPING SETS ((unit, segment, grade), (unit, segment), (unit), ())""")
 def agg_hierarchy_rollup(spark, d):
-    rooms = T.scores(spark, d).filter("class is not null").groupBy("gre", "school", "class").agg(F.round(F.avg("score"), 1).alias("m"), F.count_distinct("student_id").alias("k"))
-    return rooms.rollup("gre", "school").agg(A.rounded_mean("m", 1, 1).alias("mean"), F.sum("k").alias("students"))
+    """Units, segments, grades and their classrooms: a level's mean is that of its classrooms' rounded means, whatever their size."""
+    grade = F.expr("case when student_id % 9 = 0 then 'Sem série cadastrada' else concat('G', student_id % 4) end")
+    rooms = T.scores(spark, d).filter("class is not null").select(F.col("gre").alias("unit"), F.col("school").alias("segment"), grade.alias("grade"), "class", "student_id", "score")
+    rooms = rooms.groupBy("unit", "segment", "grade", "class").agg(F.round(F.avg("score"), 1).alias("m"), F.count_distinct("student_id").alias("k"))
+    found = A.hierarchy(rooms, ["unit", "segment", "grade"], "class", "m", "k")
+    return found.withColumn("classrooms", F.array_join(F.transform("classrooms", lambda c: F.concat(c["class"], F.lit("="), c["m"].cast("string"))), ","))
 
 
 @query("agg_teacher_summary", f"""SELECT teacher, count(DISTINCT student_id) AS students, {M2} AS mean, count(DISTINCT last_at::DATE) AS lessons FROM (SELECT 't' || (student_id % 11) AS teacher, * FROM mastery) GROUP BY 1""")
@@ -228,13 +233,7 @@ PBAND_SQL = "CASE WHEN score < 40 THEN 'NEEDS_DEVELOPMENT' WHEN score < 60 THEN
 
 
 def _proficiency(spark, d):
-    weight = S.lookup(F.col("difficulty"), S.DIFFICULTY_WEIGHT, 1.0)
-    hit = F.coalesce(F.col("is_correct"), F.lit(False))
-    rows = T.items(spark, d).filter("answered").groupBy("student_id", "content").agg(
-        A.weighted_share(weight, hit).alias("score"), F.round(F.least(F.lit(1.0), n_rows() / 10), 4).alias("confidence"), n_rows().alias("n"),
-        F.count_distinct("difficulty").alias("levels"), F.count_distinct("is_correct").alias("outcomes"), F.min("discipline").alias("discipline"),
-    )
-    return rows.withColumn("band", S.steps(F.col("score"), S.PROFICIENCY_BANDS, "CONSOLIDATED_MASTERY"))
+    return estimates(T.items(spark, d).filter("answered"), ["student_id", "content"], "is_correct", "difficulty", discipline=F.min("discipline"))
 
 
 PROF_SQL = f"""p AS (SELECT *, {PBAND_SQL} AS band FROM (SELECT student_id, content, {PROFICIENCY_SQL} AS score, round(least(1.0::DOUBLE, count(*) / 10.0::DOUBLE), 4) AS confidence, count(*) AS n,
@@ -248,12 +247,7 @@ def agg_proficiency(spark, d):
 
 
 def _coverage(spark, d):
-    n, score, mixed = F.col("n"), F.col("score"), F.col("outcomes") > 1
-    status = (
-        F.when(n == 0, "NOT_EVALUATED").when(mixed, "IN_PROGRESS").when((n < 3) | (F.col("levels") < 2), "INSUFFICIENT_EVIDENCE")
-        .when(score >= 90, "CONSOLIDATED").when(score <= 40, "POSSIBLE_GAP").otherwise("SUFFICIENT_EVIDENCE")
-    )
-    return _proficiency(spark, d).withColumns({"status": status, "investigate": (n >= 3) & (score <= 40)})
+    return coverage(_proficiency(spark, d))
 
 
 @query("agg_coverage", f"WITH {PROF_SQL} SELECT student_id, content, {COVER_SQL} AS status, n >= 3 AND score <= 40 AS investigate FROM p")

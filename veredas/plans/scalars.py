@@ -8,10 +8,14 @@ from veredas.functions import extraction as E
 from veredas.functions import hashing as H
 from veredas.functions import scoring as S
 from veredas.functions import text as X
+from veredas.functions.headings import exercises, season, sections
+from veredas.functions.ranking import resource_score, video_score
+from veredas.functions.study import Vocabulary, request, vocabulary_match
 from veredas.operators import aggregates as A
 from veredas.operators import lexical
 from veredas.operators.filters import reasons
 from veredas.operators.joins import band
+from veredas.operators.layout import reading_order
 from veredas.plans import tables as T
 from veredas.plans.aggregates import MX, STATE_SQL
 from veredas.plans.joins import BAND_SQL
@@ -161,18 +165,25 @@ def fn_cut_answer_key(spark, d):
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.before_answer_key(made).alias("text"))
 
 
-@query("fn_reading_order", "SELECT l_orderkey AS page, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_suppkey >= 50, l_partkey // 50, l_suppkey, l_linenumber) AS lines FROM lineitem GROUP BY 1")
+@query("fn_reading_order", """WITH RECURSIVE l AS (SELECT l_orderkey AS page, l_linenumber AS id, l_suppkey AS x0, l_partkey AS y0, l_partkey + 5 + l_quantity::BIGINT % 40 AS y1 FROM lineitem),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS i FROM l),
+f AS (SELECT page, i, id, x0, y0, 0 AS r, y0 AS top, y1 AS bottom, y1 - y0 AS low FROM numbered WHERE i = 1
+UNION ALL SELECT n.page, n.i, n.id, n.x0, n.y0, f.r + (NOT j)::INT, CASE WHEN j THEN f.top ELSE n.y0 END, CASE WHEN j THEN greatest(f.bottom, n.y1) ELSE n.y1 END, CASE WHEN j THEN least(f.low, n.y1 - n.y0) ELSE n.y1 - n.y0 END
+FROM f JOIN (SELECT * FROM numbered) n ON n.page = f.page AND n.i = f.i + 1 CROSS JOIN LATERAL (SELECT 2 * (least(n.y1, f.bottom) - greatest(n.y0, f.top)) >= least(n.y1 - n.y0, f.low) AS j))
+SELECT page, id, r AS row, row_number() OVER (PARTITION BY page ORDER BY r, x0, y0, id) - 1 AS place FROM f""")
 def fn_reading_order(spark, d):
-    """Left column before right, then by row (lines of one height together), then from left to right."""
-    lines = T.read(spark, d, "lineitem").selectExpr("l_orderkey as page", "l_suppkey as x", "l_partkey as y", "l_linenumber as id")
-    place = F.struct((F.col("x") >= 50).alias("column"), F.expr("y div 50").alias("row"), "x", "id")
-    return lines.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["id"].cast("string")), ",").alias("lines"))
+    """Lines of an order as lines of a page: rows by the overlap of their heights, each from left to right."""
+    lines = T.read(spark, d, "lineitem").selectExpr("l_orderkey as page", "l_linenumber as id", "l_suppkey as x0", "l_partkey as y0", "l_partkey + 5 + cast(l_quantity as bigint) % 40 as y1")
+    return reading_order(lines, ["page"], ["id"]).select("page", "id", F.col("row").cast("int").alias("row"), F.col("place").cast("long").alias("place"))
 
 
-@query("fn_intent", "SELECT p_partkey AS id, CASE WHEN contains(p_name, 'ring') THEN 'PRACTICE' WHEN contains(p_name, 'bolt') THEN 'REVIEW' ELSE 'STUDY' END AS intent, CASE WHEN contains(p_name, 'small') THEN 'EASY' WHEN contains(p_name, 'red') THEN 'HARD' END AS level FROM part")
+@query("fn_intent", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'STUDY' WHEN 1 THEN 'PRACTICE' WHEN 2 THEN 'REVIEW' ELSE 'SEARCH' END AS intent, CASE p_size % 3 WHEN 0 THEN 'Química' WHEN 1 THEN 'Matemática' ELSE 'Geral' END AS discipline,
+CASE WHEN p_size % 5 = 0 THEN 'Ensino Médio' ELSE 'Ensino Fundamental' END AS grade_level, CASE WHEN p_size % 4 = 0 THEN 'EASY' WHEN p_size % 4 = 1 AND p_size % 5 > 0 THEN 'HARD' ELSE 'MEDIUM' END AS difficulty, CASE p_partkey % 4 WHEN 0 THEN 'MATERIAL' WHEN 1 THEN 'QUESTION' WHEN 2 THEN 'MATERIAL' ELSE 'VIDEO' END AS resource_type FROM part""")
 def fn_intent(spark, d):
-    has = lambda w: F.contains(X.folded(F.col("p_name")), F.lit(w))
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(has("ring"), "PRACTICE").when(has("bolt"), "REVIEW").otherwise("STUDY").alias("intent"), F.when(has("small"), "EASY").when(has("red"), "HARD").alias("level"))
+    """Requests made of parts; the SQL says what each must be understood as. Words of medium difficulty are tried before those of high, and a level of school has one."""
+    ask = F.expr("""concat(case p_partkey % 4 when 0 then 'Quero  estudar' when 1 then 'hoje quero praticar' when 2 then 'QUERO REVISAR' else 'vídeo' end, case p_size % 3 when 0 then ' soluções' when 1 then ' funções' else ' flores' end,
+        case when p_size % 5 = 0 then ' no ensino médio' else ' do 9º ano' end, case p_size % 4 when 0 then ' fácil' when 1 then ' avançado' else '' end)""")
+    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), request(ask).alias("r")).select("id", "r.*")
 
 
 TERMS_SQL = """list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3),
@@ -227,9 +238,16 @@ def fn_overlap_score(spark, d):
     return rows.select("question_id", F.round("s", 4).alias("score"))
 
 
-@query("fn_vocab_match", "SELECT question_id, list_filter(['red widget', 'blue bolt', 'ring'], lambda p: contains(statement, p)) AS terms FROM bank", lists=("terms",))
+VOCABULARY = Vocabulary("WIDGETS", ("red widget", "blue bolts"), ("ring",), ("small green gear",), ("red", "plate"))
+
+
+@query("fn_vocab_match", """WITH w AS (SELECT question_id, statement, list_filter(['red widget', 'blue bolts'], lambda p: contains(statement, rtrim(p, 's'))) AS p, list_filter(['ring'], lambda p: contains(statement, p)) AS s, list_filter(['small green gear'], lambda p: contains(statement, p)) AS c FROM bank)
+SELECT question_id, p AS primary_terms, s AS specific_terms, c AS contextual, list_filter(['red', 'plate'], lambda g: list_contains(string_split(statement, ' '), g)) AS generic_ignored, 60 * len(p) + 30 * len(s) + 50 * len(c) + CASE WHEN len(p) + len(s) + len(c) > 1 THEN 10 ELSE 0 END AS score
+FROM w WHERE len(p) + len(s) + len(c) > 0""", lists=("primary_terms", "specific_terms", "contextual", "generic_ignored"))
 def fn_vocab_match(spark, d):
-    return T.bank(spark, d).select("question_id", X.phrases_in(F.col("statement"), ["red widget", "blue bolt", "ring"]).alias("terms"))
+    """Questions with a phrase of an entry that isn't a generic one."""
+    found = T.bank(spark, d).select("question_id", vocabulary_match(F.col("statement"), VOCABULARY).alias("m")).filter("m is not null")
+    return found.select("question_id", F.col("m.primary").alias("primary_terms"), F.col("m.specific").alias("specific_terms"), "m.contextual", "m.generic_ignored", "m.score")
 
 
 @query("fn_band_score", f"SELECT essay_id, {BAND_SQL} AS label FROM scores WHERE score <= 1000")
@@ -298,30 +316,30 @@ def fn_rec_score(spark, d):
     return T.mastery(spark, d).select("student_id", "content", S.recommendation_score(source, F.col("score"), e("correct % 3"), e("answered % 11 = 0")).alias("score"))
 
 
-RESOURCE_WEIGHTS = {"EXPLANATION": 15.0, "PRACTICE": 12.0, "REVIEW": 10.0}
-
-
 @query("fn_resource_score", """SELECT question_id, (CASE WHEN content = 'Brand#4' THEN 30 ELSE 0 END + CASE WHEN owner = 'o3' THEN 25 ELSE 0 END + CASE WHEN origin IN ('AUTHOR', 'SCHOOL') THEN 20 ELSE 0 END + CASE WHEN number <= 16 THEN 15 ELSE 0 END
-+ CASE exam WHEN 'SMALL' THEN 15 WHEN 'ECONOMY' THEN 12 WHEN 'PROMO' THEN 10 ELSE 2 END - CASE WHEN question_id % 13 = 0 THEN 40 ELSE 0 END)::DOUBLE AS score FROM bank""")
++ CASE number % 7 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 3 ELSE 2 END - CASE WHEN question_id % 13 = 0 THEN 40 ELSE 0 END)::DOUBLE AS score FROM bank""")
 def fn_resource_score(spark, d):
-    add = lambda c, v: F.when(c, v).otherwise(0.0)
-    role = F.expr("case exam when 'SMALL' then 'EXPLANATION' when 'ECONOMY' then 'PRACTICE' when 'PROMO' then 'REVIEW' end")
-    score = add(F.col("content") == "Brand#4", 30.0) + add(F.col("owner") == "o3", 25.0) + add(F.col("origin").isin("AUTHOR", "SCHOOL"), 20.0) + add(F.col("number") <= 16, 15.0)
-    return T.bank(spark, d).select("question_id", (score + S.lookup(role, RESOURCE_WEIGHTS, 2.0) + add(F.col("question_id") % 13 == 0, -40.0)).alias("score"))
+    role = F.expr("case number % 7 when 0 then 'THEORY' when 1 then 'explanation' when 2 then 'REVIEW' when 3 then 'VIDEO' when 4 then 'PRACTICE' when 5 then 'REFERENCE' end")
+    c = F.col
+    return T.bank(spark, d).select("question_id", resource_score(c("content") == "Brand#4", c("owner") == "o3", c("origin"), c("number") <= 16, role, c("question_id") % 13 == 0).alias("score"))
 
 
 @query("fn_video_score", """SELECT question_id, (CASE WHEN content = 'Brand#4' THEN 35 WHEN question_id % 5 = 0 THEN 25 ELSE 0 END + CASE WHEN owner = 'o3' THEN 25 ELSE 0 END + CASE WHEN origin IN ('AUTHOR', 'SCHOOL') THEN 20 WHEN origin = 'PLATFORM' THEN 15 ELSE 0 END + CASE WHEN number <= 16 THEN 20 ELSE 0 END
-+ CASE WHEN number * 60 BETWEEN 180 AND 900 THEN 10 WHEN number * 60 > 1800 THEN -15 ELSE 0 END + CASE WHEN question_id % 11 = 0 THEN -30 WHEN question_id % 11 < 3 THEN 20 ELSE 15 END + CASE question_id % 7 WHEN 0 THEN 30 WHEN 1 THEN -60 ELSE 0 END)::DOUBLE AS score FROM bank WHERE question_id % 17 <> 0""")
++ CASE WHEN number * 60 BETWEEN 180 AND 900 THEN 10 WHEN number * 60 > 1800 THEN -15 ELSE 0 END + CASE WHEN question_id % 11 = 0 THEN -30 WHEN question_id % 11 < 3 THEN 20 WHEN question_id % 11 = 3 THEN 0 ELSE 15 END + CASE question_id % 7 WHEN 0 THEN 30 WHEN 1 THEN -60 ELSE 0 END
++ CASE question_id % 6 WHEN 0 THEN -40 WHEN 1 THEN -30 ELSE 0 END + CASE WHEN number * 60 < 300 THEN -30 ELSE 0 END + CASE WHEN number <= 16 THEN -40 ELSE 0 END + CASE WHEN contains(statement, 'ring') THEN 25 ELSE 0 END)::DOUBLE AS score FROM bank""")
 def fn_video_score(spark, d):
-    add = lambda c, v, rest=0.0: F.when(c, v).otherwise(rest)
-    qid, seconds = F.col("question_id"), F.col("number") * 60
-    score = (
-        F.when(F.col("content") == "Brand#4", 35.0).when(qid % 5 == 0, 25.0).otherwise(0.0) + add(F.col("owner") == "o3", 25.0)
-        + F.when(F.col("origin").isin("AUTHOR", "SCHOOL"), 20.0).when(F.col("origin") == "PLATFORM", 15.0).otherwise(0.0) + add(F.col("number") <= 16, 20.0)
-        + F.when(seconds.between(180, 900), 10.0).when(seconds > 1800, -15.0).otherwise(0.0)
-        + F.when(qid % 11 == 0, -30.0).when(qid % 11 < 3, 20.0).otherwise(15.0) + F.when(qid % 7 == 0, 30.0).when(qid % 7 == 1, -60.0).otherwise(0.0)
+    """For a student at level EASY who found videos too fast, too basic and short of examples; every question is a video."""
+    c, qid = F.col, F.col("question_id")
+    progress = F.when(qid % 11 == 0, 100.0).when(qid % 11 < 3, 40.0).otherwise(0.0)
+    level = F.when(c("number") <= 16, "EASY").otherwise("HARD")
+    verdict = F.when(qid % 7 == 0, "LIKED").when(qid % 7 == 1, "DISLIKED")
+    reason = F.when(qid % 6 == 0, "TOO_ADVANCED").when(qid % 6 == 1, "TOO_FAST")
+    about = F.regexp_replace(c("statement"), "ring", "Exemplo")
+    score = video_score(
+        c("content") == "Brand#4", qid % 5 == 0, c("owner") == "o3", c("origin"), level, F.lit("EASY"), c("number") * 60, progress, qid % 11 == 3, verdict, reason, about,
+        {"TOO_FAST": F.lit(2), "TOO_BASIC": F.lit(1), "NEEDS_EXAMPLES": F.lit(1)},
     )
-    return T.bank(spark, d).filter("question_id % 17 <> 0").select("question_id", score.alias("score"))
+    return T.bank(spark, d).select("question_id", score.alias("score"))
 
 
 def _path(spark, d):
@@ -426,26 +444,44 @@ def fn_confidence_band(spark, d):
     return T.mastery(spark, d).select("student_id", "content", F.when(exact.isNull(), None).when(exact >= 0.85, "HIGH").when(exact >= 0.60, "MEDIUM").otherwise("LOW").alias("band"))
 
 
-@query("fn_option_validate", "SELECT question_id, CASE WHEN number % 6 < 2 THEN 'INVALID' WHEN number % 6 < 4 OR length(statement) < 9 THEN 'PENDING' ELSE 'IMPORT_READY' END AS status FROM bank")
+@query("fn_option_validate", """SELECT question_id, CASE number % 8 WHEN 1 THEN 'labels are not A to E' WHEN 2 THEN 'C: empty' WHEN 3 THEN 'B: contains barcode' WHEN 4 THEN 'E: looks truncated' WHEN 5 THEN 'labels are not A to E;D: joined formula' WHEN 6 THEN 'no official number' WHEN 7 THEN 'A: glyph garbage;E: contains watermark' ELSE '' END AS reasons,
+CASE number % 8 WHEN 0 THEN 'IMPORT_READY' WHEN 1 THEN 'INVALID' ELSE 'OPTION_RECOVERY_PENDING' END AS status FROM bank""")
 def fn_option_validate(spark, d):
-    few = F.col("number") % 6
-    why = reasons(NO_OPTIONS=few < 2, FEW_OPTIONS=few < 4, SHORT=F.length("statement") < 9)
-    return T.bank(spark, d).select("question_id", F.when(F.array_contains(why, "NO_OPTIONS"), "INVALID").when(F.size(why) > 0, "PENDING").otherwise("IMPORT_READY").alias("status"))
-
-
-@query("fn_heading_parse", "SELECT p_partkey AS id, p_size AS season, p_partkey % 50 AS episode FROM part")
+    """Options made of each question, whole or broken in one of seven ways."""
+    kind, word = F.col("number") % 8, F.split("statement", " ")[0]
+    broken = {("C", 2): F.lit("  "), ("B", 3): F.lit("*123ABC* x"), ("E", 4): F.concat(word, F.lit(" de")), ("D", 5): F.lit("108 25,"), ("A", 7): F.lit("/g12"), ("E", 7): F.lit("ENEM2025ENEM2025")}
+
+    def option(letter):
+        text = F.concat(word, F.lit(f" {letter}"))
+        for (at, k), bad in broken.items():
+            text = F.when(kind == k, bad).otherwise(text) if at == letter else text
+        return F.struct(F.lit(letter).alias("label"), text.alias("text"))
+
+    options = F.array(*map(option, E.LETTERS))
+    rows = T.bank(spark, d).withColumn("options", F.when(kind == 1, F.slice(options, 1, 3)).when(kind == 5, F.slice(options, 1, 4)).otherwise(options))
+    found = rows.select("question_id", E.option_check(F.when(kind != 6, F.col("number")), F.col("statement"), F.col("options")).alias("x"))
+    return found.select("question_id", F.array_join("x.reasons", ";").alias("reasons"), "x.status")
+
+
+@query("fn_heading_parse", r"""WITH p AS (SELECT *, upper(left(p_name, 1)) || substr(p_name, 2) AS t FROM part)
+SELECT p_partkey AS id, 1 AS position, 'EPISODE' AS kind, lpad((p_partkey % 50)::VARCHAR, 2, '0') AS number, t AS title, '. Texto inicial.|## 1.1 Parte|. Fim.' AS lines, p_size AS season FROM p
+UNION ALL SELECT p_partkey, 2, 'CHAPTER', p_size::VARCHAR, 'Chapter ' || p_size, '1. Calcule ' || p_name || '.', p_size FROM p
+UNION ALL SELECT p_partkey, 0, 'SECTION', NULL, 'Introdução', 'Objetivo: estudar ' || p_name, p_size FROM p""")
 def fn_heading_parse(spark, d):
-    made = F.expr("concat('intro\\nTEMPORADA ', p_size, '\\nEpisódio ', p_partkey % 50, ': título')")
-    number = lambda word: F.regexp_extract(made, rf"(?im)^{word}\s+(\d+)", 1)
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), number("temporada").cast("int").alias("season"), number("epis[oó]dio").cast("long").alias("episode"))
+    """A season's text made of each part: an introduction, an episode with a subsection, and a chapter of exercises."""
+    made = F.expr("concat('TEMPORADA ', p_size, ': ', p_type, '\\nObjetivo: estudar ', p_name, '\\nEPISÓDIO ', lpad(cast(p_partkey % 50 as string), 2, '0'), ' – ', upper(left(p_name, 1)), substr(p_name, 2), '. Texto inicial. 1.1 Parte. Fim.\\nCapítulo ', p_size, ': 1. Calcule ', p_name, '.')")
+    texts = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), made.alias("text"))
+    found = sections(texts, "id", "text").select("id", "position", "kind", "number", "title", F.array_join("lines", "|").alias("lines"))
+    return found.join(texts.select("id", season(F.col("text"))["number"].alias("season")), "id")
 
 
-@query("fn_exercise_split", "SELECT p_partkey AS id, i::INT AS number, p_name || ' ' || i AS body FROM part, generate_series(1, 3) t(i)")
+@query("fn_exercise_split", """SELECT p_partkey AS id, 1 AS number, 'Calcule ' || p_name || ' com cuidado.' AS statement, 'a) um|b) dois|c) três|d) ' || p_name || '.' AS options, false AS requires_review FROM part
+UNION ALL SELECT p_partkey, 2, 'Explique ' || p_name || ' em detalhe.', '', false FROM part UNION ALL SELECT p_partkey, 3, 'Escolha entre as opções:', 'a) sim|b) não', true FROM part""")
 def fn_exercise_split(spark, d):
-    made = F.expr("concat('1. ', p_name, ' 1\\n2. ', p_name, ' 2\\n3. ', p_name, ' 3')")
-    parts = F.filter(F.split(made, r"(?m)^\d+\.\s+"), lambda x: x != "")
-    rows = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(parts).alias("i", "body"))
-    return rows.select("id", (F.col("i") + 1).alias("number"), F.trim(F.translate("body", "\n", " ")).alias("body"))
+    """Three items for each part: with a whole set of options, with none, and with too few."""
+    made = F.expr("concat('1. Calcule ', p_name, ' com cuidado. a) um b) dois\\nc) três D) ', p_name, '.\\n2) Explique ', p_name, ' em detalhe.\\n03. Escolha entre as opções: a) sim b) não')")
+    rows = exercises(T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), made.alias("body")), ["id"], "body")
+    return rows.select("id", "number", "statement", F.array_join("options", "|").alias("options"), "requires_review")
 
 
 @query("fn_attempt_expiry", "SELECT essay_id, CASE WHEN essay_id % 3 = 0 THEN at_ + INTERVAL 1 HOUR WHEN essay_id % 3 = 1 THEN least(at_ + INTERVAL 1 HOUR, at_ + INTERVAL 30 MINUTES) END AS expires FROM scores")
