@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veredas.functions import headings, ranking, study
 from veredas.operators import layout, proficiency, providers
+from veredas.sources import readers
 
 BOOK = "TEMPORADA 11: Soluções e misturas\nUma introdução ao tema desta temporada.\nEPISÓDIO 01 – O que é uma solução? Texto do episódio. 1.1 Soluto: Dissolve-se no solvente.\n1.2 Solvente. Dissolve o soluto.\nCapítulo 2: 1. Calcule a massa do soluto. a) um b) dois c) três d) quatro\n"
 
@@ -133,3 +134,23 @@ def test_providers(spark):
     assert [g and g[0] for g in got] == ["x", None, "y", "y"]
     label = df.select(providers.keyword_classifier(F.col("prompt"), {"A": ["A"], "B": ["b"]}, "?").alias("l"))
     assert [r["l"] for r in label.collect()] == ["A", "?", "A", "B"]
+
+
+def test_running_lines(spark):
+    rows = [("d", p, t, y, y + 8.0) for p in range(4) for t, y in (("PROVA 2026", 2.0), ("abc", 2.0), (f"page {p}", 190.0), ("in the text", 100.0))]
+    df = spark.createDataFrame([*rows, ("d", 9, "PROVA 2026", 100.0, 108.0), ("e", 1, "PROVA 2026", 2.0, 10.0), ("e", 2, None, 2.0, 10.0)], "doc string, page int, text string, y0 double, y1 double")
+    df = df.withColumn("height", F.lit(200.0)).withColumn("x0", F.lit(1.0))
+    assert [tuple(r) for r in layout.running_lines(df, ["doc"], "page", "text", "height").collect()] == [("d", "PROVA 2026")]
+    left = layout.page_structure(df, ["doc"], "page", "text", ["text"], "height")
+    assert left.count() == df.count() - 5 and left.filter("text is null").count() == 1
+
+
+def test_parsed(spark):
+    files = [("a/x.DOCX", readers.docx_file(["um", "dois & três"])), ("b.md", "# Título\r\n\r\nCorpo\nsegue\n\n".encode()), ("c.txt", b""), ("d.csv", b"1,2")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    found = readers.parsed(df.filter("path not like '%csv'"))
+    assert sorted(map(tuple, found.collect())) == [("a/x.DOCX", 0, "um"), ("a/x.DOCX", 1, "dois & três"), ("b.md", 0, "# Título"), ("b.md", 1, "Corpo\nsegue")]
+    with pytest.raises(Exception, match="no parser for d.csv"):
+        readers.parsed(df).collect()
+    own = {**readers.PARSERS, "csv": lambda content: content.decode().split(",")}
+    assert [r["text"] for r in readers.parsed(df.filter("path = 'd.csv'"), own).orderBy("number").collect()] == ["1", "2"]

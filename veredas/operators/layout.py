@@ -16,6 +16,9 @@ LEAST_LINES = 3
 LEAST_REPEATS = 2
 LEAST_SHARED_HEIGHT = 0.3
 MIDDLE = (0.25, 0.75)
+MARGIN = 0.12
+LEAST_PAGES = 3
+LEAST_LENGTH = 4
 
 
 def column_splits(lines: DataFrame, page: Sequence[str], width: str | None = None) -> DataFrame:
@@ -75,3 +78,16 @@ def reading_order(lines: DataFrame, page: Sequence[str], tie: Sequence[str], col
     found = lines.repartition(*page).sortWithinPartitions(*keys, "y0", "x0", *tie).mapInPandas(rows, schema)
     order = Window.partitionBy(*page).orderBy("column", "row", "x0", "y0", *tie)
     return found.withColumn("place", F.row_number().over(order) - 1)
+
+
+def running_lines(lines: DataFrame, doc: Sequence[str], page: str, text: str, height: str) -> DataFrame:
+    """doc, text: what stands in the upper or lower margin of LEAST_PAGES pages of a document or more, word for word."""
+    margin = (F.col("y1") <= F.col(height) * MARGIN) | (F.col("y0") >= F.col(height) * (1 - MARGIN))
+    hits = lines.filter(margin & (F.length(text) >= LEAST_LENGTH)).select(*doc, text, page).distinct()
+    return hits.groupBy(*doc, text).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= LEAST_PAGES).drop("_pages")
+
+
+def page_structure(lines: DataFrame, doc: Sequence[str], page: str, text: str, tie: Sequence[str], height: str, columns: bool = False, width: str | None = None) -> DataFrame:
+    """``reading_order`` of each page without running heads and feet. A line whose text is one goes wherever it stands; a null text stays."""
+    kept = lines.join(running_lines(lines, doc, page, text, height), [*doc, text], "left_anti").select(*lines.columns)
+    return reading_order(kept, [*doc, page], tie, columns, width)

@@ -9,6 +9,7 @@ from veredas.functions.scoring import ESSAY_BANDS
 from veredas.operators.joins import band
 from veredas.operators.keys import latest_per_key, n_rows
 from veredas.operators.windows import competition_rank
+from veredas.operators.layout import page_structure
 from veredas.plans import tables as T
 from veredas.plans.joins import BAND_SQL
 from veredas.plans.registry import query
@@ -73,24 +74,31 @@ def src_pdf_text(spark, d):
     return docs.select("doc_id", F.regexp_count("text", F.lit(r"\d+")).cast("long").alias("numbers")).join(counts, "doc_id")
 
 
-@query("src_docx", "SELECT p_brand AS file, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS number, p_name || ' & ' || p_partkey AS text FROM part")
+@query("src_docx", "SELECT p_brand || '-' || p_partkey // 500 AS file, (row_number() OVER (PARTITION BY p_brand, p_partkey // 500 ORDER BY p_partkey) - 1)::INT AS number, p_name || ' & ' || p_partkey AS text FROM part")
 def src_docx(spark, d):
-    """Writes each brand's parts as a DOCX and reads their paragraphs."""
+    """Writes each brand's parts as DOCX files of at most 500 ids and reads their paragraphs."""
     import pandas as pd
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [group["p_brand"].iloc[0]], "content": [R.docx_file(group.sort_values("p_partkey")["text"].tolist())]})
+        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [R.docx_file(group.sort_values("p_partkey")["text"].tolist())]})
 
-    rows = T.read(spark, d, "part").select("p_brand", "p_partkey", F.concat("p_name", F.lit(" & "), "p_partkey").alias("text"))
-    packed = rows.groupBy("p_brand").applyInPandas(pack, "path string, content binary")
+    rows = T.read(spark, d, "part").selectExpr("concat(p_brand, '-', p_partkey div 500) as path", "p_partkey", "concat(p_name, ' & ', p_partkey) as text")
+    packed = rows.groupBy("path").applyInPandas(pack, "path string, content binary")
     return R.docx_paragraphs(packed).withColumnRenamed("path", "file")
 
 
-@query("src_pdf_layout", "SELECT p_brand AS doc, count(*) FILTER (p_partkey % 3 = 0) AS indented, count(*) AS n FROM part GROUP BY 1")
+@query("src_pdf_layout", """WITH l AS (SELECT l_suppkey AS doc, l_orderkey AS page, l_linenumber AS id, CASE WHEN l_linenumber = 1 THEN l_returnflag || ' EXAM' ELSE l_returnflag || l_linenumber END AS text, CASE WHEN l_linenumber % 2 = 1 THEN 10 ELSE 300 END AS x FROM lineitem),
+heads AS (SELECT doc, text FROM l WHERE id = 1 AND length(text) >= 4 GROUP BY ALL HAVING count(DISTINCT page) >= 3), k AS (SELECT * FROM l ANTI JOIN heads USING (doc, text)),
+pages AS (SELECT doc, page, count(*) FILTER (x = 10) >= 3 AND count(*) FILTER (x = 300) >= 3 AS two FROM k GROUP BY ALL)
+SELECT doc, page, id, text, CASE WHEN two AND x = 300 THEN 1 ELSE 0 END AS side, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN two AND x = 300 THEN 1 ELSE 0 END, id, text) - 1 AS place FROM k JOIN pages USING (doc, page)""")
 def src_pdf_layout(spark, d):
-    line = F.concat(F.when(F.col("p_partkey") % 3 == 0, "    ").otherwise(""), "p_name")
-    docs = T.read(spark, d, "part").groupBy(F.col("p_brand").alias("doc")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
-    return R.layout_lines(docs, "doc", "text").groupBy("doc").agg(F.count_if(F.col("indent") > 0).alias("indented"), n_rows().alias("n"))
+    """Lines with places on pages, made of orders: running heads go, columns are found, lines come in reading order."""
+    made = T.read(spark, d, "lineitem").selectExpr(
+        "l_suppkey as doc", "l_orderkey as page", "l_linenumber as id", "concat(l_returnflag, if(l_linenumber = 1, ' EXAM', cast(l_linenumber as string))) as text",
+        "if(l_linenumber % 2 = 1, 10D, 300D) as x0", "l_linenumber * 20D - 15 as y0", "l_linenumber * 20D - 5 as y1", "200D as height", "500D as width",
+    )
+    found = page_structure(made, ["doc"], "page", "text", ["id", "text"], "height", columns=True, width="width")
+    return found.select("doc", "page", "id", "text", F.col("column").alias("side"), F.col("place").cast("long").alias("place"))
 
 
 @query("src_answer_key", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '1=A,12=C' ELSE '1=B,2=E' END AS answers FROM part", maps=())

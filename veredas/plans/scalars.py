@@ -166,7 +166,7 @@ def fn_cut_answer_key(spark, d):
 
 
 @query("fn_reading_order", """WITH RECURSIVE l AS (SELECT l_orderkey AS page, l_linenumber AS id, l_suppkey AS x0, l_partkey AS y0, l_partkey + 5 + l_quantity::BIGINT % 40 AS y1 FROM lineitem),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS i FROM l),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id, y1) AS i FROM l),
 f AS (SELECT page, i, id, x0, y0, 0 AS r, y0 AS top, y1 AS bottom, y1 - y0 AS low FROM numbered WHERE i = 1
 UNION ALL SELECT n.page, n.i, n.id, n.x0, n.y0, f.r + (NOT j)::INT, CASE WHEN j THEN f.top ELSE n.y0 END, CASE WHEN j THEN greatest(f.bottom, n.y1) ELSE n.y1 END, CASE WHEN j THEN least(f.low, n.y1 - n.y0) ELSE n.y1 - n.y0 END
 FROM f JOIN (SELECT * FROM numbered) n ON n.page = f.page AND n.i = f.i + 1 CROSS JOIN LATERAL (SELECT 2 * (least(n.y1, f.bottom) - greatest(n.y0, f.top)) >= least(n.y1 - n.y0, f.low) AS j))
@@ -174,7 +174,7 @@ SELECT page, id, r AS row, row_number() OVER (PARTITION BY page ORDER BY r, x0,
 def fn_reading_order(spark, d):
     """Lines of an order as lines of a page: rows by the overlap of their heights, each from left to right."""
     lines = T.read(spark, d, "lineitem").selectExpr("l_orderkey as page", "l_linenumber as id", "l_suppkey as x0", "l_partkey as y0", "l_partkey + 5 + cast(l_quantity as bigint) % 40 as y1")
-    return reading_order(lines, ["page"], ["id"]).select("page", "id", F.col("row").cast("int").alias("row"), F.col("place").cast("long").alias("place"))
+    return reading_order(lines, ["page"], ["id", "y1"]).select("page", "id", F.col("row").cast("int").alias("row"), F.col("place").cast("long").alias("place"))
 
 
 @query("fn_intent", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'STUDY' WHEN 1 THEN 'PRACTICE' WHEN 2 THEN 'REVIEW' ELSE 'SEARCH' END AS intent, CASE p_size % 3 WHEN 0 THEN 'Química' WHEN 1 THEN 'Matemática' ELSE 'Geral' END AS discipline,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -52,20 +53,57 @@ def parser_for(path: Column) -> Column:
     return known.otherwise(F.raise_error(F.concat(F.lit("no parser for "), path)))
 
 
-def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                body = ElementTree.fromstring(z.read("word/document.xml"))
-            for i, p in enumerate(body.iter(f"{WORD_NAMESPACE}p")):
-                out.append((path, i, "".join(t.text or "" for t in p.iter(f"{WORD_NAMESPACE}t"))))
-        yield pd.DataFrame(out, columns=["path", "number", "text"])
+def _docx(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    return ["".join(t.text or "" for t in p.iter(f"{WORD_NAMESPACE}t")) for p in body.iter(f"{WORD_NAMESPACE}p")]
+
+
+def _pdf(content: bytes) -> list[str]:
+    from pypdf import PdfReader  # not part of this library: only where PDFs are read
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
+
+
+def _text(content: bytes) -> list[str]:
+    paragraphs = re.split(r"\n\s*\n", content.decode("utf-8-sig").replace("\r\n", "\n"))
+    return [p.strip() for p in paragraphs if p.strip()]
+
+
+Parser = Callable[[bytes], list[str]]
+#: Parsers by extension: paragraphs of documents and texts, pages of PDFs.
+PARSERS: dict[str, Parser] = {"docx": _docx, "pdf": _pdf, "txt": _text, "text": _text, "md": _text}
+
+
+def _parts(found: DataFrame, chosen: Callable[[str], Parser]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                texts = chosen(path)(bytes(content)) if content else []
+                if texts:
+                    yield pd.DataFrame({"path": [path] * len(texts), "number": range(len(texts)), "text": texts})
+
+    return found.select("path", "content").mapInPandas(run, "path string, number int, text string")
+
+
+def parsed(found: DataFrame, parsers: Mapping[str, Parser] = PARSERS) -> DataFrame:
+    """path, number, text: the parts that its parser finds in each file (path, content), in one pass over the files.
+
+    ``parsers`` may have others, by extension in lower case. A file of any other extension is an error; one without content has no rows.
+    """
+
+    def chosen(path: str) -> Parser:
+        ext = path.rsplit(".", 1)[-1].lower()
+        if ext not in parsers:
+            raise ValueError(f"no parser for {path}")
+        return parsers[ext]
+
+    return _parts(found, chosen)
 
 
 def docx_paragraphs(found: DataFrame) -> DataFrame:
     """path, number, text of the paragraphs of DOCX files (path, content)."""
-    return found.select("path", "content").mapInPandas(_paragraphs, "path string, number int, text string")
+    return _parts(found, lambda _: _docx)
 
 
 def docx_file(paragraphs: list[str]) -> bytes:
@@ -97,17 +135,9 @@ def sheet_rows(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInPandas(_cells, "path string, number int, cells array<string>")
 
 
-def _pdf_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pypdf import PdfReader  # not part of this library: only where PDFs are read
-
-    for batch in batches:
-        out = [(path, i, page.extract_text() or "") for path, content in zip(batch["path"], batch["content"], strict=True) for i, page in enumerate(PdfReader(io.BytesIO(content)).pages)]
-        yield pd.DataFrame(out, columns=["path", "page", "text"])
-
-
 def pdf_pages(found: DataFrame) -> DataFrame:
     """path, page, text of PDF files' text layers; needs the pypdf package on the executors."""
-    return found.select("path", "content").mapInPandas(_pdf_pages, "path string, page int, text string")
+    return _parts(found, lambda _: _pdf).withColumnRenamed("number", "page")
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
