@@ -173,6 +173,18 @@ def test_base_scores(docs, odd, chunk_bytes):
         assert all(r["score"] <= 0 for r in found)
 
 
+@pytest.mark.parametrize("n, parts", [(1, 8), (4, 211), (31, 54), (54, 54), (100, 8), (211, 211)])
+def test_chunks_are_dealt_evenly(docs, n, parts):
+    names = suffix_tree._names(docs, n, parts)
+    rows = docs.sparkSession.range(n).select(F.element_at(names, F.col("id").cast("int") + 1).alias("chunk"))
+    tasks = rows.select("chunk", F.pmod(F.hash("chunk"), F.lit(parts)).alias("task")).collect()
+    assert len({r["chunk"] for r in tasks}) == n
+    assert max(Counter(r["task"] for r in tasks).values()) <= -(-n // parts) + 1
+    if 2 * n <= parts or parts == 8:
+        assert max(Counter(r["task"] for r in tasks).values()) == -(-n // parts)
+    assert suffix_tree._names(docs, suffix_tree.NAMED * parts + 1, parts) is None
+
+
 def test_tree_gives_distributions(docs):
     model = suffix_tree.Model(*suffix_tree.tree(docs, states=500))
     for context in (b"\n\n\n\n\n", b" the ", b"zzqq\xff"):

@@ -43,6 +43,7 @@ PART = 500_000  # distinct strings priced together
 TELLING = 0.5
 ESCAPE = 3.0
 CHUNK_BYTES = 16_000_000
+NAMED = 16  # chunks to a task, up to which their numbers are chosen
 BATCH = 4_000_000  # symbols coded at a time
 END = b"\n"
 
@@ -233,6 +234,19 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 7) == 2
 
 
+def _names(docs: DataFrame, n: int, parts: int) -> Column | None:
+    """An array of n numbers for the chunks, which Spark's hash deals over ``parts`` tasks as evenly as 8 n tries allow.
+
+    Nothing depends on it but the lengths of tasks. None where there are many chunks to a task: the hash is even enough then.
+    """
+    if n > NAMED * parts:
+        return None
+    tries = docs.sparkSession.range(8 * n).select(F.col("id").cast("int").alias("id"))
+    same = Window.partitionBy(F.pmod(F.hash("id"), F.lit(parts))).orderBy("id")
+    found = tries.select("id", F.row_number().over(same).alias("k")).orderBy("k", "id").limit(n).collect()
+    return F.expr(f"array({','.join(str(r['id']) for r in found)})")
+
+
 def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
     """(chunk, rows) of a partition sorted by chunk, one batch's part of a chunk at a time."""
     for batch in batches:
@@ -375,8 +389,9 @@ def language_model_scores(docs: DataFrame, states: int | None = STATES, telling:
     rows = pick(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small chunks aren't put together again
+    chunk, names = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"), _names(docs, n, parts)
+    chunk = chunk if names is None else F.element_at(names, chunk + 1)
     dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").repartition(parts, "chunk").sortWithinPartitions("chunk")
     asked = dealt.mapInPandas(_asked, "chunk int, word binary, n long")
     same = Window.partitionBy("word")
