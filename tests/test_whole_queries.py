@@ -1,4 +1,4 @@
-"""Queries over all rows, where the query of the same name without _all takes a subset of them; on tables with more ids than the subset."""
+"""Queries over all rows, on tables of more ids than the smallest ones."""
 
 import duckdb
 import pytest
@@ -20,7 +20,7 @@ def con(more):
     return con
 
 
-@pytest.mark.parametrize("name", ["join_lexical_all", "fn_lexical_score_all", "agg_material_availability_all"])
+@pytest.mark.parametrize("name", ["join_lexical_all", "fn_lexical_score_all", "agg_material_availability", "agg_material_availability_all", "lim_fresh_then_fill_all", "lim_cascade_fill_all"])
 def test_no_id_is_left_out(name, spark, more, con):
     same_rows(catalog.QUERIES[name](spark, more), con, catalog.ORACLE[name])
 
@@ -38,8 +38,33 @@ def test_every_document_has_a_row(spark, con, more, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     odd = duckdb.connect()
     odd.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("src_text_recovery_all", "fn_quote_offset_all"):
+    for name in ("src_text_recovery", "src_text_recovery_all", "fn_quote_offset", "fn_quote_offset_all"):
         for d, c in ((str(tmp_path), odd), (more, con)):
             found = catalog.QUERIES[name](spark, d)
             assert found.count() == c.execute("SELECT count(*) FROM documents").fetchone()[0]
             same_rows(found, c, catalog.ORACLE[name])
+
+
+def test_fill_takes_seen_ones_last(spark):
+    from pyspark.sql import functions as F
+
+    from veredas.operators.keys import cascade_fill
+
+    items = spark.createDataFrame([(i, "ab"[i % 2] if i < 20 else None, i % 3 == 0) for i in range(21)], "q int, c string, easy boolean")
+    seen = spark.createDataFrame([(1, q) for q in (0, 0, 2, 6, 99, None)] + [(2, 3)], "s int, q int")
+    for n in (1, 3, 8, 50):
+        for easy in (None, F.col("easy")):
+            want = set()
+            for s, keys in ((1, "a"), (2, "b")):
+                had = {r["q"] for r in seen.collect() if r["s"] == s}
+                for c in keys:
+                    rows = []
+                    for i in range(20):
+                        if "ab"[i % 2] == c:
+                            ok = easy is None or i % 3 == 0
+                            rows.append(((1 if ok else 2) if i not in had else (3 if ok else 4), i))
+                    if any(r[0] == 3 for r in rows):
+                        rows = [r for r in rows if r[0] < 4]
+                    want |= {(s, c, i, stage) for stage, i in sorted(rows)[:n]}
+            got = cascade_fill(items, seen, "s", "c", "q", [F.asc("q")], n, easy).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -23,6 +23,31 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], at: str, *ties: str) -> D
     return first_per_key(df, keys, [F.col(at).desc_nulls_first(), *[F.col(t).desc() for t in ties]])
 
 
+def cascade_fill(items: DataFrame, seen: DataFrame, student: str, key: str, item: str, order: Sequence[Column], n: int, wanted: Column | None = None) -> DataFrame:
+    """(student, key, item, stage): the ``n`` items for each student and each key of which they have seen items, in order of stage.
+
+    Stage 1 is new and wanted, 2 new, 3 wanted and seen, 4 the rest, only where nothing is in 3. Without ``wanted`` all
+    are, so that new ones are filled up with seen ones. ``order`` should be total within a key. Null keys and items,
+    and seen items that aren't in ``items``, count for nothing.
+
+    Each list (key, wanted or not) is ranked once. A student needs only the first n of it and one more for each item seen,
+    so places are met, not students and whole lists.
+    """
+    ok = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    place = F.row_number().over(Window.partitionBy(key, "_wanted").orderBy(*order)).cast("long")
+    ranked = items.filter(F.col(key).isNotNull() & F.col(item).isNotNull()).withColumn("_wanted", ok).select(key, item, "_wanted", place.alias("_place"))
+    had = seen.select(student, item).distinct().join(ranked.select(key, item, "_wanted"), item)
+    each = had.groupBy(student, key).agg(n_rows().alias("_seen"), F.max("_wanted").alias("_again"))
+    sizes = ranked.groupBy(key, "_wanted").agg(F.max("_place").alias("_size"))
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_seen") + n, F.col("_size")))).alias("_place")
+    met = each.join(sizes, key).select(student, key, "_wanted", "_again", first).join(ranked, [key, "_wanted", "_place"])
+    known = had.select(student, item, F.lit(True).alias("_known"))
+    new = F.col("_known").isNull()
+    stage = F.when(new & F.col("_wanted"), 1).when(new, 2).when(F.col("_wanted"), 3).otherwise(4)
+    rows = met.join(known, [student, item], "left").withColumn("stage", stage).filter(~F.col("_again") | (F.col("stage") < 4))
+    return first_per_key(rows, [student, key], [F.asc("stage"), F.asc("_place")], n).select(student, key, item, "stage")
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
     """A page of a sorted table: filter and deduplicate before, so that pages are full."""
     number, size = max(1, number), max(1, min(most, size))

@@ -305,12 +305,15 @@ def agg_video_history(spark, d):
     return rows.groupBy("student_id", "video").agg(F.max("progress").alias("progress"), F.max_by("feedback", when).alias("feedback"))
 
 
-@query("agg_material_availability", "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items WHERE student_id < 5) GROUP BY 1")
+MATERIALS_SQL = "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items) GROUP BY 1"
+
+
+@query("agg_material_availability", MATERIALS_SQL)
 def agg_material_availability(spark, d):
-    return _materials(spark, d, T.items(spark, d).filter("student_id < 5"))
+    return _materials(spark, d, T.items(spark, d))
 
 
-@query("agg_material_availability_all", "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items) GROUP BY 1")
+@query("agg_material_availability_all", MATERIALS_SQL)
 def agg_material_availability_all(spark, d):
     return _materials(spark, d, T.items(spark, d))
 

@@ -131,16 +131,19 @@ def src_dispatch(spark, d):
     return T.read(spark, d, "pages").select("page_id", R.parser_for(path).alias("parser"))
 
 
-@query("src_text_recovery", r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE md5(substr(text, 2)) END AS h FROM documents WHERE length(text) >= 2 AND regexp_matches(text, '^[a-zA-ZÀ-ÿ]{2}')")
+RECOVERY_SQL = r"""WITH s AS (SELECT doc_id, text, substr(text, 2) AS rest, repeat('0', 40000) || text AS bad FROM documents),
+l AS (SELECT *, length(regexp_replace(rest, '[^\p{L}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(rest, '[ \t\n\x0B\f\r]', '', 'g')), 0) AS other, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::DOUBLE / (40000 + length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g'))) AS native FROM s)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5(text) WHEN coalesce(round(other, 4), 0) > coalesce(round(native, 4), 0) THEN md5(rest) ELSE md5(bad) END AS h FROM l"""
+
+
+@query("src_text_recovery", RECOVERY_SQL)
 def src_text_recovery(spark, d):
-    return _recovered(T.read(spark, d, "documents").filter(F.col("text").rlike("^[a-zA-ZÀ-ÿ]{2}")))
+    """A null text has a null hash; of two texts without letters the first stays."""
+    return _recovered(T.read(spark, d, "documents"))
 
 
-@query("src_text_recovery_all", r"""WITH s AS (SELECT doc_id, text, substr(text, 2) AS rest, repeat('0', 40000) || text AS bad FROM documents),
-l AS (SELECT *, length(regexp_replace(rest, '[^\p{L}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(rest, '[ \t\n\x0B\f\r]', '', 'g')), 0) AS other, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::DOUBLE / (40000 + length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g'))) AS native FROM s)
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5(text) WHEN coalesce(round(other, 4), 0) > coalesce(round(native, 4), 0) THEN md5(rest) ELSE md5(bad) END AS h FROM l""")
+@query("src_text_recovery_all", RECOVERY_SQL)
 def src_text_recovery_all(spark, d):
-    """A null text has a null hash; of two texts without letters the first stays."""
     return _recovered(T.read(spark, d, "documents"))
 
 

@@ -579,14 +579,17 @@ def fn_array_first3(spark, d):
     return T.mastery(spark, d).groupBy("student_id").agg(F.slice(worst, 1, 3).alias("first"))
 
 
-@query("fn_quote_offset", "SELECT doc_id, position(substr(text, 11, 30) IN text) - 1 AS at_quote FROM documents WHERE length(text) >= 60")
+QUOTE_SQL = "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) < 11 THEN -1 ELSE position(substr(text, 11, 30) IN text) - 1 END AS at_quote FROM documents"
+
+
+@query("fn_quote_offset", QUOTE_SQL)
 def fn_quote_offset(spark, d):
-    return _quoted(_docs(spark, d).filter(F.length("text") >= 60))
+    """A text of up to 10 characters has an empty quote, which is nowhere; a null text has a null offset."""
+    return _quoted(_docs(spark, d))
 
 
-@query("fn_quote_offset_all", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) < 11 THEN -1 ELSE position(substr(text, 11, 30) IN text) - 1 END AS at_quote FROM documents")
+@query("fn_quote_offset_all", QUOTE_SQL)
 def fn_quote_offset_all(spark, d):
-    """A text of up to 10 characters has an empty quote, which is nowhere; a null text has a null offset."""
     return _quoted(_docs(spark, d))
 
 

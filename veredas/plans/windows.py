@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veredas.functions import scoring as S
 from veredas.operators import windows as W
 from veredas.operators.joins import band
-from veredas.operators.keys import first_per_key, latest_per_key, n_rows, page
+from veredas.operators.keys import cascade_fill, first_per_key, latest_per_key, n_rows, page
 from veredas.plans import tables as T
 from veredas.plans.registry import query
 
@@ -203,6 +203,24 @@ def lim_fresh_then_fill(spark, d):
     return first_per_key(rows, ["content"], [F.asc("seen"), F.desc("price"), F.asc("question_id")], 60).select("content", "question_id", "seen")
 
 
+@query("lim_fresh_then_fill_all", """WITH s AS (SELECT DISTINCT student_id, question_id FROM items), p AS (SELECT DISTINCT student_id, content FROM items)
+SELECT p.student_id, content, bank.question_id, s.question_id IS NOT NULL AS seen FROM p JOIN bank USING (content) LEFT JOIN s ON s.student_id = p.student_id AND s.question_id = bank.question_id
+QUALIFY row_number() OVER (PARTITION BY p.student_id, content ORDER BY s.question_id IS NOT NULL, price DESC, bank.question_id) <= 10""")
+def lim_fresh_then_fill_all(spark, d):
+    """Ten questions for every student in each content that they have answered in."""
+    found = cascade_fill(T.bank(spark, d), T.items(spark, d), "student_id", "content", "question_id", [F.desc("price"), F.asc("question_id")], 10)
+    return found.select("student_id", "content", "question_id", (F.col("stage") > 2).alias("seen"))
+
+
+@query("lim_cascade_fill_all", """WITH s AS (SELECT DISTINCT student_id, question_id FROM items), p AS (SELECT DISTINCT student_id, content FROM items),
+c AS (SELECT p.student_id, content, bank.question_id, CASE WHEN s.question_id IS NULL AND number <= 16 THEN 1 WHEN s.question_id IS NULL THEN 2 WHEN number <= 16 THEN 3 ELSE 4 END AS stage FROM p JOIN bank USING (content) LEFT JOIN s ON s.student_id = p.student_id AND s.question_id = bank.question_id),
+g AS (SELECT *, count(*) FILTER (stage = 3) OVER (PARTITION BY student_id, content) AS thirds FROM c)
+SELECT student_id, content, question_id, stage FROM g WHERE stage < 4 OR thirds = 0 QUALIFY row_number() OVER (PARTITION BY student_id, content ORDER BY stage, question_id) <= 70""")
+def lim_cascade_fill_all(spark, d):
+    """Up to 70 questions for every student in each content that they have answered in, easy ones wanted."""
+    return cascade_fill(T.bank(spark, d), T.items(spark, d), "student_id", "content", "question_id", [F.asc("question_id")], 70, F.col("number") <= 16)
+
+
 @query("lim_cascade_fill", """WITH s AS (SELECT DISTINCT question_id FROM items WHERE student_id = 4), c AS (SELECT content, bank.question_id, CASE WHEN s.question_id IS NULL AND number <= 16 THEN 1 WHEN s.question_id IS NULL THEN 2 WHEN number <= 16 THEN 3 ELSE 4 END AS stage FROM bank LEFT JOIN s ON s.question_id = bank.question_id),
 g AS (SELECT *, count(*) FILTER (stage = 3) OVER (PARTITION BY content) AS thirds FROM c)
 SELECT content, question_id, stage FROM g WHERE stage < 4 OR thirds = 0 QUALIFY row_number() OVER (PARTITION BY content ORDER BY stage, question_id) <= 70""")
