@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, with production parameters; SQL where it can say the same."""
+"""The queries op1 to op13: each operator over its whole table, with production parameters; SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veredas.llm import decontamination, language_id, mixing, piecewise_hash, sharding, simhash, suffix_tree, token_counts, toxicity, warc
+from veredas.llm import centroids, decontamination, importance, language_id, mixing, piecewise_hash, sharding, simhash, suffix_tree, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op2_decontamination": op2,
@@ -69,10 +78,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8,
     "op9_simhash": op9,
     "op10_mixing": op10,
+    "op12_centroids": op12,
+    "op13_importance": op13,
 }
 
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+
+
+def _centroids_sql(rounds: int = 10, k: int = 8) -> str:
+    """One table of centroids a round (k, c) and one of assignments, over the kept vectors (rid, vec_id, q)."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS k, q AS c FROM v QUALIFY k < {k})"""]
+    near = """a{r} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(q) AS q, min({{'d': d, 'k': k}}) AS m FROM (
+      SELECT rid, vec_id, q, k, list_sum(list_transform(generate_series(1, 64), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) AS d FROM v, c{r}) GROUP BY rid)"""
+    for r in range(rounds):
+        steps += [near.format(r=r), f"""
+s{r} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY k, i),
+m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c)::BIGINT[] AS c FROM c{r} o LEFT JOIN m{r} m USING (k))"""]
+    steps.append(near.format(r=rounds))
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, a.m.k::INTEGER AS cluster, a.m.d::BIGINT AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.k))::BIGINT AS cluster_inertia,
+       (sum(a.m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k
+"""
+
+
+#: CRC-32 of a text's bytes: its table by the rule of the polynomial, and a step a byte.
+_CRC_TABLE = "SELECT list(list_reduce([i] || generate_series(0, 7), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM generate_series(0, 255) g(i)"
+_CRC = "xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(generate_series(0, len(x) // 2 - 1), lambda k: ('0x' || x[2 * k + 1:2 * k + 2])::BIGINT), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])))"
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -110,5 +148,24 @@ r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, floor(b.target
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) - d.size AS before
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
+""",
+    "op12_centroids": _centroids_sql(),
+    "op13_importance": f"""
+WITH w AS (SELECT 1 AS side, row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+           UNION ALL SELECT 2, row_number() OVER (), NULL, {_WORDS} FROM benchmark),
+g AS (SELECT side, rid, unnest(w) AS g FROM w UNION ALL
+      SELECT side, rid, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+t AS ({_CRC_TABLE}),
+b AS (SELECT g, {_CRC} % 10000 AS b FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM g)), t),
+f AS (SELECT side, rid, b FROM g JOIN b USING (g)),
+n AS (SELECT i AS b, count(*) FILTER (side = 1) AS s, count(*) FILTER (side = 2) AS t FROM generate_series(0, 9999) x(i) LEFT JOIN f ON f.b = i GROUP BY i),
+gain AS (SELECT b, floor(1000.0::DOUBLE * ln((t + 1.0::DOUBLE) * ((sum(s) OVER ())::DOUBLE + 10000) / ((s + 1.0::DOUBLE) * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain FROM n),
+d AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN gain USING (b) WHERE side = 1 GROUP BY rid),
+h AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(d.n, 0) AS n_features, CASE WHEN d.n > 0 THEN (total - ((total % d.n) + d.n) % d.n) // d.n ELSE 0 END AS weight,
+             ('0x' || sha256('7:' || coalesce(w.doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM w LEFT JOIN d USING (rid) WHERE side = 1),
+s AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, n_words, row_number() OVER (ORDER BY score DESC, doc_id) AS r, n_features, weight, score FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM r) * 25 // 100 THEN r END AS rank FROM r
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM s WHERE n_words < 20
 """,
 }
