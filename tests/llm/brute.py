@@ -1,7 +1,11 @@
 """The operators' results by the plainest Python, for small tables."""
 
+import hashlib
+import math
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import xxhash
 
@@ -82,3 +86,72 @@ def mix_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
         target |= {s: most * sizes[s] for s in over}
         open_ -= over
     return target
+
+
+def shingle_set(text, width=4):
+    w = words(text)
+    if not w:
+        return frozenset()
+    return frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
+
+
+def jaccard_components(rows, percent=85):
+    """(doc_id, set size, smallest doc_id of the component) of each row (doc_id, text), by all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    own = {}
+    for i, (doc_id, _) in enumerate(rows):
+        own.setdefault(find(i), []).append(doc_id)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in own.items()}
+    return [(doc_id, len(s), least[find(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def kmeans(rows, k=8, rounds=10, dimensions=64):
+    """{vec_id: (cluster, distance)}, centroids: in Python's integers and fractions."""
+    kept = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [list(v) for _, v in order[:k]]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        own = [near(v)[1] for _, v in kept]
+        for j in range(len(centroids)):
+            mine = [v for (_, v), o in zip(kept, own, strict=True) if o == j]
+            if mine:
+                centroids[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    return [(i, *near(v)[::-1]) for i, v in kept], centroids
+
+
+def resampled(docs, target, buckets=10_000):
+    """(doc_id, n_features, weight, score, rank) of each row (doc_id, text)."""
+
+    def features(text):
+        w = test_words(text)
+        return [zlib.crc32(x.encode()) % buckets for x in [*w, *map(" ".join, zip(w, w[1:], strict=False))]], len(w)
+
+    own = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(b for _, f, _ in own for b in f), Counter(b for x in target for b in features(x)[0])
+    S, T = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (S + buckets) / ((s[b] + 1) * (T + buckets))))
+    told = []
+    for i, f, n in own:
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        told.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    open_ = sorted((r for r in told if r[5] >= 20), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    for rank, r in enumerate(open_[: len(open_) * 25 // 100], 1):
+        r[4] = rank
+    return [tuple(r[:5]) for r in told]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veredas.llm import centroids, decontamination, importance, language_id, mixing, piecewise_hash, sharding, simhash, suffix_tree, token_counts, toxicity, warc
+from veredas.llm import centroids, decontamination, importance, jaccard, language_id, mixing, piecewise_hash, sharding, simhash, suffix_tree, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.grouped(_docs(spark, sf_dir))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(_table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8,
     "op9_simhash": op9,
     "op10_mixing": op10,
+    "op11_jaccard_join": op11,
     "op12_centroids": op12,
     "op13_importance": op13,
 }
@@ -148,6 +153,18 @@ r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, floor(b.target
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) - d.size AS before
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
+""",
+    "op11_jaccard_join": r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w),
+d AS MATERIALIZED (SELECT row_number() OVER () AS sid, s, min(doc_id) AS first FROM s WHERE len(s) > 0 GROUP BY s),
+t AS MATERIALIZED (SELECT sid, len(s) AS n, unnest(s) AS t FROM d),
+e AS MATERIALIZED (SELECT a.sid AS a, b.sid AS b FROM t a JOIN t b ON a.t = b.t AND a.sid <> b.sid AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+                   GROUP BY a.sid, b.sid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c AS (WITH RECURSIVE r AS (SELECT sid, sid AS at FROM d UNION SELECT r.sid, e.b FROM r JOIN e ON e.a = r.at) SELECT r.sid, min(d.first) AS component_id FROM r JOIN d ON d.sid = r.at GROUP BY r.sid)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id
+FROM s LEFT JOIN d USING (s) LEFT JOIN c USING (sid)
 """,
     "op12_centroids": _centroids_sql(),
     "op13_importance": f"""
