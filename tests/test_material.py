@@ -154,3 +154,9 @@ def test_parsed(spark):
         readers.parsed(df).collect()
     own = {**readers.PARSERS, "csv": lambda content: content.decode().split(",")}
     assert [r["text"] for r in readers.parsed(df.filter("path = 'd.csv'"), own).orderBy("number").collect()] == ["1", "2"]
+
+
+@pytest.mark.parametrize("words,want", [({"x": ["Abc"], "y": ["b"]}, ["x", "y", "none", "none"]), ({"x": [], "y": []}, ["none"] * 4), ({}, ["none"] * 4)])
+def test_keyword_classifier(spark, words, want):
+    df = spark.createDataFrame([(0, "an aBC here"), (1, "b"), (2, "q"), (3, None)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(providers.keyword_classifier(F.col("t"), words, "none")).collect()] == want

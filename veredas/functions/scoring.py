@@ -163,3 +163,18 @@ def global_stop(evidence: Column, covered: Column, critical: Column, confidence:
     told = lambda stop, reason: F.struct(F.lit(stop).alias("stop"), F.lit(reason).alias("reason"))
     enough = (evidence >= least) & covered & ~critical & (confidence >= target)
     return F.when(evidence >= most, told(True, "MAXIMUM_EVIDENCE_REACHED")).when(enough, told(True, "GLOBAL_SUFFICIENCY_REACHED")).otherwise(told(False, "CONTINUE"))
+
+
+MOST_QUESTIONS = 50  # fixed value: of one list
+
+
+def quota_verdict(quantity: Column, distribution: Column, most: int = MOST_QUESTIONS) -> Column:
+    """VALID, or why a distribution (an array of struct(level, n)) doesn't fit the quantity that is asked for; the first reason counts.
+
+    A level that isn't named counts as none, one that is named twice as both.
+    """
+    total = F.aggregate(distribution, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return (
+        F.when(quantity > most, "TOO_MANY").when(F.exists(distribution, lambda x: ~x["level"].isin(*LEVELS)), "UNKNOWN_LEVEL")
+        .when((quantity <= 0) | F.exists(distribution, lambda x: x["n"] < 0), "NEGATIVE").when(total != quantity, "SUM_DIFFERS").otherwise("VALID")
+    )

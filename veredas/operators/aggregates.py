@@ -7,19 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veredas.operators.selection import medians
+
 
 def score_metrics(df: DataFrame, score: str, band: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, median, population deviation, and the share of each band (in percent), for each cut or overall."""
     n = df.groupBy(*by, band).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(band, "_n")))).alias("_bands"))
     stats = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 2).alias("mean"),
-        F.coalesce(F.median(score), F.lit(0.0)).alias("median"), F.round(F.coalesce(F.stddev_pop(score), F.lit(0.0)), 2).alias("deviation"),
+        F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 2).alias("mean"), F.round(F.coalesce(F.stddev_pop(score), F.lit(0.0)), 2).alias("deviation"),
     )
-    share = lambda out: out.withColumn("bands", F.transform_values("_bands", lambda _, v: F.round(v * 100.0 / F.col("n"), 1)))
-    if not by:
-        return share(stats.join(n)).drop("_bands")
-    met = stats.join(n.select(*[F.col(k).alias(f"_{k}") for k in by], "_bands"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
-    return share(met).drop("_bands", *[f"_{k}" for k in by])
+    met = stats
+    for part in (n.select(*by, "_bands"), medians(df, score, by).withColumnRenamed("median", "_median")):
+        other = part.withColumnsRenamed({k: f"_{k}" for k in by})
+        met = met.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] or F.lit(True), "left").drop(*[f"_{k}" for k in by])  # without a cut one row each
+    bands = F.transform_values("_bands", lambda _, v: F.round(v * 100.0 / F.col("n"), 1))
+    return met.select(*by, "n", "mean", F.coalesce("_median", F.lit(0.0)).alias("median"), "deviation", bands.alias("bands"))
 
 
 def counters(**conditions: Column) -> list[Column]:
@@ -94,3 +96,22 @@ def hierarchy(rooms: DataFrame, levels: Sequence[str], name: str, mean: str, mem
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels]
     met = found.join(leaves.select(*[F.col(c).alias(f"_{c}") for c in levels], "classrooms"), [*same, F.col("_lowest")], "left")
     return met.drop("_lowest", *[f"_{c}" for c in levels])
+
+
+def retrieval_metrics(gold: DataFrame, found: DataFrame, case: str, node: str, place: str, k: int) -> DataFrame:
+    """covered, recall, precision, top_1, top_<k> over all cases, in one row.
+
+    ``gold`` and ``found`` have a row for each (case, node) with its place from 1. Covered cases have gold; of those, recall is the share with
+    any of it found, top_1 that of which the first found is the first gold, top_k that with gold among the first k. Precision is the share of what was
+    found that is gold, over all cases, and 1 where nothing was found.
+    """
+    one, two = gold.select(case, node, F.col(place).alias("_g")), found.select(case, node, F.col(place).alias("_f"))
+    both = one.join(two, [case, node], "full")
+    hit = F.col("_g").isNotNull() & F.col("_f").isNotNull()
+    cases = both.groupBy(case).agg(
+        F.count("_g").alias("_gold"), F.count("_f").alias("_found"), F.count_if(hit).alias("_hits"), F.max(hit & (F.col("_f") <= k)).alias("_near"), F.max(hit & (F.col("_g") == 1) & (F.col("_f") == 1)).alias("_first")
+    )
+    covered = F.count_if(F.col("_gold") > 0)
+    share = lambda c: F.round(F.try_divide(F.count_if((F.col("_gold") > 0) & c), covered), 4)
+    precision = F.round(F.coalesce(F.try_divide(F.sum("_hits"), F.sum("_found")), F.lit(1.0)), 4)
+    return cases.agg(covered.alias("covered"), share(F.col("_hits") > 0).alias("recall"), precision.alias("precision"), share(F.col("_first")).alias("top_1"), share(F.col("_near")).alias(f"top_{k}"))

@@ -52,8 +52,6 @@ def routed(df: DataFrame, prompt: str, task: str, out: str, providers: Mapping[s
 
 def keyword_classifier(text: Column, words: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
     """The first label with a word in the text, without regard to case: what stands for a trained classifier in tests."""
-    out = F
-    for label, found in words.items():
-        for w in found:
-            out = out.when(F.contains(F.lower(text), F.lit(w.lower())), label)
-    return out.otherwise(F.lit(default)) if words else F.lit(default)
+    lower = F.lower(text)
+    hits = [F.when(F.contains(lower, F.lit(w.lower())), label) for label, found in words.items() for w in found]
+    return F.coalesce(*hits, F.lit(default))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from veredas.functions import scoring as S
+from veredas.operators.selection import places
 
 
 def supersede(df: DataFrame, keys: Sequence[str], order: Sequence[Column], status: str) -> DataFrame:
@@ -21,19 +22,12 @@ def supersede(df: DataFrame, keys: Sequence[str], order: Sequence[Column], statu
 def competition_rank(df: DataFrame, score: str, out: str, by: Sequence[str] = (), bands: int = 256) -> DataFrame:
     """Ties share a rank and the next one skips; rows without a score come last, together. No task sorts all rows.
 
-    Scores are counted first; a rank is one more than the count of all higher scores, and the distinct scores are
-    summed in ranges: within each range by a window, ranges by their totals.
+    Scores are counted first; a rank is one more than the count of all higher scores, summed in ranges of near equal size.
     """
     if by:
         return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    width = counts.agg(F.min(score).alias("_low"), ((F.max(score) - F.min(score)) / bands + 1).alias("_width"))
-    counts = counts.crossJoin(F.broadcast(width)).withColumn("_range", F.coalesce(F.floor((F.col(score) - F.col("_low")) / F.col("_width")), F.lit(-1)))
-    totals = counts.groupBy("_range").agg(F.sum("_n").alias("_total"))  # at most ``bands`` rows
-    above = totals.withColumn("_above", F.coalesce(F.sum("_total").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(above.select("_range", "_above")), "_range")
-    ranks = ranks.select(F.col(score).alias("_score"), (F.col("_above") + F.col("_inside") + 1).cast("long").alias(out))
+    ranks = places(counts, score, "_n", bands).select(F.col(score).alias("_score"), (F.col("above") + 1).alias(out))
     return df.join(ranks, F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veredas.functions import scoring as S
+from veredas.functions import text as X
 from veredas.operators import aggregates as A
 from veredas.operators.joins import band
 from veredas.operators.keys import first_per_key, n_rows, with_total
@@ -149,11 +150,21 @@ def agg_compare_classrooms(spark, d):
 
 
 def _bucket():
-    return [n_rows().alias("seen"), *A.counters(answered=F.col("answered"), correct=F.col("is_correct"), wrong=~F.col("is_correct"), unknown=F.col("response").eqNullSafe("UNKNOWN"), provisional=F.col("provisional") & F.col("answered"), easy=F.col("difficulty") == "EASY", hard=F.col("difficulty") == "HARD")]
+    """A bucket's counters; an unknown verdict of an answered question isn't a correct one, and no confidence is NONE."""
+    classified = F.col("subcontent").isNotNull()
+    confidence = F.upper(F.expr("element_at(array('high', 'MEDIUM', 'Low', ''), cast(position % 4 as int) + 1)"))
+    return [n_rows().alias("seen"), *A.counters(
+        answered=F.col("answered"), correct=F.col("is_correct"), wrong=~F.col("is_correct"), unknown=F.col("response").eqNullSafe("UNKNOWN"), provisional=F.col("provisional") & F.col("answered"),
+        easy=F.col("difficulty") == "EASY", hard=F.col("difficulty") == "HARD", incorrect=F.col("answered") & ~F.coalesce("is_correct", F.lit(False)), unanswered=~F.col("answered"),
+        classified=classified, forced_closure=classified & (F.col("question_id") % 11 == 0), visual=F.col("question_id") % 7 == 0,
+        high=confidence == "HIGH", medium=confidence == "MEDIUM", low=confidence == "LOW", none=~confidence.isin("HIGH", "MEDIUM", "LOW"),
+    )]
 
 
 BUCKET_SQL = """count(*) AS seen, count(*) FILTER (answered) AS answered, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct) AS wrong, count(*) FILTER (response IS NOT DISTINCT FROM 'UNKNOWN') AS unknown,
-count(*) FILTER (provisional AND answered) AS provisional, count(*) FILTER (difficulty = 'EASY') AS easy, count(*) FILTER (difficulty = 'HARD') AS hard"""
+count(*) FILTER (provisional AND answered) AS provisional, count(*) FILTER (difficulty = 'EASY') AS easy, count(*) FILTER (difficulty = 'HARD') AS hard, count(*) FILTER (answered AND is_correct IS DISTINCT FROM true) AS incorrect, count(*) FILTER (NOT answered) AS unanswered,
+count(subcontent) AS classified, count(*) FILTER (subcontent IS NOT NULL AND question_id % 11 = 0) AS forced_closure, count(*) FILTER (question_id % 7 = 0) AS visual,
+count(*) FILTER (position % 4 = 0) AS high, count(*) FILTER (position % 4 = 1) AS medium, count(*) FILTER (position % 4 = 2) AS low, count(*) FILTER (position % 4 = 3) AS none"""
 
 
 @query("agg_bucket_counters", f"SELECT student_id, {BUCKET_SQL} FROM items GROUP BY 1")
@@ -270,13 +281,18 @@ def agg_diag_result(spark, d):
     return T.history(spark, d).groupBy("content").agg(n_rows().alias("asked"), *A.counters(correct=F.col("is_correct"), incorrect=~F.col("is_correct") & F.col("response").isNull(), unknown=F.col("response") == "UNKNOWN"))
 
 
-@query("agg_essay_dashboard", """WITH l AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY at_ DESC, essay_id DESC) = 1)
-SELECT school_id, count(*) AS students, count(essay_id) AS submitted, round(100.0::DOUBLE * count(essay_id) / count(*), 1) AS pct, round(avg(score), 1) AS total, round(avg(CASE WHEN status = 'F' THEN c1 END), 1) AS c1 FROM links LEFT JOIN l ON user_id = student_id GROUP BY 1""")
+CORRECTED_SQL = ", ".join(f"round(avg(CASE WHEN status = 'F' THEN c{i} END), 1) AS c{i}" for i in range(1, 6))
+
+
+@query("agg_essay_dashboard", f"""WITH l AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY at_ DESC, essay_id DESC) = 1)
+SELECT school_id, count(*) AS students, count(essay_id) AS submitted, round(100.0::DOUBLE * count(essay_id) / count(*), 1) AS pct, round(avg(score), 1) AS total, {CORRECTED_SQL} FROM links LEFT JOIN l ON user_id = student_id GROUP BY 1""")
 def agg_essay_dashboard(spark, d):
+    """Of each school's students the newest essays, and of the corrected ones the mean of each competency."""
     newest = first_per_key(T.scores(spark, d), ["student_id"], [F.desc("at"), F.desc("essay_id")]).withColumnRenamed("student_id", "user_id")
     rows = T.links(spark, d).join(newest, "user_id", "left")
     done = F.count("essay_id")
-    return rows.groupBy("school_id").agg(n_rows().alias("students"), done.alias("submitted"), F.round(100.0 * done / n_rows(), 1).alias("pct"), F.round(F.avg("score"), 1).alias("total"), F.round(F.avg(F.when(F.col("status") == "F", F.col("c1"))), 1).alias("c1"))
+    means = [F.round(F.avg(F.when(F.col("status") == "F", F.col(f"c{i}"))), 1).alias(f"c{i}") for i in range(1, 6)]
+    return rows.groupBy("school_id").agg(n_rows().alias("students"), done.alias("submitted"), F.round(100.0 * done / n_rows(), 1).alias("pct"), F.round(F.avg("score"), 1).alias("total"), *means)
 
 
 @query("agg_correction_score", "SELECT result_id, count(*) AS items, count(*) FILTER (answered) AS answered, count(*) FILTER (is_correct) AS correct, count(*) FILTER (answered AND NOT is_correct) AS incorrect, count(*) FILTER (NOT answered) AS unanswered FROM items GROUP BY 1")
@@ -297,12 +313,17 @@ def agg_student_dashboard(spark, d):
     return T.history(spark, d).groupBy("student_id").agg(answered.alias("answered"), correct.alias("correct"), F.round(F.try_divide(100.0 * correct, answered), 1).alias("pct"), F.greatest(F.lit(1), F.count_distinct(F.to_date("at"))).alias("streak_days"))
 
 
-@query("agg_video_history", """WITH v AS (SELECT user_id AS student_id, trunc(value)::BIGINT % 20 AS video, ts, event_id, CASE WHEN event_type = 'purchase' THEN 100.0::DOUBLE ELSE least(100.0::DOUBLE, value) END AS progress, CASE event_type WHEN 'view' THEN 'LIKED' WHEN 'error' THEN 'DISLIKED' END AS feedback FROM events)
-SELECT student_id, video, max(progress) AS progress, arg_max(feedback, (ts, event_id)) FILTER (feedback IS NOT NULL) AS feedback FROM v GROUP BY ALL""")
+@query("agg_video_history", """WITH v AS (SELECT user_id AS student_id, trunc(value)::BIGINT % 20 AS video, ts, event_id, CASE WHEN event_type = 'purchase' THEN 100.0::DOUBLE ELSE least(100.0::DOUBLE, value) END AS progress,
+CASE event_type WHEN 'view' THEN 'LIKED' WHEN 'error' THEN 'DISLIKED' END AS feedback, CASE event_type WHEN 'error' THEN ['TOO_BASIC', 'TOO_LONG', 'UNCLEAR'][event_id % 3 + 1] WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN 'CLEAR' END END AS reason FROM events),
+h AS (SELECT student_id, map_from_entries(list((reason, n))) AS reasons FROM (SELECT student_id, reason, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT student_id, video, max(progress) AS progress, arg_max(feedback, (ts, event_id)) FILTER (feedback IS NOT NULL) AS feedback, any_value(reasons) AS reasons FROM v LEFT JOIN h USING (student_id) GROUP BY 1, 2""", maps=("reasons",))
 def agg_video_history(spark, d):
-    rows = T.read(spark, d, "events").selectExpr("user_id as student_id", "cast(value as bigint) % 20 as video", "ts", "event_id", "if(event_type = 'purchase', 100.0D, least(100.0D, value)) as progress", "case event_type when 'view' then 'LIKED' when 'error' then 'DISLIKED' end as feedback")
+    """For each video its furthest progress and the newest feedback, and how often the student gave each reason."""
+    reason = "case event_type when 'error' then element_at(array('too_basic', 'TOO_LONG', 'Unclear'), cast(event_id % 3 as int) + 1) when 'view' then if(event_id % 5 = 0, 'clear', null) end as reason"
+    rows = T.read(spark, d, "events").selectExpr("user_id as student_id", "cast(value as bigint) % 20 as video", "ts", "event_id", "if(event_type = 'purchase', 100.0D, least(100.0D, value)) as progress", "case event_type when 'view' then 'LIKED' when 'error' then 'DISLIKED' end as feedback", reason)
     when = F.when(F.col("feedback").isNotNull(), F.struct("ts", "event_id"))
-    return rows.groupBy("student_id", "video").agg(F.max("progress").alias("progress"), F.max_by("feedback", when).alias("feedback"))
+    reasons = A.histogram(rows.filter("reason is not null").withColumn("reason", F.upper("reason")), ["student_id"], "reason", "reasons")
+    return rows.groupBy("student_id", "video").agg(F.max("progress").alias("progress"), F.max_by("feedback", when).alias("feedback")).join(reasons, "student_id", "left")
 
 
 MATERIALS_SQL = "SELECT content, count(DISTINCT m) AS materials FROM (SELECT content, question_id AS m FROM bank WHERE exam = 'SMALL' UNION ALL SELECT content, question_id FROM items) GROUP BY 1"
@@ -331,21 +352,35 @@ def agg_extraction_validation(spark, d):
     return stats.select("doc", F.array_except(F.sequence(F.lit(1), "top"), "seen").alias("missing"), "repeated", "low")
 
 
-@query("agg_text_quality", r"""SELECT doc_id, round(length(regexp_replace(text, '[^a-zA-ZÀ-ÿ]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '\s', '', 'g')), 0), 4) AS letters,
-len(regexp_extract_all(text, '\n')) AS lines, len(regexp_extract_all(text, '[A-E]\)')) AS options FROM documents""")
-def agg_text_quality(spark, d):
-    letters = F.length(F.regexp_replace("text", "[^a-zA-ZÀ-ÿ]", ""))
-    solid = F.length(F.regexp_replace("text", r"\s", ""))
-    return T.read(spark, d, "documents").select("doc_id", F.round(F.try_divide(letters, solid), 4).alias("letters"), F.regexp_count("text", F.lit("\n")).cast("long").alias("lines"), F.regexp_count("text", F.lit(r"[A-E]\)")).cast("long").alias("options"))
+QUALITY_SQL = r"""WITH t AS (SELECT doc_id, doc_id % 4 AS kind, text || CASE doc_id % 4 WHEN 1 THEN chr(10) || 'QUESTÃO 12' || chr(10) || 'A  um' || chr(10) || 'B  dois' || chr(10) || 'C   três' || chr(10) || 'D  quatro' || chr(10) || 'E  cinco'
+  WHEN 2 THEN chr(10) || ' Questão 3 /g12/g7' || chr(10) || 'A  x' || chr(10) || 'B  y' || chr(10) || 'C  z' || chr(10) || 'E  w' || chr(10) || 'questão 3' || chr(10) || 'A  x' ELSE '' END AS text FROM documents),
+n AS (SELECT *, len(regexp_extract_all(text, '\p{L}')) AS letters, length(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) AS solid,
+  list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '') AS w FROM t)
+SELECT doc_id, length(text) AS chars, letters, solid, len(regexp_extract_all(text, '/g\d+')) AS glyphs, round(coalesce(letters::DOUBLE / nullif(solid, 0), 1), 4) AS legibility,
+round(coalesce(len(list_filter(w, lambda x: regexp_full_match(x, '[A-Za-zÀ-ÿ]{2,}')))::DOUBLE / nullif(len(w), 0), 1), 4) AS words, CASE kind WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS headers,
+CASE WHEN kind IN (1, 2) THEN 1 ELSE 0 END AS numbers, CASE kind WHEN 1 THEN 12 WHEN 2 THEN 3 END AS first, CASE kind WHEN 1 THEN 12 WHEN 2 THEN 3 END AS last, CASE kind WHEN 1 THEN 1 ELSE 0 END AS runs FROM n"""
 
 
-@query("agg_retrieval_metrics", """WITH r AS (SELECT student_id, content, row_number() OVER (PARTITION BY student_id ORDER BY score DESC, content) AS k FROM mastery), g AS (SELECT student_id, min(content) AS gold FROM mastery WHERE score >= 50 GROUP BY 1)
-SELECT count(*) AS cases, round(avg((k = 1)::INT), 4) AS top_1, round(avg((k <= 5)::INT), 4) AS top_5 FROM g JOIN r ON r.student_id = g.student_id AND r.content = g.gold""")
+@query("agg_text_quality", QUALITY_SQL)
+def agg_text_quality(spark, d):
+    """Each text with an exam put to its end, whole, with a letter missing, or none."""
+    whole, broken = "\nQUESTÃO 12\nA  um\nB  dois\nC   três\nD  quatro\nE  cinco", "\n Questão 3 /g12/g7\nA  x\nB  y\nC  z\nE  w\nquestão 3\nA  x"
+    exam = F.when(F.col("doc_id") % 4 == 1, whole).when(F.col("doc_id") % 4 == 2, broken).otherwise("")
+    return T.read(spark, d, "documents").select("doc_id", X.quality(F.concat("text", exam)).alias("q")).select("doc_id", "q.*")
+
+
+@query("agg_retrieval_metrics", """WITH g AS (SELECT student_id AS case_id, content AS node, row_number() OVER (PARTITION BY student_id ORDER BY content) AS k FROM mastery WHERE score >= 75),
+r AS (SELECT student_id AS case_id, content AS node, row_number() OVER (PARTITION BY student_id ORDER BY answered DESC, content) AS k FROM mastery QUALIFY k <= 5),
+c AS (SELECT coalesce(g.case_id, r.case_id) AS case_id, count(g.node) AS gold, count(r.node) AS found, count(*) FILTER (g.node IS NOT NULL AND r.node IS NOT NULL) AS hits, coalesce(bool_or(g.node IS NOT NULL AND r.k <= 3), false) AS near, coalesce(bool_or(g.k = 1 AND r.k = 1), false) AS first
+  FROM g FULL JOIN r ON g.case_id = r.case_id AND g.node = r.node GROUP BY 1)
+SELECT count(*) FILTER (gold > 0) AS covered, round((count(*) FILTER (gold > 0 AND hits > 0))::DOUBLE / count(*) FILTER (gold > 0), 4) AS recall, round(sum(hits)::DOUBLE / sum(found), 4) AS precision,
+round((count(*) FILTER (gold > 0 AND first))::DOUBLE / count(*) FILTER (gold > 0), 4) AS top_1, round((count(*) FILTER (gold > 0 AND near))::DOUBLE / count(*) FILTER (gold > 0), 4) AS top_3 FROM c""")
 def agg_retrieval_metrics(spark, d):
-    m = T.mastery(spark, d)
-    ranked = first_per_key(m, ["student_id"], [F.desc("score"), F.asc("content")], n=1_000_000, rank="k")
-    gold = m.filter("score >= 50").groupBy("student_id").agg(F.min("content").alias("content"))
-    return gold.join(ranked, ["student_id", "content"]).agg(n_rows().alias("cases"), *[F.round(F.avg((F.col("k") <= k).cast("int")), 4).alias(f"top_{k}") for k in (1, 5)])
+    """Whether a student's five most answered contents are those mastered."""
+    m = T.mastery(spark, d).withColumnRenamed("student_id", "case_id").withColumnRenamed("content", "node")
+    gold = first_per_key(m.filter("score >= 75"), ["case_id"], [F.asc("node")], n=1_000_000, rank="place").select("case_id", "node", "place")
+    found = first_per_key(m, ["case_id"], [F.desc("answered"), F.asc("node")], n=5, rank="place").select("case_id", "node", "place")
+    return A.retrieval_metrics(gold, found, "case_id", "node", "place", 3)
 
 
 @query("agg_count_pending", "SELECT result_id, count(*) FILTER (answered) AS answered, coalesce(list(position ORDER BY position) FILTER (NOT answered), []) AS pending FROM items GROUP BY 1", lists=("pending",))

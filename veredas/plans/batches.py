@@ -9,27 +9,44 @@ from veredas.plans import tables as T
 from veredas.plans.registry import query
 from veredas.sources.shared import shared_path
 from veredas.streaming import batches as B
+from veredas.streaming.machines import run_with_state, terminal_states
+from veredas.streaming.stages import Pipeline
 
 
-def _events(spark, d):
-    """The events table as a stream of files."""
-    table = f"{d}/events.parquet"
-    schema = spark.read.parquet(table).schema
-    folder, _, name = table.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+class _Rule:
+    """A service for which a school whose number ends in 0 or 5 has its first OCR batch failed, and all others are completed."""
 
+    def __init__(self, folder: str):
+        self.folder = folder
 
-@query("stm_stage_machine", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status FROM events WHERE event_type <> 'view'")
-def stm_stage_machine(spark, d):
-    """Each micro-batch applies the stage to its rows and appends; a restart goes on from the checkpoint."""
-    out = shared_path(spark, "stage")
+    def submit(self, requests):
+        requests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "school", "sequence").parquet(self.folder)
+
+    def states(self, runs):
+        spark = runs.sparkSession
+        if runs.isEmpty():
+            return spark.createDataFrame([], "school string, stage string, sequence int, batch string, status string")
+        known = spark.read.schema("id string, stage string, school string, sequence int").parquet(self.folder).select("school", "stage", "sequence").distinct()
+        failed = (F.col("stage") == "OCR") & (F.col("sequence") == 1) & F.col("school").rlike("[05]$")
+        met = runs.select("school", "stage", "sequence").join(known, ["school", "stage", "sequence"])
+        return met.select("school", "stage", "sequence", F.concat_ws("-", "school", "stage", "sequence").alias("batch"), F.when(failed, "failed").otherwise("completed").alias("status"))
 
-    def stage(rows, batch_id):
-        done = rows.filter("event_type <> 'view'").select("event_id", F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
-        done.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")  # a batch run twice leaves its rows once
+    def results(self, items, stage):
+        return items.select("school", "id", F.lit({"OCR": 100_000}.get(stage, 20_000)).cast("long").alias("size"))
 
-    B.run_available(_events(spark, d), stage, f"{out}/checkpoint")
-    return spark.read.schema("event_id bigint, status string").parquet(f"{out}/rows").drop("batch")
+
+@query("stm_stage_machine", """WITH e AS (SELECT school, (row_number() OVER (PARTITION BY school ORDER BY essay_id::VARCHAR) - 1) // 471 AS chunk FROM scores),
+c AS (SELECT school, chunk, count(*) AS n, regexp_matches(school, '[05]$') AS odd FROM e GROUP BY 1, 2)
+SELECT school, 'OCR' AS stage, (chunk + 1 + odd::INT)::INT AS sequence, (2 * n)::INT AS lines, 'completed' AS status FROM c UNION ALL SELECT school, 'OCR', 1, (2 * n)::INT, 'failed' FROM c WHERE odd AND chunk = 0
+UNION ALL SELECT school, 'CORRECTION', (chunk + 1)::INT, n::INT, 'completed' FROM c UNION ALL SELECT school, 'SCORING', (chunk + 1)::INT, (6 * n)::INT, 'completed' FROM c""")
+def stm_stage_machine(spark, d):
+    """The run table when every essay has gone through OCR, correction and scoring, a call at a time."""
+    folder = shared_path(spark, "stages")
+    line = Pipeline(spark, folder, _Rule(f"{folder}/submitted"))
+    line.enqueue(T.scores(spark, d).select("school", F.col("essay_id").cast("string").alias("id"), F.lit(200_000).cast("long").alias("size")))
+    while line.call():
+        pass
+    return line.runs().select("school", "stage", "sequence", "lines", "status")
 
 
 @query("stm_pending_collect", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
@@ -59,10 +76,21 @@ def stm_latest_run(spark, d):
 @query("stm_driver_transition", """SELECT user_id, arg_min(s, (t, ts, event_id)) AS status FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS s,
 CASE WHEN event_type IN ('purchase', 'error') THEN 0 ELSE 1 END AS t FROM events) GROUP BY 1""")
 def stm_driver_transition(spark, d):
-    """A run's state: its first terminal one, as it never leaves that; else running."""
+    """A run's state in a keyed store, over micro-batches of events that come in five files in no order of time."""
+    out = shared_path(spark, "transitions")
     state = F.expr("case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'running' end")
-    rows = T.read(spark, d, "events").withColumn("s", state)
-    return rows.groupBy("user_id").agg(F.min_by("s", F.struct((~F.col("s").isin(*B.TERMINAL)).alias("t"), "ts", "event_id")).alias("status"))
+    events = T.read(spark, d, "events").select("user_id", state.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    for i in (3, 0, 4, 1, 2):
+        events.filter(F.col("id") % 5 == i).write.parquet(f"{out}/events/{i}")
+    schema = "user_id bigint, status string, at bigint, id bigint"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{out}/events")
+
+    def batch(rows, number):
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/states/{number}")
+
+    run_with_state(terminal_states(stream, "user_id", "long"), batch, f"{out}/checkpoint", "update")
+    told = spark.read.schema("key bigint, status string, batch int").option("recursiveFileLookup", "true").parquet(f"{out}/states")
+    return told.groupBy(F.col("key").alias("user_id")).agg(F.max_by("status", "batch").alias("status"))
 
 
 @query("stm_sampling", """SELECT essay_id, CASE WHEN essay_id % 20 = 0 OR status = 'P' OR ('0x' || substr(sha256(unhex(md5(essay_id::VARCHAR))), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.05 THEN 'REVIEW' ELSE 'APPROVE' END AS decision FROM scores""")

@@ -185,7 +185,7 @@ def snk_upsert(spark, d):
     cuts = T.scores(spark, d).select("school").distinct()
     K.upsert(spark, path, cuts.withColumn("version", F.lit(1)), ["school"], "version")
     K.upsert(spark, path, cuts.filter("school in ('NATION_1', 'NATION_2')").withColumn("version", F.lit(2)), ["school"], "version")
-    return spark.read.schema("school string, version int").parquet(path)
+    return K.keyed(spark, path, "school string, version int")
 
 
 @query("snk_cache_rebuild", "SELECT status, CASE status WHEN 'F' THEN 0 ELSE count(*) END::BIGINT AS n FROM scores GROUP BY 1")
@@ -211,15 +211,28 @@ def snk_get_or_create(spark, d):
     rows = T.links(spark, d).select("classroom", "school_id")
     K.add_missing(spark, path, rows.filter("school_id < 9"), ["classroom", "school_id"])
     K.add_missing(spark, path, rows, ["classroom", "school_id"])
-    return spark.read.schema(rows.schema).parquet(path)
+    return K.keyed(spark, path, rows.schema)
+
+
+XLSX_SQL = """WITH s AS (SELECT school, essay_id, printf('%08d', essay_id) AS name, CASE WHEN status <> 'P' THEN 'Sim' ELSE 'Não' END AS done, CASE WHEN status = 'F' THEN score END AS total, CASE WHEN status = 'F' THEN c1 END AS a, CASE WHEN status = 'F' THEN c2 END AS b,
+  CASE WHEN status = 'F' THEN c3 END AS c, CASE WHEN status = 'F' THEN c4 END AS d, CASE WHEN status = 'F' THEN c5 END AS e FROM scores),
+r AS (SELECT *, (row_number() OVER (PARTITION BY school ORDER BY name))::INT AS number FROM s), h AS (SELECT DISTINCT school FROM s)
+SELECT 'submission_list' AS report, school, number, name || '|' || done AS line FROM r UNION ALL SELECT 'grades_total', school, number, name || '|' || done || '|' || coalesce(total::VARCHAR, '-') FROM r
+UNION ALL SELECT 'grades_per_competency', school, number, concat_ws('|', name, done, coalesce(a::VARCHAR, '-'), coalesce(b::VARCHAR, '-'), coalesce(c::VARCHAR, '-'), coalesce(d::VARCHAR, '-'), coalesce(e::VARCHAR, '-'), coalesce(total::VARCHAR, '-')) FROM r
+UNION ALL SELECT 'submission_list', school, 0, 'Aluno|Entregou' FROM h UNION ALL SELECT 'grades_total', school, 0, 'Aluno|Entregou|Nota total' FROM h UNION ALL SELECT 'grades_per_competency', school, 0, 'Aluno|Entregou|C1|C2|C3|C4|C5|Nota total' FROM h"""
 
 
-@query("snk_xlsx", "SELECT school, class, count(*) AS n, round(avg(score), 1) AS media FROM scores GROUP BY ALL")
+@query("snk_xlsx", XLSX_SQL)
 def snk_xlsx(spark, d):
-    """Each school's classes as a workbook, written and read back."""
-    rows = T.scores(spark, d).groupBy("school", "class").agg(n_rows().alias("n"), F.round(F.avg("score"), 1).alias("media"))
-    found = R.sheet_rows(K.workbooks(rows, "school", ["class"])).filter("number > 0")
-    return found.select(F.regexp_replace("path", r"\.xlsx$", "").alias("school"), F.col("cells")[0].alias("class"), F.col("cells")[1].cast("long").alias("n"), F.col("cells")[2].cast("double").alias("media"))
+    """Each school's essays as workbooks of the three layouts, written and read back: grades only of corrected ones."""
+    graded = lambda c: F.when(F.col("status") == "F", F.col(c).cast("int")).alias({"score": "total"}.get(c, c))
+    rows = T.scores(spark, d).select("school", F.lpad(F.col("essay_id").cast("string"), 8, "0").alias("name"), (F.col("status") != "P").alias("submitted"), *map(graded, ("score", "c1", "c2", "c3", "c4", "c5")))
+    found = None
+    for kind in K.REPORTS:
+        read = R.sheet_rows(K.report_files(rows, kind, "school")).withColumn("report", F.lit(kind))
+        found = read if found is None else found.unionAll(read)
+    line = F.array_join("cells", "|", "-")
+    return found.select("report", F.regexp_replace("path", r"\.xlsx$", "").alias("school"), "number", F.regexp_replace(line, r"\.0(?=\||$)", "").alias("line"))
 
 
 @query("snk_report", """SELECT school, '{"school":"' || school || '","essays":' || count(*) || ',"best":' || max(score) || ',"note":null}' AS payload FROM scores GROUP BY 1""")

@@ -59,10 +59,14 @@ def fn_tokenize_stop(spark, d):
     return _docs(spark, d).select("doc_id", n.alias("n")).filter("n > 0")
 
 
-@query("fn_term_sequence", f"SELECT doc_id, list_position(regexp_extract_all({PLAIN_SQL.format('lower(text)')}, '[a-z0-9]+'), 'the')::BIGINT AS place FROM documents WHERE lang = 'en' AND list_contains(regexp_extract_all({PLAIN_SQL.format('lower(text)')}, '[a-z0-9]+'), 'the')")
+@query("fn_term_sequence", f"""WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(lower({PLAIN_SQL.format('text')}), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda x: length(x) >= 3),
+  lambda x: CASE WHEN suffix(x, 'oes') THEN left(x, length(x) - 3) || 'ao' WHEN suffix(x, 'es') THEN left(x, length(x) - 2) WHEN suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END) AS ts FROM documents)
+SELECT doc_id, len(ts)::BIGINT AS terms, md5(array_to_string(ts, ' ')) AS sequence, (list_position(ts, ts[len(ts)]) - 1)::BIGINT AS first FROM t""")
 def fn_term_sequence(spark, d):
-    terms = F.regexp_extract_all(X.plain(F.lower("text")), F.lit("[a-z0-9]+"), F.lit(0))
-    return _docs(spark, d).filter("lang = 'en'").select("doc_id", F.array_position(terms, "the").alias("place")).filter("place > 0")
+    """The normalised terms of each text in their order, and the first place of its last one; a null text has none."""
+    rows = _docs(spark, d).select("doc_id", lexical.terms(F.col("text")).alias("ts"))
+    first = F.when(F.size("ts") > 0, F.array_position("ts", F.element_at("ts", -1)) - 1)
+    return rows.select("doc_id", F.size("ts").cast("long").alias("terms"), F.md5(F.array_join("ts", " ")).alias("sequence"), first.alias("first"))
 
 
 @query("fn_cpf_digits", r"SELECT doc_id, length(regexp_replace(text, '\D', '', 'g')) AS n, CASE WHEN length(regexp_replace(text, '\D', '', 'g')) = 11 THEN regexp_replace(text, '\D', '', 'g') END AS cpf FROM documents")
@@ -82,11 +86,20 @@ def fn_name_like(spark, d):
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.name_like(F.col("p_name")).alias("by_name"), X.name_like(F.col("p_brand")).alias("by_brand"))
 
 
-@query("fn_token_reconstruct", "SELECT conv_id, string_agg(role || '@' || turn, ' ' ORDER BY turn) AS line FROM conversations GROUP BY 1")
+TOKEN_SQL = """t AS (SELECT conv_id, turn, role, turn * 10 - (turn % 4) * 4 AS start, role || turn || CASE WHEN turn % 3 = 0 THEN '-tail' ELSE '' END AS text FROM conversations),
+e AS (SELECT *, start + length(text) - CASE WHEN turn % 5 = 0 THEN 2 ELSE 0 END AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i FROM t), n AS (SELECT conv_id, max(stop) AS n FROM e GROUP BY 1),
+c AS (SELECT conv_id, start + k AS pos, i, text[k + 1:k + 1] AS ch FROM (SELECT *, unnest(generate_series(0, length(text) - 1)) AS k FROM e)), p AS (SELECT conv_id, pos, arg_max(ch, i) AS ch FROM c GROUP BY 1, 2),
+b AS (SELECT conv_id, unnest(generate_series(0, n - 1)) AS pos FROM n)"""
+
+
+@query("fn_token_reconstruct", f"WITH {TOKEN_SQL} SELECT conv_id, trim(string_agg(coalesce(ch, ' '), '' ORDER BY pos)) AS line FROM b LEFT JOIN p USING (conv_id, pos) GROUP BY 1")
 def fn_token_reconstruct(spark, d):
-    """Tokens put back in the order of their places."""
-    placed = F.struct("turn", F.concat_ws("@", "role", "turn").alias("token"))
-    return T.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["token"]), " ").alias("line"))
+    """Tokens painted by their places: some overlap the one before, some leave gaps, some are longer than the text."""
+    text = F.expr("concat(role, turn, if(turn % 3 = 0, '-tail', ''))")
+    rows = T.read(spark, d, "conversations").withColumn("text", text).withColumn("start", F.expr("cast(turn * 10 - (turn % 4) * 4 as int)"))
+    rows = rows.withColumn("end", F.expr("cast(start + length(text) - if(turn % 5 = 0, 2, 0) as int)"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "start", "end", "text"))), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text")))
+    return rows.groupBy("conv_id").agg(tokens.alias("tokens")).select("conv_id", X.painted(F.col("tokens")).alias("line"))  # a conversation's turns
 
 
 @query("fn_secret_scrub", r"SELECT doc_id, md5(regexp_replace(text, '(sk-[A-Za-z0-9_-]{8,}|(?:postgres(?:ql)?|mysql|redis)://\S+|[0-9a-f]{40})', '[REDACTED]', 'g')) AS h FROM documents")
@@ -496,10 +509,17 @@ def fn_remaining_seconds(spark, d):
     return T.scores(spark, d).select("essay_id", F.greatest(F.lit(0), F.expr("timestampdiff(SECOND, timestamp_ntz'1998-01-01', at)")).cast("long").alias("remaining"))
 
 
-@query("fn_quota_check", "SELECT result_id, count(*) FILTER (difficulty = 'EASY') + count(*) FILTER (difficulty = 'MEDIUM') + count(*) FILTER (difficulty = 'HARD') = count(*) AS valid FROM items GROUP BY 1")
+@query("fn_quota_check", """WITH r AS (SELECT result_id, (count(*) FILTER (difficulty = 'EASY'))::INT AS e, (count(*) FILTER (difficulty = 'MEDIUM'))::INT AS m, (count(*) FILTER (difficulty = 'HARD'))::INT AS h, (max(position) + CASE WHEN result_id % 4 = 1 THEN 1 ELSE 0 END)::INT AS q FROM items GROUP BY 1)
+SELECT result_id, CASE WHEN result_id % 16 = 5 THEN 'UNKNOWN_LEVEL' WHEN result_id % 9 = 3 THEN 'NEGATIVE' WHEN e + m + h <> q THEN 'SUM_DIFFERS' ELSE 'VALID' END AS verdict FROM r""")
 def fn_quota_check(spark, d):
-    parts = sum((F.count_if(F.col("difficulty") == k) for k in S.LEVELS), F.lit(0))
-    return T.items(spark, d).groupBy("result_id").agg((parts == F.count(F.lit(1))).alias("valid"))
+    """A requested distribution against a requested quantity; some ask for one more, for a level that there isn't, or for less than none."""
+    count = lambda k: F.count_if(F.col("difficulty") == k).cast("int")
+    rows = T.items(spark, d).groupBy("result_id").agg(*[count(k).alias(k) for k in S.LEVELS], F.max("position").alias("asked"))
+    entry = lambda name, n: F.struct(F.lit(name).alias("level"), n.alias("n"))
+    levels = [entry(k, F.when((F.col("result_id") % 9 == 3) & F.lit(k == "HARD"), -1).otherwise(F.col(k))) for k in S.LEVELS]
+    asked = F.when(F.col("result_id") % 16 == 5, F.array(*levels, entry("EXTREME", F.lit(0)))).otherwise(F.array(*levels))
+    quantity = (F.col("asked") + F.when(F.col("result_id") % 4 == 1, 1).otherwise(0)).cast("int")
+    return rows.select("result_id", S.quota_verdict(quantity, asked).alias("verdict"))
 
 
 @query("fn_node_type_check", "SELECT c.id FROM nodes c LEFT JOIN nodes p ON c.parent = p.id WHERE NOT coalesce((c.type = 'DISCIPLINE' AND p.id IS NULL) OR (c.type = 'AREA' AND p.type = 'DISCIPLINE') OR (c.type = 'CONTENT' AND p.type = 'AREA') OR (c.type = 'SUBCONTENT' AND p.type = 'CONTENT' AND p.id <> 'S2'), false)")
@@ -582,10 +602,31 @@ def fn_array_first3(spark, d):
 QUOTE_SQL = "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) < 11 THEN -1 ELSE position(substr(text, 11, 30) IN text) - 1 END AS at_quote FROM documents"
 
 
-@query("fn_quote_offset", QUOTE_SQL)
+#: Quotes of a text and where they are said to be: as they are, some with a wrong place; their words with other white space; short ones; changed ones.
+SPAN_SQL = r"""w AS (SELECT doc_id, text, length(text) AS n, list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS ws FROM documents),
+q AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN substr(text, 11, 30) WHEN 1 THEN substr(text, 11, 30) WHEN 2 THEN array_to_string(ws[4:8], '  ') WHEN 3 THEN array_to_string(ws[2:3], ' ') ELSE substr(text, 11, 30) || '|' END AS quote,
+  CASE doc_id % 5 WHEN 0 THEN 10 WHEN 1 THEN (doc_id % 11) * 60 WHEN 3 THEN n // 2 ELSE 0 END::INT AS said FROM w),
+r AS (SELECT *, said + length(quote) AS stop, array_to_string(list_filter(regexp_split_to_array(quote, '\s+'), lambda x: x <> ''), ' ') AS tight, regexp_extract_all(text, '\s+') AS gaps, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM q),
+x AS (SELECT *, CASE WHEN length(quote) > 0 THEN list_filter(generate_series(0, n - length(quote)), lambda i: text[i + 1:i + length(quote)] = quote) END AS exact,
+  CASE WHEN length(tight) > 0 THEN list_filter(generate_series(0, length(flat) - length(tight)), lambda i: flat[i + 1:i + length(tight)] = tight) END AS loose FROM r),
+y AS (SELECT *, list_transform(loose, lambda i: {'a': i + coalesce(list_sum(list_transform(gaps[1:length(flat[1:i]) - length(replace(flat[1:i], ' ', ''))], lambda g: length(g) - 1)), 0),
+  'b': i + length(tight) + coalesce(list_sum(list_transform(gaps[1:length(flat[1:i + length(tight)]) - length(replace(flat[1:i + length(tight)], ' ', ''))], lambda g: length(g) - 1)), 0)}) AS spans FROM x),
+z AS (SELECT *, list_filter(exact, lambda i: abs(i - said) <= 400) AS near, list_filter(spans, lambda s: abs(s.a - said) <= 400) AS near_spans FROM y),
+f AS (SELECT doc_id, CASE WHEN length(tight) = 0 THEN NULL WHEN text[said + 1:stop] = quote OR (trim(quote) = quote AND trim(text[said + 1:stop]) = quote) THEN {'a': said + position(quote IN text[said + 1:stop]) - 1, 'b': said + position(quote IN text[said + 1:stop]) - 1 + length(quote)}
+  WHEN len(exact) > 0 THEN CASE WHEN len(near) = 1 THEN {'a': near[1], 'b': near[1] + length(quote)} WHEN len(exact) = 1 AND length(trim(quote)) >= 12 THEN {'a': exact[1], 'b': exact[1] + length(quote)} END
+  WHEN len(near_spans) = 1 THEN near_spans[1] WHEN len(spans) = 1 AND length(tight) >= 12 THEN spans[1] END AS s FROM z)"""
+
+
+@query("fn_quote_offset", f"WITH {SPAN_SQL} SELECT doc_id, s.a::BIGINT AS start, s.b::BIGINT AS stop FROM f")
 def fn_quote_offset(spark, d):
-    """A text of up to 10 characters has an empty quote, which is nowhere; a null text has a null offset."""
-    return _quoted(_docs(spark, d))
+    """Places of quotes in the texts as they are, for quotes that are there, elsewhere than said, with other white space, often, or not at all."""
+    words = F.filter(F.split("text", X.WHITE), lambda w: w != "")
+    cut, kind = F.substring("text", 11, 30), F.col("doc_id") % 5
+    quote = F.when(kind < 2, cut).when(kind == 2, F.array_join(F.slice(words, 4, 5), "  ")).when(kind == 3, F.array_join(F.slice(words, 2, 2), " ")).otherwise(F.concat(cut, F.lit("|")))
+    said = F.when(kind == 0, 10).when(kind == 1, F.col("doc_id") % 11 * 60).when(kind == 3, F.floor(F.length("text") / 2)).otherwise(0).cast("int")
+    rows = _docs(spark, d).select("doc_id", "text", quote.alias("quote"), said.alias("said"))
+    span = X.quote_span(F.col("text"), F.col("said"), F.col("said") + F.length("quote"), F.col("quote"))
+    return rows.select("doc_id", span.alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"))
 
 
 @query("fn_quote_offset_all", QUOTE_SQL)

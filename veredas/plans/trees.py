@@ -22,9 +22,8 @@ def tree_path_up(spark, d):
 def tree_codes_under(spark, d):
     """The contents below each discipline and area; a node with none below stands for itself."""
     nodes = T.nodes(spark, d)
-    roots = nodes.filter("type in ('DISCIPLINE', 'AREA')").select(F.col("id").alias("ancestor"))
-    below = G.ancestors(nodes).join(nodes.filter("type in ('CONTENT', 'SUBCONTENT')").select("id"), "id").select("ancestor", "id")
-    return roots.join(below, "ancestor").select(F.col("ancestor").alias("root"), "id")
+    below = G.within(G.intervals(nodes), nodes.filter("type in ('DISCIPLINE', 'AREA')").select("id"))
+    return below.join(nodes.filter("type in ('CONTENT', 'SUBCONTENT')").select("id"), "id", "left_semi").select(F.col("scope").alias("root"), "id")
 
 
 @query("tree_contains_nodes", CLOSURE + " SELECT DISTINCT id FROM t WHERE ancestor = 'R1' OR (ancestor IN ('S7', 'N3') AND depth = 0)")
@@ -51,11 +50,11 @@ def tree_list_levels(spark, d):
     return T.nodes(spark, d).groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.min("name").alias("first"))
 
 
-@query("dag_cycle", "SELECT 'S4' AS node UNION ALL SELECT 'S2' UNION ALL SELECT 'S1'")
+@query("dag_cycle", "WITH RECURSIVE w AS (SELECT content, needs FROM edges WHERE content <> needs UNION SELECT 'S' || (s_suppkey // 4), 'S' || s_suppkey FROM supplier WHERE s_suppkey >= 4 AND s_suppkey % 4 = 3), r(content, needs) AS (SELECT * FROM w UNION SELECT r.content, w.needs FROM r JOIN w ON w.content = r.needs) SELECT content AS node FROM r WHERE content = needs")
 def dag_cycle(spark, d):
-    """Nodes on a cycle: an edge from S1 to S4 closes S4 -> S2 -> S1."""
-    edges = T.edges(spark, d).filter("content <> needs").unionAll(spark.createDataFrame([("S1", "S4")], "content string, needs string"))
-    return G.reachable(edges, "content", "needs").filter("content = needs").select(F.col("content").alias("node"))
+    """Nodes on a cycle: some contents are also needed by the one two levels up that they need themselves."""
+    back = T.read(spark, d, "supplier").filter("s_suppkey >= 4 and s_suppkey % 4 = 3").selectExpr("concat('S', s_suppkey div 4) as content", "concat('S', s_suppkey) as needs")
+    return G.on_cycles(T.edges(spark, d).filter("content <> needs").unionAll(back), "content", "needs")
 
 
 @query("dag_transitive", REACH + " SELECT content, needs FROM r")
@@ -72,9 +71,9 @@ def tree_ancestors_list(spark, d):
 @query("dag_would_cycle", REACH + ", n AS (SELECT 'S' || (s_suppkey // 4) AS a, 'S' || s_suppkey AS b FROM supplier WHERE s_suppkey > 0) SELECT a, b, a = b OR EXISTS (SELECT 1 FROM r WHERE r.content = n.b AND r.needs = n.a) AS cycle FROM n")
 def dag_would_cycle(spark, d):
     """Whether a new edge a -> b would close a cycle: b already needs a."""
-    closure = G.reachable(T.edges(spark, d).filter("content <> needs"), "content", "needs").select(F.col("content").alias("b"), F.col("needs").alias("a"), F.lit(True).alias("back"))
     new = T.read(spark, d, "supplier").filter("s_suppkey > 0").selectExpr("concat('S', s_suppkey div 4) as a", "concat('S', s_suppkey) as b")
-    return new.join(closure, ["a", "b"], "left").select("a", "b", ((F.col("a") == F.col("b")) | F.col("back").isNotNull()).alias("cycle"))
+    back = G.reaches(new.selectExpr("b as a", "a as b"), T.edges(spark, d).filter("content <> needs"), "content", "needs").selectExpr("b as a", "a as b", "true as back")
+    return new.join(back, ["a", "b"], "left").select("a", "b", ((F.col("a") == F.col("b")) | F.col("back").isNotNull()).alias("cycle"))
 
 
 @query("dag_blockers", """WITH m AS (SELECT DISTINCT 'S' || student_id AS id FROM mastery WHERE score >= 60)

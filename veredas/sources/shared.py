@@ -45,3 +45,15 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
     if not fs.rename(new, old):
         raise OSError(f"{staged} can't take the place of {path}")
     fs.delete(aside, True)
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes the folder of a ``written`` table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where, fs = _hadoop(table.sparkSession, path)
+        fs.delete(where, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.delete(where, True)

@@ -9,8 +9,9 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from veredas.sources.shared import exists, shared_path, swap
+from veredas.sources.shared import discard, exists, swap
 
 
 def replace(df: DataFrame, path: str) -> int:
@@ -26,13 +27,57 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], at: str) -> None:
-    """New rows replace old ones of the same key; of several new ones the latest counts."""
-    rows = new.withColumn("_new", F.lit(1))
+PART = "key_part"  # the partition column of keyed tables
+
+
+def _part(keys: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(parts)).cast("int").alias(PART)
+
+
+def keyed(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of a table that ``upsert`` and ``add_missing`` keep; none before their first call."""
+    finish(spark, path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).drop(PART)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Takes up a change whose new partitions are all written beside the table, but whose driver was lost before they were in it."""
+    staged = f"{path}.changed"
+    if exists(spark, f"{staged}/_SUCCESS"):
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+        discard(spark, staged)
+
+
+def _changed(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], parts: int, order: Sequence[Column]) -> int:
+    """Puts new rows into the partitions of their keys, one row a key, the first by ``order`` (``_new`` is 1 for new ones)."""
+    finish(spark, path)
+    if exists(spark, path) and PART not in spark.read.parquet(path).columns:  # a plain table becomes a keyed one, once
+        plain = f"{path}.keyed"
+        spark.read.schema(new.schema).parquet(path).withColumn(PART, _part(keys, parts)).write.mode("overwrite").partitionBy(PART).parquet(plain)
+        swap(spark, plain, path)
+    rows = new.withColumn("_new", F.lit(1)).withColumn(PART, _part(keys, parts))
+    touched = [r[0] for r in rows.select(PART).distinct().collect()]  # at most ``parts`` numbers
     if exists(spark, path):
-        rows = rows.unionByName(spark.read.schema(new.schema).parquet(path).withColumn("_new", F.lit(0)))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc(at)))
-    replace(rows.withColumn("_first", first).filter("_first = 1").drop("_first", "_new"), path)
+        there = spark.read.schema(StructType([*new.schema.fields, StructField(PART, IntegerType())])).parquet(path)
+        rows = rows.unionByName(there.filter(F.col(PART).isin(touched)).withColumn("_new", F.lit(0)))
+    first = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order))
+    staged = f"{path}.changed"
+    kept = rows.withColumn("_first", first).filter("_first = 1").drop("_first", "_new").select(*new.columns, PART)
+    kept.write.mode("overwrite").partitionBy(PART).parquet(staged)
+    finish(spark, path)
+    return len(touched)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], at: str, parts: int = 64) -> int:
+    """New rows replace old ones of the same key; of several new ones the latest counts. Returns the number of partitions rewritten.
+
+    Keys are hashed into ``parts`` partitions, the same number in every call; only those that new rows fall into are read
+    and rewritten. They are written beside the table first: until that is done a lost driver changes nothing, and after it the next
+    call or read of ``keyed`` puts them in place. The same rows again leave the table as it is. One writer at a time.
+    """
+    return _changed(spark, path, new, keys, parts, [F.desc("_new"), F.desc(at)])
 
 
 def rebuild(df: DataFrame, path: str, partition: str) -> None:
@@ -40,15 +85,12 @@ def rebuild(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def add_missing(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> None:
-    """Appends rows whose natural key isn't there yet, one a key."""
-    new = rows.dropDuplicates(list(keys))
-    if exists(spark, path):
-        there = spark.read.schema(rows.schema).parquet(path)
-        new = new.join(there, [new[k].eqNullSafe(there[k]) for k in keys], "left_anti")
-    staged = shared_path(spark, "new-keys")
-    new.write.parquet(staged)  # read before the table it came from grows
-    append(spark.read.schema(rows.schema).parquet(staged), path)
+def add_missing(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], parts: int = 64) -> int:
+    """Adds rows whose natural key isn't there yet, one a key; returns the number of partitions rewritten.
+
+    As with ``upsert`` a key has one partition, which is rewritten as a whole: so no key is there twice, whatever is added again.
+    """
+    return _changed(spark, path, rows.dropDuplicates(list(keys)), keys, parts, [F.asc("_new")])
 
 
 def report(**fields: Column) -> Column:
@@ -75,9 +117,9 @@ PARTS = {
 }
 
 
-def sheet_file(rows: Iterable[Sequence[object]]) -> bytes:
+def sheet_file(rows: Iterable[Sequence[object]], name: str = "1") -> bytes:
     """A workbook of one sheet: numbers as numbers, other values as text, nulls as empty cells."""
-    from xml.sax.saxutils import escape
+    from xml.sax.saxutils import escape, quoteattr
 
     def cell(v: object) -> str:
         if v is None or v != v:
@@ -86,18 +128,42 @@ def sheet_file(rows: Iterable[Sequence[object]]) -> bytes:
 
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in PARTS.items():
-            z.writestr(name, part)
+        for file, part in PARTS.items():
+            z.writestr(file, part.replace('sheet name="1"', f"sheet name={quoteattr(name)}"))
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SHEET}"><sheetData>{"".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)}</sheetData></worksheet>')
     return out.getvalue()
 
 
-def workbooks(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+def workbooks(df: DataFrame, by: str, order: Sequence[str], sheet: str = "1") -> DataFrame:
     """path, content: a workbook for each value of ``by``, its rows (a report's, so few) in order under the columns' names."""
     names = [c for c in df.columns if c != by]
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(list(order))[names].astype(object).where(lambda x: x.notna(), None)
-        return pd.DataFrame({"path": [f"{group[by].iloc[0]}.xlsx"], "content": [sheet_file([names, *rows.itertuples(index=False)])]})
+        return pd.DataFrame({"path": [f"{group[by].iloc[0]}.xlsx"], "content": [sheet_file([names, *rows.itertuples(index=False)], sheet)]})
 
     return df.groupBy(by).applyInPandas(pack, "path string, content binary")
+
+
+# The layouts of an essay report, with their sheets' names and columns.
+REPORTS = {
+    "submission_list": ("Entregas", ("Aluno", "Entregou")),
+    "grades_total": ("Notas", ("Aluno", "Entregou", "Nota total")),
+    "grades_per_competency": ("Notas por competência", ("Aluno", "Entregou", "C1", "C2", "C3", "C4", "C5", "Nota total")),
+}
+
+
+def report_layout(students: DataFrame, kind: str, by: str = "path") -> DataFrame:
+    """``by`` and the columns of a report, of students (name, submitted, total, c1 ... c5); a kind that there isn't is an error.
+
+    Submitted is Sim or Não; grades that are missing stay empty.
+    """
+    if kind not in REPORTS:
+        raise ValueError(f"unknown report {kind!r}: one of {', '.join(REPORTS)}")
+    known = {"Aluno": F.col("name"), "Entregou": F.when(F.coalesce("submitted", F.lit(False)), "Sim").otherwise("Não"), "Nota total": F.col("total"), **{f"C{i}": F.col(f"c{i}") for i in range(1, 6)}}
+    return students.select(by, *[known[c].alias(c) for c in REPORTS[kind][1]])
+
+
+def report_files(students: DataFrame, kind: str, by: str) -> DataFrame:
+    """path, content: a workbook of a report for each value of ``by``, its sheet named as the layout says, students in the order of their names."""
+    return workbooks(report_layout(students, kind, by), by, ["Aluno"], REPORTS[kind][0])
