@@ -1,6 +1,7 @@
 """Sharding, decontamination, mixing, SimHash and WARC against plain Python, with odd rows."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -70,6 +71,34 @@ def test_rebalancing_moves_few_slots():
     assert max(new.loads(sizes)) - min(new.loads(sizes)) <= 101
 
 
+def test_repeated_rows_are_spread(spark):
+    """20,000 identical rows over 24 shards are within 1 % of each other's bytes, and every place is given once."""
+    df = spark.range(20_000).selectExpr("cast(1 as long) as doc_id", "'the same text' as text")
+    found = sharding.shard(df, 24).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    mean = sum(r["bytes"] for r in found) / 24
+    assert len(found) == 24 and all(abs(r["bytes"] / mean - 1) <= 0.01 for r in found)
+    assert sum(r["n"] for r in found) == 20_000 and all(r["n"] == r["slots"] == r["last"] + 1 for r in found)
+
+
+def test_map_is_settled(spark, docs, tmp_path):
+    """A second and a third run on the same rows write no version: nothing moves."""
+    path = str(tmp_path / "map")
+    sharding.shard(docs, 24, path=path)
+    first = sharding.load_map(spark, path)
+    for _ in range(2):
+        sharding.shard(docs, 24, path=path)
+    assert sharding.load_map(spark, path) == first
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rebalancing_again_moves_nothing(seed):
+    rng = random.Random(seed)
+    sizes = [int(1000 * rng.paretovariate(1.5)) if rng.random() < 0.4 else 0 for _ in range(2000)]
+    m = sharding.SlotMap.first(2000, 24).rebalanced(sizes)
+    again = m.rebalanced(sizes)
+    assert max(again.loads(sizes)) >= max(m.loads(sizes)) and max(m.loads(sizes)) <= max(1.02 * sum(sizes) / 24, max(sizes))
+
+
 def test_slot_map_versions(spark, odd, tmp_path):
     """A second run on one path reads the map, a third edits it: records keep their slots, rows aren't multiplied."""
     path = str(tmp_path / "map")

@@ -7,8 +7,8 @@ than ``SLACK``, or the number of shards has changed; of the slots only those mov
 one row a slot (``slots`` rows, a parameter), so the driver edits it and every task gets all of it.
 
 Nulls: a null text has 0 bytes and the CRC of no bytes; a null id is hashed as empty text. Equal ids with
-different texts have slots of their own, so that one id may hold many rows; identical rows share a slot. An
-empty table gives no rows. Other columns are ignored, whatever their names.
+different texts have slots of their own, so that one id may hold many rows; identical rows share a slot unless they are more
+than a slot's share of all bytes: then they spread over as many as they have shares. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veredas.llm.common import exists, pick, scratch_path
+from veredas.llm.common import exists, pick, scratch_path, written
 
 SLOTS = 8192
 OVERHEAD = 8  # bytes of a record besides its text
+LEAST_PART = 128  # bytes of equal rows that share a slot at least
 SLACK = 0.01  # a shard may be over the mean by this much before a stored map is edited
 SCHEMA = "version int, shards int, slot int, shard int, bytes long"
 
@@ -40,19 +41,25 @@ class SlotMap:
         return cls(1, shards, tuple(s % shards for s in range(slots)))
 
     def loads(self, sizes: list[int]) -> list[int]:
-        out = [0] * self.shards
-        for slot, size in enumerate(sizes):
-            out[self.shard[slot]] += size
-        return out
+        return _loads(sizes, list(self.shard), self.shards)
 
     def rebalanced(self, sizes: list[int], shards: int | None = None, slack: float = 0.0) -> SlotMap:
-        """The next version: slots leave the shards that hold more than the mean until no move helps.
+        """The next version: slots leave the shards that hold more than the mean, for the least loaded, until no pass lowers the fullest shard.
 
-        The largest slots that fit go first, to the least loaded shard, so that few slots move. A shard that is over
-        the mean by no more than ``slack`` keeps its slots.
+        The largest slots that fit go first, so that few slots move. A shard that is over the mean by no more than ``slack`` keeps its
+        slots. Rebalancing the result again with the same sizes moves nothing.
         """
         shards = shards or self.shards
-        at = [s if s < shards else -1 for s in self.shard]
+        at = self._pass(sizes, shards, list(self.shard), slack)
+        while True:
+            again = self._pass(sizes, shards, at, slack)
+            if max(_loads(sizes, again, shards)) >= max(_loads(sizes, at, shards)):
+                return SlotMap(self.version + 1, shards, tuple(at))
+            at = again
+
+    @staticmethod
+    def _pass(sizes: list[int], shards: int, before: list[int], slack: float) -> list[int]:
+        at = [s if s < shards else -1 for s in before]
         loads, own = [0] * shards, [[] for _ in range(shards)]
         loose = []
         for slot, s in enumerate(at):
@@ -82,26 +89,43 @@ class SlotMap:
             load, s = heapq.heappop(heap)
             at[slot] = s
             heapq.heappush(heap, (load + sizes[slot], s))
-        return SlotMap(self.version + 1, shards, tuple(at))
+        return at
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of each row."""
+def _loads(sizes: list[int], at: list[int], shards: int) -> list[int]:
+    out = [0] * shards
+    for slot, size in enumerate(sizes):
+        out[at[slot]] += size
+    return out
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, n: the distinct rows and how often each is there; as a table."""
     rows = pick(docs, "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return rows.select(
-        "doc_id",
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    narrow = rows.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return written(narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "rows")
+
+
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, n: distinct rows (from ``counted``) in their slots, with how many of them are there.
+
+    Equal rows have one slot, but where they are more than a slot's share of all bytes, as many slots as they have shares.
+    """
+    total = rows.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+    share = max(LEAST_PART, total // slots)
+    parts = F.least(F.col("n"), F.ceil(F.col("size") * F.col("n") / share)).cast("int")
+    cut = rows.withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.expr("n div parts + if(part < n % parts, 1, 0)")
+    at = lambda *more: F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", *more), F.lit(slots))
+    slot = F.when(F.col("part") == 0, at()).otherwise(at("part")).cast("int")
+    return cut.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"), own.alias("n"))
 
 
 def slot_sizes(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     """Bytes and rows by slot; at most ``slots`` sums come to the driver."""
     sizes, counts = [0] * slots, [0] * slots
-    for slot, size, count in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count(F.lit(1))).collect():
+    for slot, size, count in rows.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).collect():
         sizes[slot], counts[slot] = size, count
     return sizes, counts
 
@@ -144,7 +168,7 @@ def edited_map(spark: SparkSession, path: str, sizes: list[int], shards: int, sl
     if old.shards == shards and max(old.loads(sizes)) <= (1 + slack) * sum(sizes) / shards:
         return old
     new = old.rebalanced(sizes, shards, slack)
-    if (new.shards, new.shard) == (old.shards, old.shard):  # no move helps: single slots are that large
+    if new.shards == old.shards and max(new.loads(sizes)) >= max(old.loads(sizes)):  # no move helps: single slots are that large
         return old
     save_map(spark, path, new, sizes)
     return new
@@ -155,11 +179,11 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | Non
 
     Returns doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null:
     that law has none), virtual_slot, map_version. The map's versions are kept at ``path``, and a later run on
-    that path goes on from the newest. One shuffle, of narrow rows, by virtual slot; the map of ``slots`` rows is
+    that path goes on from the newest. Narrow rows are shuffled twice, by row and by virtual slot; the map of ``slots`` rows is
     broadcast.
     """
     spark = docs.sparkSession
-    rows = slotted(docs, slots)
+    rows = slotted(counted(docs), slots)
     sizes, counts = slot_sizes(rows, slots)
     m = edited_map(spark, path or scratch_path(spark, "slot-map"), sizes, shards, slack)
     place, told = [0] * shards, []
@@ -167,9 +191,10 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | Non
         told.append((slot, s, place[s]))
         place[s] += counts[slot]
     slot_map = spark.createDataFrame(told, "virtual_slot int, shard int, first long")
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("inside", F.row_number().over(inside) - 1).join(F.broadcast(slot_map), "virtual_slot")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"),
+    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(slot_map), "virtual_slot")
+    every = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return every.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("before") + F.col("copy")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(m.version).alias("map_version"),
     )
