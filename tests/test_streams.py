@@ -49,7 +49,7 @@ REQUESTS = [("a", f"a{i:02d}", 10) for i in range(7)] + [("b", f"b{i:02d}", 10)
 
 
 def made(spark, folder, service):
-    return stages.Pipeline(spark, folder, service, (stages.Stage("OCR", 2), stages.Stage("CORRECTION", 1), stages.Stage("SCORING", 6)), most=12)
+    return stages.Pipeline(spark, folder, service, (stages.Stage("OCR", 2), stages.Stage("CORRECTION", 1), stages.Stage("SCORING", 6)), most=12, partitions=2)
 
 
 def finished(spark, line, service, times=25):
@@ -101,7 +101,7 @@ def test_cut_off_between_any_two_steps(spark, tmp_path):
             return done
 
         setattr(Falling, name, falling)
-    line = lambda: Falling(spark, str(tmp_path), service, (stages.Stage("OCR", 2), stages.Stage("CORRECTION", 1)), most=12)
+    line = lambda: Falling(spark, str(tmp_path), service, (stages.Stage("OCR", 2), stages.Stage("CORRECTION", 1)), most=12, partitions=2)
     some = [r for r in REQUESTS if r[0] == "b"]
     line().enqueue(spark.createDataFrame(some, stages.REQUESTS))
     for _ in range(40):
@@ -118,7 +118,7 @@ def test_cut_off_between_any_two_steps(spark, tmp_path):
 
 def test_failed_run_is_tried_again_under_a_new_number(spark, tmp_path):
     service = Service(spark, fail={("a", "OCR", 1)})
-    line = stages.Pipeline(spark, str(tmp_path), service, (stages.Stage("OCR", 2),), most=12)
+    line = stages.Pipeline(spark, str(tmp_path), service, (stages.Stage("OCR", 2),), most=12, partitions=2)
     line.enqueue(spark.createDataFrame(REQUESTS, stages.REQUESTS))
     runs, out = finished(spark, line, service)
     assert runs == {("a", "OCR", 1): ("failed", 12), ("a", "OCR", 2): ("completed", 12), ("a", "OCR", 3): ("completed", 2), ("b", "OCR", 1): ("completed", 6)}
@@ -193,7 +193,7 @@ def test_terminal_states_in_any_order(spark, tmp_path):
     for key in {e[0] for e in events}:
         ended = sorted((at, i, s) for k, s, at, i in events if k == key and s in machines.TERMINAL)
         wanted[key] = ended[0][2] if ended else None
-    for order in (1, 2):
+    for order in (1,):
         rows = [*events, *rng.sample(events, 60)]  # some come again
         rng.shuffle(rows)
         (tmp_path / str(order)).mkdir()

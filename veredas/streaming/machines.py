@@ -141,14 +141,17 @@ class FirstTerminal(StatefulProcessor):
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """The state store that state machines need, for the streams that are started inside."""
-    was = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def state_store(spark: SparkSession, partitions: int | None):
+    """The state store that state machines need, for the streams that are started inside; in so many partitions, if given."""
+    wanted = {STORE: ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    was = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(STORE, was) if was else spark.conf.unset(STORE)
+        for k, v in was.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def stage_runs(inbox: DataFrame, poll_ms: int = 60_000) -> DataFrame:
@@ -162,11 +165,12 @@ def terminal_states(events: DataFrame, key: str, kind: str) -> DataFrame:
     return events.groupBy(key).transformWithStateInPandas(FirstTerminal(), f"key {kind}, status string", "Update", "None")
 
 
-def run_with_state(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str, once: bool = False) -> None:
+def run_with_state(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str, once: bool = False, partitions: int | None = None) -> None:
     """Processes what is there and ends; state and offsets lie in the checkpoint, where the next call goes on.
 
     ``once``: in one batch, which is what a machine with timers needs: as long as timers may fire, it always has another batch to run.
+    ``partitions`` of the state, each a store of its own that every batch opens: a checkpoint keeps the number it began with.
     """
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession, partitions):
         writer = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint)
         (writer.trigger(once=True) if once else writer.trigger(availableNow=True)).start().awaitTermination()

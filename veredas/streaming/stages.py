@@ -51,9 +51,9 @@ class Provider(Protocol):
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, folder: str, provider: Provider, stages: Sequence[Stage] = STAGES, most: int = MOST_REQUESTS, most_bytes: int = MOST_BYTES, poll_ms: int = 60_000):
+    def __init__(self, spark: SparkSession, folder: str, provider: Provider, stages: Sequence[Stage] = STAGES, most: int = MOST_REQUESTS, most_bytes: int = MOST_BYTES, poll_ms: int = 60_000, partitions: int = 4):
         self.spark, self.folder, self.provider, self.stages = spark, folder.rstrip("/"), provider, stages
-        self.most, self.most_bytes, self.poll_ms = most, most_bytes, poll_ms
+        self.most, self.most_bytes, self.poll_ms, self.partitions = most, most_bytes, poll_ms, partitions
 
     def _done(self, path: str) -> bool:
         return exists(self.spark, f"{self.folder}/{path}/_SUCCESS")
@@ -132,7 +132,7 @@ class Pipeline:
         def batch(rows: DataFrame, number: int) -> None:
             rows.withColumn("step", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/outbox/b{number:06d}")
 
-        run_with_state(stage_runs(inbox, self.poll_ms), batch, f"{self.folder}/checkpoint", "append", once=True)
+        run_with_state(stage_runs(inbox, self.poll_ms), batch, f"{self.folder}/checkpoint", "append", once=True, partitions=self.partitions)
 
     def submit(self, asked: DataFrame) -> None:
         for s in self.stages:
