@@ -244,6 +244,13 @@ def test_simhash_links_are_exact(spark):
         assert {tuple(r) for r in simhash.links(df, crowd).collect()} == want
 
 
+def test_simhash_variants_are_never_broadcast(spark):
+    fps = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
 BIG = "línea <p>\r\n\r\nWARC/1.1\r\n</p>" * 100
 PAGES = [(1, "http://a", BIG), (2, "http://b", BIG), (3, "http://c\r\nX: y", "small"), (4, None, "small"), (5, "u", None), (6, "u", ""), (7, "u", "é\U0001f600" * 500), (8, "u", BIG[:-1]), (8, "u", BIG[:-1]), (None, "u", "n" * 999), (9, "u", "\r\n\r\n")]
 

@@ -90,7 +90,8 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
             b = b.select("fp", "half", "key", "quarter", F.explode(F.transform(_bits(16), lambda m: F.col("part").bitwiseXOR(m))).alias("part"))
             on = [*on, "quarter", "part"]
         a, b = a.select(F.col("fp").alias("a"), *on), b.select(F.col("fp").alias("b"), *on)
-        met = a.join(b, on).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+        # Spark takes the variants to be as few as the fingerprints, so it would broadcast them: they are always shuffled
+        met = a.join(b.hint("merge"), on).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
         pairs.append(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs[0].unionAll(pairs[1]).distinct()
 
