@@ -195,3 +195,7 @@ def _seconds(spark, column):
 
 def test_tokens_of_long_texts_are_quick(spark):
     assert _seconds(spark, lambda t: text.tokens(t, ("de",))) < 8
+
+
+def test_names_of_long_texts_are_quick(spark):
+    assert _seconds(spark, text.person_name) < 8
