@@ -199,3 +199,7 @@ def test_tokens_of_long_texts_are_quick(spark):
 
 def test_names_of_long_texts_are_quick(spark):
     assert _seconds(spark, text.person_name) < 8
+
+
+def test_terms_of_long_texts_are_quick(spark):
+    assert _seconds(spark, lexical.terms) < 8
