@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import same_rows
 from veredas import catalog
@@ -68,3 +69,8 @@ def test_fill_takes_seen_ones_last(spark):
                     want |= {(s, c, i, stage) for stage, i in sorted(rows)[:n]}
             got = cascade_fill(items, seen, "s", "c", "q", [F.asc("q")], n, easy).collect()
             assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_exercises_of_a_small_file_are_dealt_over_tasks(spark, sf):
+    rows = catalog.QUERIES["fn_exercise_split"](spark, sf)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
