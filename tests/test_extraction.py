@@ -203,3 +203,9 @@ def test_names_of_long_texts_are_quick(spark):
 
 def test_terms_of_long_texts_are_quick(spark):
     assert _seconds(spark, lexical.terms) < 8
+
+
+def test_marks_are_taken_apart_without_a_pattern(spark):
+    found = extraction.with_options(spark.createDataFrame([("Qual?\nA) um\nb. dois\n(C) três\nD- quatro\n",)], "body string"), "body")
+    assert [tuple(o) for o in found.first()["options"]] == [("A", "um"), ("B", "dois"), ("C", "três"), ("D", "quatro")]
+    assert "split(lambda" not in found._jdf.queryExecution().analyzed().toString()

@@ -96,8 +96,11 @@ def with_options(df: DataFrame, body: str) -> DataFrame:
     marked = F.regexp_replace(_clean(F.col(body)), OPTION, "\x01$1$2$4\x02$3\x02$0\x04")
 
     def mark(x: Column) -> Column:
-        field = F.split(x, "[\x02\x04]", 4)  # a firm letter, a bare one, the mark as it stood, what follows
-        return F.struct((field[0] != "").alias("firm"), F.upper(F.concat(field[0], field[1])).alias("letter"), field[2].alias("sign"), field[3].alias("tail"))
+        head = F.substring_index(x, "\x04", 1)  # a firm letter, a bare one, the mark as it stood; no pattern, which would be compiled for each mark
+        firm = F.substring_index(head, "\x02", 1)
+        letter = F.replace(F.substring_index(head, "\x02", 2), F.lit("\x02"), F.lit(""))
+        tail = F.substring(x, F.length(head) + 2, F.length(x))
+        return F.struct((firm != "").alias("firm"), F.upper(letter).alias("letter"), F.substring_index(head, "\x02", -1).alias("sign"), tail.alias("tail"))
 
     staged = df.withColumn("_parts", F.split(marked, "\x01")).withColumn("_marks", F.transform(F.slice("_parts", 2, F.size("_parts")), mark))
     staged = staged.withColumns({"_firm": F.transform(F.filter("_marks", lambda x: x["firm"]), lambda x: x["letter"]), "_all": F.transform("_marks", lambda x: x["letter"])})
