@@ -209,3 +209,8 @@ def test_marks_are_taken_apart_without_a_pattern(spark):
     found = extraction.with_options(spark.createDataFrame([("Qual?\nA) um\nb. dois\n(C) três\nD- quatro\n",)], "body string"), "body")
     assert [tuple(o) for o in found.first()["options"]] == [("A", "um"), ("B", "dois"), ("C", "três"), ("D", "quatro")]
     assert "split(lambda" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_letter_share_takes_runs_at_once(spark):
+    df = spark.createDataFrame([("0" * 1000 + "  ab\n c",)], "t string").select(text.letter_share(F.col("t")).alias("s"))
+    assert df.first()["s"] == 0.003 and r"\s+" in df._jdf.queryExecution().analyzed().toString()
