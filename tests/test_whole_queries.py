@@ -74,3 +74,8 @@ def test_fill_takes_seen_ones_last(spark):
 def test_exercises_of_a_small_file_are_dealt_over_tasks(spark, sf):
     rows = catalog.QUERIES["fn_exercise_split"](spark, sf)
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_headings_of_a_small_file_are_dealt_over_tasks(spark, sf):
+    rows = catalog.QUERIES["fn_heading_parse"](spark, sf)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
