@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Mapping
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 ROSTER = "segmento string, ano_letivo string, serie string, turma string, nome string, documento string"
 RESULTS = "custom_id string, status int, body string"
+SHEET_ROWS = 10_000  # of a workbook, given out at a time
 WORD_NAMESPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -118,16 +120,35 @@ def docx_file(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
+def _sheet(content: bytes) -> Iterator[list[str | None]]:
+    """The cells of the rows of the first sheet, which is taken apart as it is unpacked: a row is held at a time."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("xl/worksheets/sheet1.xml") as f:
+        above: list[ElementTree.Element] = []
+        for event, node in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                above.append(node)
+                continue
+            above.pop()
+            if node.tag.rpartition("}")[2] == "row":
+                yield [_cell(c) for c in node if c.tag.rpartition("}")[2] == "c"]
+                for n in above:  # what has been read of them
+                    n.clear()
+
+
+def _cell(c: ElementTree.Element) -> str | None:
+    if not len(c):
+        return None
+    if len(c) == 1 and c[0].tag.endswith("}v"):
+        return c[0].text or ""
+    return "".join(t.text or "" for t in (*c.findall(".//{*}t"), *c.findall("{*}v")))
+
+
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
-            for i, row in enumerate(sheet.findall(".//{*}row")):
-                cells = ["".join(t.text or "" for t in (*c.findall(".//{*}t"), *c.findall("{*}v"))) if len(c) else None for c in row.findall("{*}c")]
-                out.append((path, i, cells))
-        yield pd.DataFrame(out, columns=["path", "number", "cells"])
+            numbered = enumerate(_sheet(content))
+            while rows := list(itertools.islice(numbered, SHEET_ROWS)):
+                yield pd.DataFrame({"path": path, "number": [i for i, _ in rows], "cells": [c for _, c in rows]})
 
 
 def sheet_rows(found: DataFrame) -> DataFrame:

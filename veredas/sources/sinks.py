@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -117,32 +117,74 @@ PARTS = {
 }
 
 
-def sheet_file(rows: Iterable[Sequence[object]], name: str = "1") -> bytes:
-    """A workbook of one sheet: numbers as numbers, other values as text, nulls as empty cells."""
-    from xml.sax.saxutils import escape, quoteattr
+class SheetFile:
+    """A workbook of one sheet, row by row: numbers as numbers, other values as text, nulls as empty cells. Only the packed file is held."""
 
-    def cell(v: object) -> str:
-        if v is None or v != v:
-            return "<c/>"
-        return f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    def __init__(self, name: str = "1"):
+        from xml.sax.saxutils import quoteattr
 
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
         for file, part in PARTS.items():
-            z.writestr(file, part.replace('sheet name="1"', f"sheet name={quoteattr(name)}"))
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SHEET}"><sheetData>{"".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)}</sheetData></worksheet>')
-    return out.getvalue()
+            self.zip.writestr(file, part.replace('sheet name="1"', f"sheet name={quoteattr(name)}"))
+        self.sheet = self.zip.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self.sheet.write(f'<worksheet xmlns="{SHEET}"><sheetData>'.encode())
+
+    def add(self, rows: Iterable[Sequence[object]]) -> None:
+        self.sheet.write("".join("<row>" + "".join(map(_cell, r)) + "</row>" for r in rows).encode())
+
+    def close(self) -> bytes:
+        self.sheet.write(b"</sheetData></worksheet>")
+        self.sheet.close()
+        self.zip.close()
+        return self.out.getvalue()
+
+
+def _cell(v: object) -> str:
+    from xml.sax.saxutils import escape
+
+    if v is None or v != v:
+        return "<c/>"
+    return f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def sheet_file(rows: Iterable[Sequence[object]], name: str = "1") -> bytes:
+    """A workbook of one sheet of the rows, as ``SheetFile`` makes it."""
+    file = SheetFile(name)
+    file.add(rows)
+    return file.close()
 
 
 def workbooks(df: DataFrame, by: str, order: Sequence[str], sheet: str = "1") -> DataFrame:
-    """path, content: a workbook for each value of ``by``, its rows (a report's, so few) in order under the columns' names."""
-    names = [c for c in df.columns if c != by]
+    """path, content: a workbook for each value of ``by``, its rows in order (nulls last) under the columns' names.
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(list(order))[names].astype(object).where(lambda x: x.notna(), None)
-        return pd.DataFrame({"path": [f"{group[by].iloc[0]}.xlsx"], "content": [sheet_file([names, *rows.itertuples(index=False)], sheet)]})
+    A workbook's rows are sorted by the shuffle and streamed through one task, which holds a batch of them and the packed file.
+    The number of partitions is Spark's, stated, so that small workbooks aren't put together into few tasks.
+    """
+    names = [c for c in df.columns if c != by]
 
-    return df.groupBy(by).applyInPandas(pack, "path string, content binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda name, file: pa.RecordBatch.from_pydict({"path": [f"{name}.xlsx"], "content": [file.close()]})
+        file = at = None
+        for batch in batches:
+            of = batch.column(0).to_pylist()
+            rows = list(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)) if names else [()] * len(of)
+            ends = [i for i in range(1, len(of)) if of[i] != of[i - 1]]
+            for start, end in zip([0, *ends], [*ends, len(of)], strict=True):
+                if start == end:  # an empty batch
+                    continue
+                if file is None or of[start] != at:
+                    if file is not None:
+                        yield made(at, file)
+                    file, at = SheetFile(sheet), of[start]
+                    file.add([names])
+                file.add(rows[start:end])
+        if file is not None:
+            yield made(at, file)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(by, *names).repartition(parts, by).sortWithinPartitions(by, *[F.asc_nulls_last(c) for c in order])
+    return dealt.mapInArrow(pack, "path string, content binary")
 
 
 # The layouts of an essay report, with their sheets' names and columns.
