@@ -1,5 +1,8 @@
 """Steps whose memory or rounds must not grow with the rows of a group."""
 
+from pyspark.sql import functions as F
+
+from veredas.operators.keys import cascade_fill
 from veredas.sources import readers, sinks
 
 
@@ -14,3 +17,13 @@ def test_workbooks_are_streamed(spark):
     cells = [c for x in got for c in x["cells"]]
     assert cells == [["name", "grade"], *[[f"{i:06d}", str(i) if i % 2 == 0 else None] for i in range(n) if i != 3]]
     assert [i for x in got for i in x["number"]] == list(range(n))
+
+
+def test_cascade_fill_counts_places_in_a_row(spark):
+    """No row is made for each place that a student might need, and a repeated item or a student without a name changes nothing else."""
+    bank = spark.createDataFrame([("k", 1, True), ("k", 2, True), ("k", 2, True), ("k", 3, False), ("j", 9, False)], "key string, item int, w boolean")
+    seen = spark.createDataFrame([("a", 2), ("a", 3), ("b", 3), (None, 1), ("c", 7), ("d", 9)], "student string, item int")
+    found = cascade_fill(bank, seen, "student", "key", "item", [F.asc("item")], 3, F.col("w"))
+    got = sorted((r["student"] or "", r["key"], r["stage"], r["item"]) for r in found.collect())
+    assert got == [("", "k", 1, 1), ("", "k", 1, 2), ("", "k", 1, 2), ("a", "k", 1, 1), ("a", "k", 3, 2), ("a", "k", 3, 2), ("b", "k", 1, 1), ("b", "k", 1, 2), ("b", "k", 1, 2), ("d", "j", 4, 9)]
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -30,22 +30,33 @@ def cascade_fill(items: DataFrame, seen: DataFrame, student: str, key: str, item
     are, so that new ones are filled up with seen ones. ``order`` should be total within a key. Null keys and items,
     and seen items that aren't in ``items``, count for nothing.
 
-    Each list (key, wanted or not) is ranked once. A student needs only the first n of it and one more for each item seen,
-    so places are met, not students and whole lists.
+    Each list (key, wanted or not) is ranked once. A student needs of it only the first n and one more for each item seen there,
+    so the lists' heads meet one row for each student and key, which has the places that were seen; of these heads the
+    places are counted off in that row. A row holds what one student has seen of one key, and n items.
     """
     ok = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
-    place = F.row_number().over(Window.partitionBy(key, "_wanted").orderBy(*order)).cast("long")
+    place = F.row_number().over(Window.partitionBy(key, "_wanted").orderBy(*order))
     ranked = items.filter(F.col(key).isNotNull() & F.col(item).isNotNull()).withColumn("_wanted", ok).select(key, item, "_wanted", place.alias("_place"))
-    had = seen.select(student, item).distinct().join(ranked.select(key, item, "_wanted"), item)
-    each = had.groupBy(student, key).agg(n_rows().alias("_seen"), F.max("_wanted").alias("_again"))
-    sizes = ranked.groupBy(key, "_wanted").agg(F.max("_place").alias("_size"))
-    first = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_seen") + n, F.col("_size")))).alias("_place")
-    met = each.join(sizes, key).select(student, key, "_wanted", "_again", first).join(ranked, [key, "_wanted", "_place"])
-    known = had.select(student, item, F.lit(True).alias("_known"))
-    new = F.col("_known").isNull()
-    stage = F.when(new & F.col("_wanted"), 1).when(new, 2).when(F.col("_wanted"), 3).otherwise(4)
-    rows = met.join(known, [student, item], "left").withColumn("stage", stage).filter(~F.col("_again") | (F.col("stage") < 4))
-    return first_per_key(rows, [student, key], [F.asc("stage"), F.asc("_place")], n).select(student, key, item, "stage")
+    lists = {"_again": F.col("_wanted"), "_rest": ~F.col("_wanted")}
+    own = lambda of: F.array_sort(F.collect_list(F.when(of & F.col(student).isNotNull(), F.struct("_place", F.col(item).alias("_item")))))
+    had = seen.select(student, item).distinct().join(ranked, item).groupBy(student, key).agg(*[own(of).alias(c) for c, of in lists.items()])
+    most = had.groupBy(key).agg(F.max(F.greatest(*map(F.size, lists))).alias("_most"))
+    near = ranked.join(most, key).filter(F.col("_place") <= F.col("_most") + n).groupBy(key)
+    heads = near.agg(*[F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("_place", F.col(item).alias("_item"))))), lambda x: x["_item"]).alias(f"{c}_head") for c, of in lists.items()])
+
+    def unseen(c: str, stage: int) -> Column:
+        to = F.least(F.size(c) + n, F.size(f"{c}_head"))
+        free = F.array_except(F.sequence(F.lit(1), to), F.transform(c, lambda x: x["_place"]))
+        found = F.transform(F.slice(free, 1, n), lambda p: F.struct(F.lit(stage).alias("stage"), F.element_at(f"{c}_head", p).alias("_item")))
+        return F.when(to > 0, found).otherwise(F.slice(found_again(c, stage), 1, 0))
+
+    def found_again(c: str, stage: int) -> Column:
+        return F.transform(F.slice(c, 1, n), lambda x: F.struct(F.lit(stage).alias("stage"), x["_item"].alias("_item")))
+
+    last = F.slice(found_again("_rest", 4), 1, F.when(F.size("_again") > 0, 0).otherwise(n))
+    filled = F.slice(F.concat(unseen("_again", 1), unseen("_rest", 2), found_again("_again", 3), last), 1, n)
+    rows = had.join(heads, key).select(student, key, F.explode(filled).alias("_x"))
+    return rows.select(student, key, F.col("_x._item").alias(item), F.col("_x.stage").alias("stage"))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
