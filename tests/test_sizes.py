@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veredas.operators.keys import cascade_fill
+from veredas.operators.proficiency import estimates
 from veredas.sources import readers, sinks
 
 
@@ -27,3 +28,10 @@ def test_cascade_fill_counts_places_in_a_row(spark):
     got = sorted((r["student"] or "", r["key"], r["stage"], r["item"]) for r in found.collect())
     assert got == [("", "k", 1, 1), ("", "k", 1, 2), ("", "k", 1, 2), ("a", "k", 1, 1), ("a", "k", 3, 2), ("a", "k", 3, 2), ("b", "k", 1, 1), ("b", "k", 1, 2), ("b", "k", 1, 2), ("d", "j", 4, 9)]
     assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_estimates_make_no_rows_for_what_is_counted_distinct(spark):
+    rows = [("a", True, "EASY"), ("a", False, "HARD"), ("a", None, "EASY"), ("b", True, None), ("b", True, "EASY"), ("c", None, None)]
+    found = estimates(spark.createDataFrame(rows, "k string, hit boolean, difficulty string"), ["k"], "hit", "difficulty")
+    assert {r["k"]: (r["n"], r["levels"], r["outcomes"]) for r in found.collect()} == {"a": (3, 2, 2), "b": (2, 1, 1), "c": (1, 0, 0)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -55,11 +55,16 @@ class CoveragePolicy:
 
 
 def estimates(evidence: DataFrame, keys: Sequence[str], hit: str, difficulty: str, estimator: Estimator = WeightedShare(), **more: Column) -> DataFrame:
-    """keys, score, confidence, n, levels, outcomes, band, and ``more`` aggregates; a null hit counts as wrong."""
+    """keys, score, confidence, n, levels, outcomes, band, and ``more`` aggregates; a null hit counts as wrong.
+
+    Evidence is shuffled by its keys before it is aggregated, and one column alone is counted distinct: so a task holds the
+    groups of its partition once, and no rows are made for each column counted (a group's evidence comes to one task).
+    """
     right = F.coalesce(F.col(hit), F.lit(False))
-    rows = evidence.groupBy(*keys).agg(
+    outcomes = F.coalesce(F.max(F.col(hit).cast("long")), F.lit(0)) + F.coalesce(F.max((~F.col(hit)).cast("long")), F.lit(0))
+    rows = evidence.repartition(*keys).groupBy(*keys).agg(
         estimator.score(right, F.col(difficulty)).alias("score"), estimator.confidence().alias("confidence"), F.count(F.lit(1)).alias("n"),
-        F.count_distinct(difficulty).alias("levels"), F.count_distinct(hit).alias("outcomes"), *[c.alias(n) for n, c in more.items()],
+        F.count_distinct(difficulty).alias("levels"), outcomes.alias("outcomes"), *[c.alias(n) for n, c in more.items()],
     )
     return rows.withColumn("band", S.steps(F.col("score"), S.PROFICIENCY_BANDS, "CONSOLIDATED_MASTERY"))
 
