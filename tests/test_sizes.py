@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veredas.operators.keys import cascade_fill
 from veredas.operators.proficiency import estimates
 from veredas.sources import readers, sinks
+from veredas.streaming import stages
 
 
 def test_workbooks_are_streamed(spark):
@@ -35,3 +36,30 @@ def test_estimates_make_no_rows_for_what_is_counted_distinct(spark):
     found = estimates(spark.createDataFrame(rows, "k string, hit boolean, difficulty string"), ["k"], "hit", "difficulty")
     assert {r["k"]: (r["n"], r["levels"], r["outcomes"]) for r in found.collect()} == {"a": (3, 2, 2), "b": (2, 1, 1), "c": (1, 0, 0)}
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_open_in_growing_numbers(spark, tmp_path):
+    """Seven chunks in three calls and an eighth for a failed one, each result's chunks apart and in order."""
+    told = []
+
+    class Service:
+        def submit(self, requests):
+            told.append(sorted({r["sequence"] for r in requests.filter("stage = 'OCR'").collect()}))
+
+        def states(self, runs):
+            failed = F.when((F.col("stage") == "OCR") & (F.col("sequence") == 1), "failed").otherwise("completed")
+            return runs.select("school", "stage", "sequence", F.concat_ws("-", "stage", "sequence").alias("batch"), failed.alias("status"))
+
+        def results(self, items, stage):
+            return items.select("school", "id", F.lit(1).cast("long").alias("size"))
+
+    line = stages.Pipeline(spark, str(tmp_path), Service(), (stages.Stage("OCR", 2), stages.Stage("CORRECTION", 1)), most=4, partitions=1, most_open=100)
+    line.enqueue(spark.range(13).selectExpr("'a' as school", "lpad(id, 2, '0') as id", "1L as size"))
+    calls = 0
+    while line.call():
+        calls += 1
+    assert [x for x in told if x] == [[1], [2], [3, 4], [5, 6, 7, 8]] and calls < 9
+    got = {(r["stage"], r["sequence"]): (r["status"], r["lines"]) for r in line.runs().collect()}
+    ocr = {("OCR", i): ("failed" if i == 1 else "completed", 2 if i == 8 else 4) for i in range(1, 9)}
+    assert got == {**ocr, **{("CORRECTION", i): ("completed", 1 if i == 7 else 2) for i in range(1, 8)}}
+    assert sorted(r["id"] for r in line.output().collect()) == [f"{i:02d}" for i in range(13)]

@@ -13,6 +13,9 @@ from veredas.streaming.machines import run_with_state, terminal_states
 from veredas.streaming.stages import Pipeline
 
 
+MOST_OPEN = 4096  # runs of a school and stage at once
+
+
 class _Rule:
     """A service for which a school whose number ends in 0 or 5 has its first OCR batch failed, and all others are completed."""
 
@@ -20,7 +23,7 @@ class _Rule:
         self.folder = folder
 
     def submit(self, requests):
-        requests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "school", "sequence").parquet(self.folder)
+        requests.write.mode("append").parquet(self.folder)  # a run that comes again is known already
 
     def states(self, runs):
         spark = runs.sparkSession
@@ -40,9 +43,12 @@ c AS (SELECT school, chunk, count(*) AS n, regexp_matches(school, '[05]$') AS od
 SELECT school, 'OCR' AS stage, (chunk + 1 + odd::INT)::INT AS sequence, (2 * n)::INT AS lines, 'completed' AS status FROM c UNION ALL SELECT school, 'OCR', 1, (2 * n)::INT, 'failed' FROM c WHERE odd AND chunk = 0
 UNION ALL SELECT school, 'CORRECTION', (chunk + 1)::INT, n::INT, 'completed' FROM c UNION ALL SELECT school, 'SCORING', (chunk + 1)::INT, (6 * n)::INT, 'completed' FROM c""")
 def stm_stage_machine(spark, d):
-    """The run table when every essay has gone through OCR, correction and scoring, a call at a time."""
+    """The run table when every essay has gone through OCR, correction and scoring, a call at a time.
+
+    A school's runs are opened in growing numbers once its first has been completed, so that calls don't go with its essays.
+    """
     folder = shared_path(spark, "stages")
-    line = Pipeline(spark, folder, _Rule(f"{folder}/submitted"))
+    line = Pipeline(spark, folder, _Rule(f"{folder}/submitted"), most_open=MOST_OPEN)
     line.enqueue(T.scores(spark, d).select("school", F.col("essay_id").cast("string").alias("id"), F.lit(200_000).cast("long").alias("size")))
     while line.call():
         pass

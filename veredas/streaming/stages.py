@@ -51,9 +51,10 @@ class Provider(Protocol):
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, folder: str, provider: Provider, stages: Sequence[Stage] = STAGES, most: int = MOST_REQUESTS, most_bytes: int = MOST_BYTES, poll_ms: int = 60_000, partitions: int = 4):
+    def __init__(self, spark: SparkSession, folder: str, provider: Provider, stages: Sequence[Stage] = STAGES, most: int = MOST_REQUESTS, most_bytes: int = MOST_BYTES, poll_ms: int = 60_000, partitions: int = 4, most_open: int = 1):
+        """``most_open``: runs of a (school, stage) that may be open at once, as ``StageRuns`` opens them."""
         self.spark, self.folder, self.provider, self.stages = spark, folder.rstrip("/"), provider, stages
-        self.most, self.most_bytes, self.poll_ms, self.partitions = most, most_bytes, poll_ms, partitions
+        self.most, self.most_bytes, self.poll_ms, self.partitions, self.most_open = most, most_bytes, poll_ms, partitions, most_open
 
     def _done(self, path: str) -> bool:
         return exists(self.spark, f"{self.folder}/{path}/_SUCCESS")
@@ -80,9 +81,13 @@ class Pipeline:
         self._write(self._chunked(requests, stage, f"{n:06d}"), f"requests/{stage}/c{n:06d}-new")
 
     def _chunked(self, requests: DataFrame, stage: str, name: str) -> DataFrame:
+        """The requests with their chunks' tokens. Those of different ``sequence``, where they have one, are in different chunks, in its order."""
         lines = next(s.lines for s in self.stages if s.name == stage)
-        cut = fifo_chunks(requests.select("school", "id", F.col("size").cast("long").alias("size")), "school", ["id"], "size", self.most_bytes, self.most // lines)
-        return cut.select("school", "id", F.concat(F.lit(f"{name}-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("token"))
+        runs = [F.lpad(F.col("sequence").cast("string"), 6, "0")] if "sequence" in requests.columns else []
+        queue = F.concat_ws("/", *runs, "school") if runs else F.col("school")
+        rows = requests.select("school", "id", F.col("size").cast("long").alias("size"), queue.alias("_queue"), F.concat_ws("-", F.lit(name), *runs).alias("_name"))
+        cut = fifo_chunks(rows, "_queue", ["id"], "size", self.most_bytes, self.most // lines)
+        return cut.select("school", "id", F.concat("_name", F.lit("-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("token"))
 
     def queued(self, stage: str) -> DataFrame:
         """school, id, token (of its chunk) of all requests of a stage so far."""
@@ -132,7 +137,7 @@ class Pipeline:
         def batch(rows: DataFrame, number: int) -> None:
             rows.withColumn("step", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/outbox/b{number:06d}")
 
-        run_with_state(stage_runs(inbox, self.poll_ms), batch, f"{self.folder}/checkpoint", "append", once=True, partitions=self.partitions)
+        run_with_state(stage_runs(inbox, self.poll_ms, self.most_open), batch, f"{self.folder}/checkpoint", "append", once=True, partitions=self.partitions)
 
     def submit(self, asked: DataFrame) -> None:
         for s in self.stages:
@@ -143,11 +148,14 @@ class Pipeline:
     def apply(self, asked: DataFrame, n: int) -> None:
         """Results of a completed run become the next stage's requests, or the last stage's output."""
         for i, s in enumerate(self.stages):
-            runs = asked.filter((F.col("kind") == "apply") & (F.col("stage") == s.name)).select("school", "token")
+            runs = asked.filter((F.col("kind") == "apply") & (F.col("stage") == s.name)).select("school", "token", "sequence")
             if runs.isEmpty():
                 continue
-            found = self.provider.results(runs.join(self.queued(s.name), ["school", "token"]).select("school", "id"), s.name)
+            items = runs.join(self.queued(s.name), ["school", "token"])
+            found = self.provider.results(items.select("school", "id"), s.name)
             if i + 1 < len(self.stages):
+                if self.most_open > 1:  # a run's results are chunked by themselves, as if they had come alone
+                    found = found.join(items.groupBy("school", "id").agg(F.min("sequence").alias("sequence")), ["school", "id"])
                 after = self.stages[i + 1].name
                 self._write(self._chunked(found, after, f"{n + 1:06d}"), f"requests/{after}/c{n + 1:06d}")
             else:
