@@ -1,10 +1,13 @@
 """Jaccard join, centroid clustering and importance resampling against plain Python, with odd rows."""
 
 import hashlib
+import pickle
 import random
+import zlib
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -52,6 +55,19 @@ def test_jaccard_is_no_worse_with_few_counters(spark, near):
     assert by_text(map(tuple, jaccard.grouped(df, counters=1).collect())) == by_text(brute.jaccard_components(near))
 
 
+def test_jaccard_counters_reach_the_driver_once(spark, monkeypatch):
+    """However many tasks count, the driver gets each counter once."""
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: got.append(collect(self)) or got[-1])
+    counters, tasks = 1 << 16, 40
+    rng = np.random.default_rng(1)
+    counts = [rng.integers(0, 1 << 60, counters) >> 8 for _ in range(tasks)]
+    rows = [(zlib.compress(c.tobytes(), 1),) for c in counts] + [(None,)]
+    measured = spark.createDataFrame(rows, "counts binary").repartition(tasks)
+    assert (jaccard.shingle_counts(measured, counters) == np.sum(counts, axis=0)).all()
+    assert 0 < sum(len(pickle.dumps(x)) for x in got) <= 1.1 * 8 * counters
+
+
 def test_jaccard_hot_group(spark):
     """Six hundred near copies of one text cost stars: fewer verified pairs than the square of the group."""
     rng = random.Random(1)

@@ -49,6 +49,7 @@ from veredas.llm.simhash import components
 WIDTH = 4  # words of a shingle
 PERCENT = 85
 COUNTERS = 1 << 20
+SLICE = 1 << 14  # counters summed together
 MOST_SMALL = 26  # the boundary is sought up to this size: beyond it, subsets are many thousands a set
 STRETCH = 1 << 17  # bytes of a text that are hashed at once
 MOST_BROADCAST = 64_000_000  # bytes of numbers
@@ -231,9 +232,17 @@ def _measured(width: int, counters: int, kept: int, schema: pa.Schema):
 
 
 def shingle_counts(measured: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How many shingles of all texts fall into each counter. Sums meet in a tree: a task holds two arrays of ``counters`` numbers."""
-    parts = measured.filter("counts is not null").select("counts").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r[0])), np.int64))
-    return parts.treeAggregate(np.zeros(counters, np.int64), lambda a, b: a + b, lambda a, b: a + b)
+    """How many shingles of all texts fall into each counter. Slices of the counters are summed by Spark, so the driver gets each slice once."""
+
+    def slices(row) -> Iterator[tuple[int, np.ndarray]]:
+        counts = np.frombuffer(zlib.decompress(bytes(row[0])), np.int64)
+        return ((at, counts[at : at + SLICE]) for at in range(0, counters, SLICE))
+
+    parts = measured.filter("counts is not null").select("counts").rdd.flatMap(slices).reduceByKey(np.add, max(1, counters // SLICE // 4))
+    sums = np.zeros(counters, np.int64)
+    for at, packed in parts.mapValues(lambda x: zlib.compress(x.tobytes(), 1)).collect():
+        sums[at : at + SLICE] = np.frombuffer(zlib.decompress(packed), np.int64)
+    return sums
 
 
 class _Order:
