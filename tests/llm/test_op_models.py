@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -153,6 +154,21 @@ def test_words_come_before_grams():
     assert model.predict("a")[0] == "m" and model.predict("ab")[0] == "l"
 
 
+def test_lm_scoring_splits_a_text_once(monkeypatch):
+    """A chunk's answers are looked up in one pass over the words of its texts."""
+    texts = ["a b a", None, "b c", ""]
+    codes, _ = suffix_tree._counted(texts)
+    packed = suffix_tree._pack(codes)
+    prices = (0, len(packed).to_bytes(8, "big") + packed + np.full(len(codes), -0.5).tobytes(), -1, False)
+    answers = pd.DataFrame([prices, (0, b"a", 9, True), (0, b"b", 99, True), (0, b"c", 0, False)], columns=["chunk", "word", "c", "first"])
+    docs = pd.DataFrame({"doc_id": range(4), "text": texts, "held_out": [False, False, True, False]})
+    seen, split = [], suffix_tree.words
+    monkeypatch.setattr(suffix_tree, "words", lambda t: seen.append(t) or split(t))
+    found = suffix_tree._answered(docs, answers)
+    assert found[["n_tokens", "n_known", "logs", "score"]].to_numpy().tolist() == [[3, 3, 4, -3], [0, 0, 0, -0.5], [2, 1, 2, -2], [0, 0, 0, -0.5]]
+    assert len(seen) == len(texts)
+
+
 @pytest.mark.parametrize("chunk_bytes", [suffix_tree.CHUNK_BYTES, 50_000])
 def test_base_scores(docs, odd, chunk_bytes):
     for df in (docs, odd):
