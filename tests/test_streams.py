@@ -1,7 +1,9 @@
 """Stage runs and terminal states: chained, cut off between any two steps, in shuffled batches."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,19 @@ def test_terminal_states_in_any_order(spark, tmp_path):
         assert {k for k, v in last.items() if v not in machines.TERMINAL} == {k for k, v in wanted.items() if not v}
 
 
+def test_terminal_states_ask_the_store_once():
+    """A key that doesn't change costs one call to the store, one that does two; a null time comes last."""
+    calls, kept = [], {}
+    state = SimpleNamespace(exists=lambda: calls.append("exists") or "s" in kept, get=lambda: calls.append("get") or kept.get("s"), update=lambda v: calls.append("update") or kept.update(s=v))
+    machine = machines.FirstTerminal()
+    machine.init(SimpleNamespace(getValueState=lambda *a: state))
+    feed = lambda *rows: [d["status"].tolist() for d in machine.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["status", "at", "id"])]), None)]
+    assert feed(("running", 3, 0), ("validating", 2, 5)) == [["running"]]
+    assert feed(("failed", None, 1), ("completed", 7, 3), ("expired", 7, 4), ("running", 1, 9)) == [["completed"]]
+    assert feed(("failed", 9, 2), ("completed", 7, 3)) == [] and kept["s"] == ("completed", 7, 3)
+    assert calls == ["get", "update", "get", "update", "get"]
+
+
 def test_event_order_of_a_batch_does_not_matter(spark, tmp_path):
     """Rows of one batch come as the shuffle brings them: the earliest terminal one by time counts."""
     rows = [(1, "failed", 5, 2), (1, "completed", 5, 1), (1, "running", 1, 0)]
