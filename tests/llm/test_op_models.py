@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -169,6 +170,20 @@ def test_lm_scoring_splits_a_text_once(monkeypatch):
     assert len(seen) == len(texts)
 
 
+def test_lm_scoring_holds_few_symbols_at_a_time():
+    """Texts of 8 MB: what a task holds beside them goes with a batch, not with a chunk."""
+    texts = ["red green blue sea sky " * 1000] * 350
+    tracemalloc.start()
+    suffix_tree._counted(texts)
+    counting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    for found in suffix_tree._batched(texts):
+        suffix_tree._scored(found, lambda codes: np.zeros(len(codes)))
+    scoring = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(counting, scoring) < 60e6
+
+
 @pytest.mark.parametrize("chunk_bytes", [suffix_tree.CHUNK_BYTES, 50_000])
 def test_base_scores(docs, odd, chunk_bytes):
     for df in (docs, odd):

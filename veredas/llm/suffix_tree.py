@@ -44,7 +44,7 @@ TELLING = 0.5
 ESCAPE = 3.0
 CHUNK_BYTES = 16_000_000
 NAMED = 16  # chunks to a task, up to which their numbers are chosen
-BATCH = 4_000_000  # symbols coded at a time
+BATCH = 1_000_000  # symbols coded at a time: a task holds some 100 bytes for each
 END = b"\n"
 
 
