@@ -205,6 +205,17 @@ def test_terms_of_long_texts_are_quick(spark):
     assert _seconds(spark, lexical.terms) < 8
 
 
+def test_terms_are_found_in_one_pass(spark):
+    """Short words are never made, and only texts with other than ASCII characters are searched for them."""
+    texts = ["Razões são 漢字 iguais", "ab cd", "Straße-Quest\u0131on\u00a0abc\u212a", "A b2 cde12s\tOES coes", "", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", lexical.terms(F.col("t")).alias("x"), lexical.terms(F.col("t"), 1).alias("y"))
+    got = {r["i"]: (r["x"], r["y"]) for r in found.collect()}
+    assert [got[i][0] for i in range(6)] == [["razao", "sao", "iguai"], [], ["strae", "queston", "abck"], ["cde12", "ao", "cao"], [], []]
+    assert got[1][1] == ["ab", "cd"] and got[3][1][:2] == ["a", "b2"]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan and "octet_length" in plan.split("lower(")[0]
+
+
 def test_marks_are_taken_apart_without_a_pattern(spark):
     found = extraction.with_options(spark.createDataFrame([("Qual?\nA) um\nb. dois\n(C) três\nD- quatro\n",)], "body string"), "body")
     assert [tuple(o) for o in found.first()["options"]] == [("A", "um"), ("B", "dois"), ("C", "três"), ("D", "quatro")]
