@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veredas.operators.joins import token_overlap
 from veredas.operators.keys import cascade_fill
 from veredas.operators.proficiency import estimates
 from veredas.sources import readers, sinks
@@ -63,3 +64,12 @@ def test_runs_open_in_growing_numbers(spark, tmp_path):
     ocr = {("OCR", i): ("failed" if i == 1 else "completed", 2 if i == 8 else 4) for i in range(1, 9)}
     assert got == {**ocr, **{("CORRECTION", i): ("completed", 1 if i == 7 else 2) for i in range(1, 8)}}
     assert sorted(r["id"] for r in line.output().collect()) == [f"{i:02d}" for i in range(13)]
+
+
+def test_pairs_of_one_token_set_are_made_by_many_tasks(spark):
+    left = spark.createDataFrame([(i, ["a", "b", "a"]) for i in range(400)] + [(400, ["c"]), (401, None), (402, [])], "q int, tokens array<string>")
+    right = spark.createDataFrame([(f"n{i}", ["b", "a"]) for i in range(50)] + [("n50", ["c", "b"]), ("n51", [])], "id string, tokens array<string>")
+    found = token_overlap(left, "q", right, "id").withColumn("task", F.spark_partition_id()).collect()
+    want = [(i, f"n{j}", 2 if j < 50 else 1) for i in range(400) for j in range(51)] + [(400, "n50", 1)]
+    assert sorted((r["q"], r["id"], r["common"]) for r in found) == sorted(want)
+    assert len({r["task"] for r in found}) >= 4
