@@ -311,6 +311,23 @@ def test_warc_of_many_chunks(spark):
     assert len(warc.round_trip(named, chunk=500).collect()) == len(pages)
 
 
+def test_warc_shared_records_found_small_at_run_time(spark):
+    """The records that files share are planned for a sort-merge join, as in large archives, and turn out small enough to be broadcast."""
+    pages = [(p, "u", f"{p} " * 1000) for p in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    path = warc.scratch_path(spark, "warc-test")
+    at = warc.write(df, path, chunk=64, records=30)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert as_text(warc.read(spark, path, at)) == expected_pages(pages)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_chunks_carry_running_digests(spark):
     rows = warc.chunks(spark.createDataFrame([(1, "u", BIG), (2, "u", None)], "page_id long, url string, html string"), 64).orderBy("page_id", "chunk_no").collect()
     big = [r for r in rows if r["page_id"] == 1]

@@ -233,7 +233,8 @@ def read(spark: SparkSession, path: str, collection: str) -> DataFrame:
         return whole
     field = lambda name: F.regexp_extract(F.concat(F.lit("\r\n"), F.substring_index("value", END, 1), F.lit("\r\n")), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     named = lines.select("value", F.coalesce(F.nullif(field("WARC-Segment-Origin-ID"), F.lit("")), field("WARC-Record-ID")).alias("parted"), F.coalesce(F.nullif(field("WARC-Segment-Number"), F.lit("")), F.lit("1")).cast("int").alias("segment"))
-    met = named.join(parted, "parted", "left_semi").repartition("parted").sortWithinPartitions("parted", "segment").select("value").mapInPandas(_streamed, READ)
+    # broadcast, so that the shuffle by record is repartition's own: a join's, Spark may read by mapper once it knows that one side is small, and then a record's chunks are apart
+    met = named.join(F.broadcast(parted), "parted", "left_semi").repartition("parted").sortWithinPartitions("parted", "segment").select("value").mapInPandas(_streamed, READ)
     lost = F.raise_error(F.concat(F.lit("WARC record without all its chunks: "), F.col("parted")))
     return whole.unionAll(met.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("parted").isNull(), F.col("record_type")).otherwise(lost).alias("record_type"), "refers_to"))
 
