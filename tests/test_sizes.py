@@ -73,3 +73,19 @@ def test_pairs_of_one_token_set_are_made_by_many_tasks(spark):
     want = [(i, f"n{j}", 2 if j < 50 else 1) for i in range(400) for j in range(51)] + [(400, "n50", 1)]
     assert sorted((r["q"], r["id"], r["common"]) for r in found) == sorted(want)
     assert len({r["task"] for r in found}) >= 4
+
+
+def test_files_of_pairs_stay_small(spark, tmp_path):
+    """Ids that repeat only after thousands of rows are beyond what Snappy looks back on: over a byte a row."""
+    left = spark.range(640).selectExpr("id * 7919 % 1000003 as q", "array('a') as tokens")
+    right = spark.range(6000).selectExpr("concat('P', pmod(xxhash64(id), 300000), '-', id) as id", "array('a', 'b') as tokens")
+    token_overlap(left, "q", right, "id").write.option("compression", "snappy").parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.agg(F.count(F.lit(1)), F.count_distinct("q"), F.count_distinct("id"), F.count_distinct("q", "id")).first() == (3_840_000, 640, 6000, 3_840_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 3_840_000
+
+
+def test_null_ids_are_paired(spark):
+    left = spark.createDataFrame([(None, ["a"]), (1, ["a", "b"])], "q int, tokens array<string>")
+    right = spark.createDataFrame([("x", ["a"]), (None, ["b"])], "id string, tokens array<string>")
+    assert {tuple(r) for r in token_overlap(left, "q", right, "id").collect()} == {(None, "x", 1), (1, "x", 1), (1, None, 1)}
